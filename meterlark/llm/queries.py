@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlark.llm import encode as p7
+from meterlark.llm import encode as p7, leaks as p8, split as p9
 from meterlark.session import table
 
 
@@ -12,5 +12,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7.encode(table(spark, sf_dir, "documents"), "doc_id", "text", p7.vocabulary())
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", p7.vocabulary())
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = p9.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", p7.vocabulary(), with_text=False)
+    return cut.filter("piece_no = 1").select("doc_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}

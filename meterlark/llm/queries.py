@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlark.llm import encode as p7, leaks as p8, split as p9
+from meterlark.llm import credentials as p1, encode as p7, leaks as p8, split as p9
 from meterlark.session import table
 
 
+def p1_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.credentials(table(spark, sf_dir, "config_file"), "file_id", "body")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_credentials(spark, sf_dir).select("file_id", "line_no").distinct()
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.masked(table(spark, sf_dir, "config_file"), "file_id", "body")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7.encode(table(spark, sf_dir, "documents"), "doc_id", "text", p7.vocabulary())
 
@@ -29,5 +41,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_credentials": p1_credentials, "p1_masked": p1_masked, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlark.llm import credentials as p1, encode as p7, leaks as p8, split as p9
+from pyspark.sql import functions as F
+
+from meterlark.llm import credentials as p1, encode as p7, leaks as p8, personal as p3, split as p9
 from meterlark.session import table
 
 
@@ -20,6 +22,24 @@ def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1.masked(table(spark, sf_dir, "config_file"), "file_id", "body")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, row_id, text) of help-desk messages and log remarks."""
+    messages = table(spark, sf_dir, "support_message").select(F.lit("support_message").alias("src"), F.col("message_id").alias("row_id"), F.col("body").alias("text"))
+    return messages.unionByName(table(spark, sf_dir, "usage_log").select(F.lit("usage_log").alias("src"), F.col("id").alias("row_id"), F.col("content").alias("text")))
+
+
+def p3_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.personal(_texts(spark, sf_dir), ["src", "row_id"], "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.kinds(p3_details(spark, sf_dir), ["src", "row_id"])
+
+
+def p3_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.placeholders(_texts(spark, sf_dir), ["src", "row_id"], "text")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7.encode(table(spark, sf_dir, "documents"), "doc_id", "text", p7.vocabulary())
 
@@ -41,5 +61,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_credentials": p1_credentials, "p1_masked": p1_masked, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_credentials": p1_credentials, "p1_masked": p1_masked, "p3_found": p3_found, "p3_details": p3_details, "p3_replaced": p3_replaced, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from meterlark.llm import credentials as p1, encode as p7, leaks as p8, personal as p3, split as p9
+from meterlark.llm import credentials as p1, encode as p7, leaks as p8, neardup as p5, pairs as p4, personal as p3, split as p9, tickets as p6
 from meterlark.session import table
 
 
@@ -40,6 +40,22 @@ def p3_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.placeholders(_texts(spark, sf_dir), ["src", "row_id"], "text")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.defects(table(spark, sf_dir, "help_pair"), "pair_id", "question", "answer")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.similar(table(spark, sf_dir, "incident_note"), "note_id", "body")
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.turns(table(spark, sf_dir, "support_message"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_turns(spark, sf_dir).drop("role")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7.encode(table(spark, sf_dir, "documents"), "doc_id", "text", p7.vocabulary())
 
@@ -61,5 +77,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_credentials": p1_credentials, "p1_masked": p1_masked, "p3_found": p3_found, "p3_details": p3_details, "p3_replaced": p3_replaced, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {f.__name__: f for f in (p1_found, p1_credentials, p1_masked, p3_found, p3_details, p3_replaced, p4_found, p5_found, p6_found, p6_turns, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}

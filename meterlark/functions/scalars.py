@@ -74,7 +74,7 @@ def mask_ip(column: Column) -> Column:
 def mask_url(column: Column) -> Column:
     """URLs keep their scheme, the end of their host and the shape of their path and query."""
     column = F.regexp_replace(column, r"(https?://)[A-Za-z0-9.-]*?(\.[A-Za-z]+)?(?=[/?:\s'\"]|$)", "$1***$2")
-    column = F.regexp_replace(column, r"(?<=[A-Za-z*]/)[A-Za-z0-9_.%~-]+(?=[/?\s'\"]|$)", "***")
+    column = F.regexp_replace(column, r"(?<=https?://[^\s?'\"]{1,500}/)[^\s/?'\"]+", "***")
     return F.regexp_replace(column, r"([?&][A-Za-z0-9_.-]+=)[^&\s'\"]*", "$1***")
 
 

@@ -137,7 +137,7 @@ def features(question: str, parts: list[str], tail_blank: bool) -> np.ndarray:
         p, last, fence = plain(c), i == len(parts) - 1, c.startswith("```")
         bare = re.sub(r"^(?:q|question|frage|pregunta|问|問|質問)\s*[:：]\s*", "", c.strip(" >\"'“”*_\t"), flags=re.I)
         p2 = plain(bare)
-        echo = bool(p2) and len(p2) >= 4 and (p2 in q_plain or q_plain in p2) and not fence
+        echo = len(p2) >= 4 and len(q_plain) >= 4 and (p2 in q_plain or q_plain in p2) and not fence
         w = re.findall(r"\w+", c.casefold())
         share = sum(x in q_words for x in w) / len(w) if w and not fence else 0.0
         norm = c.replace("’", "'")

@@ -50,6 +50,7 @@ _ISSUED = re.compile(rf"(?<![\w-])(?P<p>{PREFIXES}[A-Za-z0-9_\-]{{12,}})")
 _JWT = re.compile(r"(?<![\w.-])(?P<p>eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOB = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/]{40,}={0,2}(?![\w+/=])")
+_NAMED = re.compile(r"(?mi)\bname[\"']?\s*:\s*[\"']?([\w.\-]+)[\"']?,?\s*\n?\s*[\"']?value[\"']?\s*:\s*")
 _REFERENCE = re.compile(
     r"""^(?:
         \$\{.*|\$\(.*|\$[A-Za-z_]\w*|%[A-Z_][A-Z0-9_]*%|\{\{.*|\{[A-Za-z_.]\w*\}|<[A-Za-z][\w .:\-]*>|\[[A-Za-z][\w .\-]*\]|@[A-Z_][A-Z0-9_]*@|__\w+__
@@ -111,15 +112,34 @@ def _strings(text: str, at: int) -> list[tuple[int, int, str]]:
     return out
 
 
-#: A cheap test of a whole text: without any of these nothing can be found.
-_CUE = re.compile(rf"(?i)pass|pwd|\bpw\b|_pw\b|secret|token|credential|auth|key|://|@(?:tcp|unix|udp)\(|bearer|basic|curl|redis-cli|mysql|connect|open\s*\(|login|dial|eyj|{PREFIXES}|-----begin|LS0tLS1CRUdJTi")
+#: Whatever tells a credential has one of these on its line, in lower case.
+_CUES = (
+    "pass", "pwd", "pw", "secret", "token", "cred", "auth", "key", "://", "@tcp(", "@unix(", "@udp(", "bearer", "basic", "curl", "redis-cli", "mysql", "mariadb",
+    "connect", "open", "login", "dial", "client", "sign", "eyj", "sk-", "nxk-", "pat_", "gwk_", "rly.", "gwak", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_",
+)
+
+
+def _segments(text: str) -> list[tuple[int, int]]:
+    """The lines that hold a cue, as spans in order."""
+    low = text.lower()
+    if len(low) != len(text):
+        return [(0, len(text))]
+    lines: dict[int, int] = {}
+    for cue in _CUES:
+        at = low.find(cue)
+        while at >= 0:
+            end = low.find("\n", at)
+            end = len(low) if end < 0 else end
+            lines[low.rfind("\n", 0, at) + 1] = end
+            at = low.find(cue, end)
+    return sorted(lines.items())
 
 
 def find(text: str) -> list[Hit]:
     """Literal credentials of a file, in order, not overlapping."""
-    if not _CUE.search(text):
-        return []
+    spans = _segments(text)
     hits: list[Hit] = []
+    every = lambda pattern: (m for a, b in spans for m in pattern.finditer(text, a, b))
     add = lambda s, e, key, kind: hits.append(Hit(s, e, key, kind)) if e > s else None
     blocks = []
     for m in _BLOCK.finditer(text):
@@ -138,7 +158,7 @@ def find(text: str) -> list[Hit]:
             blocks.append((m.start(), end))
             add(m.start(), end, "private key", "key_block")
     hidden = lambda a: any(s <= a < e for s, e in blocks)
-    for m in _ASSIGN.finditer(text):
+    for m in every(_ASSIGN):
         key, at = m["key"], m.end()
         if not sensitive(key) or hidden(at):
             continue
@@ -159,7 +179,7 @@ def find(text: str) -> list[Hit]:
         marked = "\"'`{[(" if "=" in m[0] else "\"'`{[(&|>"
         if value and value[0] not in marked and " " not in value and not re.search(r"^[A-Za-z_][\w.]*[(\[]", value) and not stand_in(value) and (_secretive(value) or words(key)[-1] not in ("key", "auth")) and not _expression(text, m, value):
             add(at, at + len(value), key, "assigned")
-    for m in re.finditer(r"(?mi)\bname[\"']?\s*:\s*[\"']?([\w.\-]+)[\"']?,?\s*\n?\s*[\"']?value[\"']?\s*:\s*", text):
+    for m in _NAMED.finditer(text) if "value" in text.lower() else ():
         if sensitive(m[1]):
             parts = _strings(text, m.end())
             if not parts:
@@ -169,13 +189,13 @@ def find(text: str) -> list[Hit]:
                 for s, e, _ in parts:
                     add(s, e, m[1], "assigned")
     for pattern, kind in ((_URL, "url"), (_DSN, "dsn"), (_CURL, "option")):
-        for m in pattern.finditer(text):
+        for m in every(pattern):
             if not hidden(m.start()) and not stand_in(m["p"]):
                 add(*m.span("p"), kind, kind)
-    for m in _QUERY.finditer(text):
+    for m in every(_QUERY):
         if sensitive(m["key"]) and not stand_in(m["p"]):
             add(*m.span("p"), m["key"], "url")
-    for m in _SCHEME.finditer(text):
+    for m in every(_SCHEME):
         p = m["p"]
         if m["scheme"].lower() == "basic":
             user, colon, password = _decoded(p).partition(":")
@@ -183,11 +203,11 @@ def find(text: str) -> list[Hit]:
                 add(*m.span("p"), "basic", "scheme")
         elif not stand_in(p) and (re.search(r"[\d!-/:-@\[-`{-~A-Z]", p) or text[m.end() : m.end() + 1] in ("'", '"', "`")) and not re.fullmatch(r"[A-Z]?[a-z]+[.:]?", p):
             add(*m.span("p"), m["scheme"], "scheme")
-    for m in _OPTION.finditer(text):
+    for m in every(_OPTION):
         for g in ("p", "p2", "p3", "p4"):
             if m[g] and not stand_in(m[g]):
                 add(*m.span(g), "option", "option")
-    for m in _CALL.finditer(text):
+    for m in every(_CALL):
         base = m.start("args")
         literals = [(x.start(x.lastgroup or "d"), x.end(x.lastgroup or "d"), x[x.lastgroup or "d"], x.start()) for x in _STRING.finditer(m["args"])]
         # positional literals only: host, user, password or user, password
@@ -198,7 +218,7 @@ def find(text: str) -> list[Hit]:
             if re.fullmatch(r"[\w.\-]{2,}", user) and not re.search(r"\.\w{1,4}$|/", user) and _secretive(value) and not stand_in(value) and "://" not in value and "@" not in value:
                 add(base + s, base + e, m["f"], "argument")
     for pattern in (_ISSUED, _JWT):
-        for m in pattern.finditer(text):
+        for m in every(pattern):
             if not hidden(m.start()) and not stand_in(m["p"]):
                 add(*m.span("p"), "token", "token")
     for m in _BLOB.finditer(text):

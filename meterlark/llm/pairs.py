@@ -73,6 +73,7 @@ DANGLING = frozenset(
 #: Stand-ins for an answer that is missing.
 MISSING = frozenset("n/a na none null nil nan tbd tba todo pending unknown empty undefined - -- no answer not answered not available no reply placeholder to be done to be determined answer missing sans réponse aucune réponse keine antwort sin respuesta 无 暂无 无回答 没有回答 なし 未回答 回答なし".replace("no answer", "no_answer").replace("not answered", "not_answered").replace("not available", "not_available").replace("no reply", "no_reply").replace("to be done", "to_be_done").replace("to be determined", "to_be_determined").replace("answer missing", "answer_missing").replace("sans réponse", "sans_réponse").replace("aucune réponse", "aucune_réponse").replace("keine antwort", "keine_antwort").replace("sin respuesta", "sin_respuesta").split())
 
+_NOT_PLAIN = re.compile(r"[\W_]+")
 _TAG_OR_ENTITY = re.compile(r"<[^<>]{0,80}>|&(?:nbsp|zwnj|zwsp|#\d+|#x[0-9a-fA-F]+|amp|lt|gt|quot);")
 _BLANK = re.compile(r"[\s​-‏⁠﻿­　⠀]+")
 _CLAUSE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？；])[」』”）]*\s*|\n+")
@@ -99,7 +100,7 @@ def language(text: str) -> str | None:
 
 def plain(text: str) -> str:
     """Letters and digits only, in lower case."""
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return _NOT_PLAIN.sub("", text.casefold())
 
 
 def is_empty(answer: str | None) -> bool:

@@ -24,18 +24,19 @@ def _runs(requests: DataFrame, key: str, at: str, order: str, pause: int) -> Dat
     return requests.withColumn("run", F.max(starts).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def _walk(runs: DataFrame, key: str, at: str, order: str, fresh: Callable[[], Callable[[int], bool]]) -> DataFrame:
-    rows = runs.select(F.col(key).alias("k"), F.col("run"), F.col(at).cast("long").alias("t"), F.col(order).alias("o")).repartition("k", "run").sortWithinPartitions("k", "run", "t", "o")
+def _walk(runs: DataFrame, key: str, at: str, order: str, fresh: Callable[[], Callable[[int, bool], bool]], ok: str | None = None) -> DataFrame:
+    good = F.coalesce(F.col(ok), F.lit(False)) if ok else F.lit(True)
+    rows = runs.select(F.col(key).alias("k"), F.col("run"), F.col(at).cast("long").alias("t"), F.col(order).alias("o"), good.alias("good")).repartition("k", "run").sortWithinPartitions("k", "run", "t", "o")
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, allow = None, fresh()
         for batch in batches:
             out = []
-            for k, r, t in zip(batch["k"].tolist(), batch["run"].tolist(), batch["t"].tolist()):
+            for k, r, t, g in zip(batch["k"].tolist(), batch["run"].tolist(), batch["t"].tolist(), batch["good"].tolist()):
                 if (k, r) != current:
                     current, allow = (k, r), fresh()
-                out.append(allow(t))
+                out.append(allow(t, g))
             yield batch[["k", "t", "o"]].assign(allowed=out)
 
     return rows.mapInPandas(run, f"k {kinds['k']}, t long, o {kinds['o']}, allowed boolean").toDF(key, at, order, "allowed")
@@ -44,10 +45,10 @@ def _walk(runs: DataFrame, key: str, at: str, order: str, fresh: Callable[[], Ca
 def sliding(requests: DataFrame, key: str, at: str, order: str, most: int, seconds: int) -> DataFrame:
     """(key, at, order, allowed): at most ``most`` requests within ``seconds``; a denied request leaves no trace."""
 
-    def fresh() -> Callable[[int], bool]:
+    def fresh() -> Callable[[int, bool], bool]:
         times: deque[int] = deque()
 
-        def allow(t: int) -> bool:
+        def allow(t: int, good: bool) -> bool:
             if len(times) >= most:
                 if t - times[0] < seconds:
                     return False
@@ -63,10 +64,10 @@ def sliding(requests: DataFrame, key: str, at: str, order: str, most: int, secon
 def token_bucket(requests: DataFrame, key: str, at: str, order: str, rate: float, capacity: float, cost: float = 1.0) -> DataFrame:
     """(key, at, order, allowed): a bucket that fills by ``rate`` a second up to ``capacity``; each request takes ``cost``."""
 
-    def fresh() -> Callable[[int], bool]:
+    def fresh() -> Callable[[int, bool], bool]:
         state = [capacity, None]
 
-        def allow(t: int) -> bool:
+        def allow(t: int, good: bool) -> bool:
             if state[1] is not None:
                 state[0] = min(capacity, state[0] + (t - state[1]) * rate)
             state[1] = t
@@ -78,3 +79,25 @@ def token_bucket(requests: DataFrame, key: str, at: str, order: str, rate: float
         return allow
 
     return _walk(_runs(requests, key, at, order, math.ceil(capacity / rate)), key, at, order, fresh)
+
+
+def dual(requests: DataFrame, key: str, at: str, order: str, ok: str, total: int, success: int, seconds: int) -> DataFrame:
+    """(key, at, order, allowed): at most ``total`` requests and, of these, ``success`` successful ones within ``seconds``. A denied request leaves no trace."""
+
+    def fresh() -> Callable[[int, bool], bool]:
+        tried: deque[int] = deque()
+        done: deque[int] = deque()
+
+        def allow(t: int, good: bool) -> bool:
+            if len(done) >= success and t - done[0] < seconds or len(tried) >= total and t - tried[0] < seconds:
+                return False
+            for times, most, counts in ((tried, total, True), (done, success, good)):
+                if counts:
+                    if len(times) >= most:
+                        times.popleft()
+                    times.append(t)
+            return True
+
+        return allow
+
+    return _walk(_runs(requests, key, at, order, seconds), key, at, order, fresh, ok)

@@ -106,6 +106,34 @@ def rate_limit_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.token_bucket(rows, "user_id", "created_at", "id", 0.01, 5)
 
 
+@query()
+def rate_limit_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most five requests an hour, and two of them that didn't end in an error."""
+    rows = _log(spark, sf_dir).filter("user_id IS NOT NULL AND created_at IS NOT NULL").select("user_id", "created_at", "id", (F.col("type") != 5).alias("ok"))
+    return limits.dual(rows, "user_id", "created_at", "id", "ok", 5, 2, 3600)
+
+
+@query("SELECT record_id, task_id, status FROM task_record WHERE status IS NOT NULL AND upper(status) NOT IN ('SUCCESS', 'FAILURE') AND received_at < (SELECT max(received_at) FROM task_record) - INTERVAL 7 DAY ORDER BY record_id LIMIT 100")
+def task_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tasks that neither succeeded nor failed and are a week old."""
+    tasks = table(spark, sf_dir, "task_record")
+    cut = tasks.agg(F.max("received_at")).scalar() - F.expr("INTERVAL 7 DAY")
+    return tasks.filter(~F.upper("status").isin("SUCCESS", "FAILURE") & (F.col("received_at") < cut)).orderBy("record_id").limit(100).select("record_id", "task_id", "status")
+
+
+@query("SELECT task_id, arg_max(record_id, (received_at, record_id)) AS record_id, count(*) AS deliveries FROM task_record WHERE task_id IS NOT NULL GROUP BY task_id")
+def task_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last delivery of each task."""
+    tasks = table(spark, sf_dir, "task_record").filter("task_id IS NOT NULL")
+    return tasks.groupBy("task_id").agg(F.max_by("record_id", F.struct("received_at", "record_id")).alias("record_id"), F.count("*").alias("deliveries"))
+
+
+@query("SELECT platform, upper(trim(coalesce(status, 'unknown'))) AS status, count(*) AS n, floor(epoch(min(received_at)))::BIGINT AS first_at, floor(epoch(max(received_at)))::BIGINT AS last_at FROM task_record GROUP BY 1, 2")
+def task_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.upper(F.trim(F.coalesce("status", F.lit("unknown"))))
+    return table(spark, sf_dir, "task_record").groupBy("platform", status.alias("status")).agg(F.count("*").alias("n"), F.unix_timestamp(F.min("received_at")).alias("first_at"), F.unix_timestamp(F.max("received_at")).alias("last_at"))
+
+
 @query("SELECT model_name, created_at - created_at % 3600 AS hour, count(*) AS count, sum(quota)::BIGINT AS quota FROM usage_log WHERE type = 2 GROUP BY ALL")
 def stream_usage_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly rollup as a stream, run until its source is used up."""
@@ -117,6 +145,14 @@ def stream_perf_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.perf_buckets(spark, f"{sf_dir}/perf_sample.parquet")
 
 
+@query("SELECT request_id, 1::BIGINT AS rows FROM usage_log WHERE request_id IS NOT NULL GROUP BY request_id")
+def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request once, as a stream drops what is delivered again."""
+    rows = rollups.watch(spark, f"{sf_dir}/usage_log.parquet").filter("request_id IS NOT NULL")
+    first = rollups.once(rows.select("request_id", "event_time"), "request_id", rollups.LATEST)
+    return rollups.drain(first.select("request_id", F.lit(1).cast("long").alias("rows")), ["request_id"], mode="append")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.files_only(table(spark, sf_dir, "task_record"), "record_id", "payload")
 

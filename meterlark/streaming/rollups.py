@@ -41,7 +41,7 @@ def tumbling(rows: DataFrame, keys: list[str | Column], measures: list[Column],
     return rows.withWatermark("event_time", late).groupBy(*keys).agg(*measures)
 
 
-def drain(sums: DataFrame, keys: list[str], upsert: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def drain(sums: DataFrame, keys: list[str], upsert: Callable[[DataFrame, int], None] | None = None, mode: str = "update") -> DataFrame:
     """Runs a stream of updated groups until its source is used up; gives the last version of each group."""
     spark = sums.sparkSession
     at = f"{_shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
@@ -50,7 +50,7 @@ def drain(sums: DataFrame, keys: list[str], upsert: Callable[[DataFrame, int], N
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    stream = sums.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(upsert or write).start()
+    stream = sums.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(upsert or write).start()
     stream.awaitTermination()
     empty = spark.createDataFrame([], sums.schema).withColumn("batch", F.lit(0))
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")

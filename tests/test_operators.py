@@ -128,6 +128,26 @@ def test_limiters(spark, requests):
         assert got == want
 
 
+def both(rows, total, success, seconds):
+    tried, done, out = [], [], []
+    for t, ok in rows:
+        yes = not (len(done) >= success and t - done[-success] < seconds) and not (len(tried) >= total and t - tried[-total] < seconds)
+        out.append(yes)
+        if yes:
+            tried.append(t)
+            done += [t] if ok else []
+    return out
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 80), st.booleans()), max_size=60))
+def test_dual_limiter(spark, requests):
+    df = spark.createDataFrame([("k", t, i, ok) for i, (t, ok) in enumerate(requests)], "key string, at long, id long, ok boolean")
+    got = {r["id"]: r["allowed"] for r in limits.dual(df, "key", "at", "id", "ok", 4, 2, 10).collect()}
+    seq = sorted((t, i, ok) for i, (t, ok) in enumerate(requests))
+    assert got == dict(zip([i for _, i, _ in seq], both([(t, ok) for t, _, ok in seq], 4, 2, 10)))
+
+
 # streams
 
 

@@ -31,7 +31,10 @@ STOP_WORDS = {
     "de": "der die das den dem des ein eine einen einem einer eines und oder ist sind war waren sein zu im in an am auf aus bei mit nach von vor für über um als auch nicht kein keine wie was warum wann wo welche welcher ich sie wir ihr mein ihre es er wird werden kann können dann wenn aber nur noch schon bleiben bis etwa zum zur ja öffnen dass nichts etwas alle diese dieser dieses unter durch",
     "es": "el la los las un una unos unas de del y o es son era ser a al en por para con que qué no más lo se su sus mi mis cómo por qué cuándo dónde cuál cuánto cuánta si pero como antes después cada este esta estos estas usted nosotros ellos entonces unos hay muy ya todo todos nada tras sin sobre entre sí abra le les puede nos",
 }
-_STOPS = {lang: frozenset(w.split()) for lang, w in STOP_WORDS.items()}
+_WORD_LANGS: dict[str, list[str]] = {}
+for _lang, _words in STOP_WORDS.items():
+    for _word in set(_words.split()):
+        _WORD_LANGS.setdefault(_word, []).append(_lang)
 _KANA, _HAN, _HANGUL, _CYRILLIC, _ARABIC = (re.compile(p) for p in ("[ぁ-ゟァ-ヺー]", "[一-鿿]", "[가-힣]", "[Ѐ-ӿ]", "[؀-ۿ]"))
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = {"fr": "àâçèêëîïôùûœ", "de": "äöüß", "es": "ñ¿¡óáíú"}
@@ -82,6 +85,16 @@ _END = re.compile(r"[.!?…。！？」』]['\"”’)\]»`*_]*$")
 _URL_END = re.compile(r"(?:https?://|www\.)\S+$|\S+@\S+\.\w+$")
 
 
+#: Without one of these no clause refuses.
+_NEGATIONS = ("n't", "not", "cannot", "unable", "never", "declin", "refus", "ne ", "n'", "impossible", "nicht", "kein", "no ", "不", "无", "拒", "没", "恕", "でき", "かね", "お断", "なれ", "られ", "控")
+
+
+def refuses(clause: str) -> bool:
+    norm = clause.replace("’", "'")
+    low = norm.lower()
+    return any(n in low for n in _NEGATIONS) and REFUSAL.search(norm) is not None
+
+
 def language(text: str) -> str | None:
     """The language of a text by script, frequent words and special letters; None if there is no telling."""
     if _KANA.search(text):
@@ -92,8 +105,13 @@ def language(text: str) -> str | None:
         if len(script.findall(text)) >= 3:
             return lang
     low = text.lower()
-    found = [w for w in _LATIN.findall(low.replace("’", "'").replace("'", " "))]
-    score = {lang: sum(w in stops for w in found) + 0.7 * min(3, sum(low.count(c) for c in _MARKS.get(lang, ""))) for lang, stops in _STOPS.items()}
+    score = dict.fromkeys(STOP_WORDS, 0.0)
+    for w in _LATIN.findall(low):
+        for lang in _WORD_LANGS.get(w, ()):
+            score[lang] += 1
+    if not low.isascii():
+        for lang, letters in _MARKS.items():
+            score[lang] += 0.7 * min(3, sum(low.count(c) for c in letters))
     best, next_best = sorted(score, key=score.get, reverse=True)[:2]
     return best if score[best] >= 1.5 and score[best] > 1.15 * score[next_best] else None
 
@@ -141,7 +159,6 @@ def features(question: str, parts: list[str], tail_blank: bool) -> np.ndarray:
         echo = len(p2) >= 4 and len(q_plain) >= 4 and (p2 in q_plain or q_plain in p2) and not fence
         w = re.findall(r"\w+", c.casefold())
         share = sum(x in q_words for x in w) / len(w) if w and not fence else 0.0
-        norm = c.replace("’", "'")
         lang = None if fence else language(c)
         ended = bool(_END.search(c.strip())) or fence and c.rstrip().endswith("```") and len(c.strip()) > 6
         url = bool(_URL_END.search(c.strip()))
@@ -150,7 +167,7 @@ def features(question: str, parts: list[str], tail_blank: bool) -> np.ndarray:
         still_open = last and not ended and not url
         dangling = still_open and bool(w) and (w[-1] in DANGLING or c.rstrip().endswith((",", ":", ";", "(", "-", "，", "、", "：")))
         brackets = last and any(c.count(a) > c.count(b) for a, b in ("()", "[]", "{}", "（）", "「」"))
-        rows.append((1, echo, share, bool(REFUSAL.search(norm)), bool(SORRY.search(norm)), bool(ELSEWHERE.search(norm)), lang is not None and q_lang is not None and lang not in allowed, lang in allowed and lang is not None, last, still_open and not short, still_open and short, dangling, last and url, fence and not ended, fence and ended, brackets, i == 0, covered))
+        rows.append((1, echo, share, refuses(c), bool(SORRY.search(c)), bool(ELSEWHERE.search(c)), lang is not None and q_lang is not None and lang not in allowed, lang in allowed and lang is not None, last, still_open and not short, still_open and short, dangling, last and url, fence and not ended, fence and ended, brackets, i == 0, covered))
         covered = float(echo or covered == 1)
     return np.array(rows, float).reshape(-1, len(FEATURES))
 

@@ -119,23 +119,59 @@ def anchors(item: np.ndarray, rarity: np.ndarray, least: int) -> list[int]:
     return sorted({s + int(np.argmin(weight[s : s + least])) for s in range(len(item) - least + 1)})
 
 
-def _search(segments: DataFrame, kind: str, items: dict, rarity: np.ndarray, least: int, gap: int) -> DataFrame:
+def _unpack(batch: pa.RecordBatch, row: int) -> tuple[pa.Scalar, np.ndarray, dict[int, np.ndarray]]:
+    """A segment's keys, first places of its texts and posting lists by term."""
+    keys, starts, present, counts, places = (batch.column(c)[row] for c in range(5))
+    starts, present, step = (np.frombuffer(x.as_py(), np.int32) for x in (starts, present, places))
+    counts = np.array(counts.as_py(), np.int64)
+    if not len(step):
+        return keys, starts, {}
+    ends, total = np.cumsum(counts), np.cumsum(step.astype(np.int64))
+    posting = total - np.repeat(np.concatenate([[0], total[ends[:-1] - 1]]), counts)
+    return keys, starts, {int(t): posting[e - c : e] for t, e, c in zip(present, ends, counts)}
+
+
+def _near(segments: DataFrame, kind: str, items: dict, rarity: np.ndarray, least: int, share: float, slack: int) -> DataFrame:
+    """(k, item, words): most distinct words of a window of an item that stand within ``slack`` places of the window's rarest word."""
     plan = [(i, item, anchors(item, rarity, least)) for i, item in items.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = lambda b: np.frombuffer(b, np.int32)
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, starts, present, counts, places = (batch.column(c)[row] for c in range(5))
-                starts, present, counts = unpack(starts.as_py()), unpack(present.as_py()), np.array(counts.as_py(), np.int64)
-                step = unpack(places.as_py()).astype(np.int64)
-                if not len(step):
-                    continue
-                ends = np.cumsum(counts)
-                total = np.cumsum(step)
-                base = np.concatenate([[0], total[ends[:-1] - 1]])
-                posting = total - np.repeat(base, counts)
-                lists = {int(t): posting[e - c : e] for t, e, c in zip(present, ends, counts)}
+                keys, starts, lists = _unpack(batch, row)
+                best: dict[tuple[int, int], int] = {}
+                for item_id, item, anchored in plan:
+                    for at in anchored:
+                        here = lists.get(int(item[at]))
+                        if here is None:
+                            continue
+                        low, high = max(0, at - least + 1), min(len(item), at + least)
+                        seen = {}
+                        for t in set(item[low:high].tolist()):
+                            other = lists.get(t)
+                            seen[t] = np.zeros(len(here), bool) if other is None else np.searchsorted(other, here - slack) < np.searchsorted(other, here + slack, "right")
+                        most = np.zeros(len(here), np.int64)
+                        for s in range(max(0, at - least + 1), min(at, len(item) - least) + 1):
+                            window = set(item[s : s + least].tolist())
+                            count = np.sum([seen[t] for t in window], axis=0)
+                            most = np.maximum(most, np.where(count >= share * len(window), count, 0))
+                        for k in np.flatnonzero(most).tolist():
+                            doc = int(np.searchsorted(starts, here[k], "right")) - 1
+                            best[doc, item_id] = max(best.get((doc, item_id), 0), int(most[k]))
+                if best:
+                    yield pa.RecordBatch.from_arrays([keys.values.take(pa.array([d for d, _ in best])), pa.array([i for _, i in best]), pa.array(list(best.values()), pa.int32())], ["k", "item", "run"])
+
+    return segments.select("keys", "starts", "present", "counts", "places").mapInArrow(run, f"k {kind}, item long, run int")
+
+
+def _search(segments: DataFrame, kind: str, items: dict, rarity: np.ndarray, least: int) -> DataFrame:
+    """(k, item, run): longest runs of consecutive words, of at least ``least``."""
+    plan = [(i, item, anchors(item, rarity, least)) for i, item in items.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, starts, lists = _unpack(batch, row)
                 best: dict[tuple[int, object], int] = {}
                 for item_id, item, anchored in plan:
                     for at in anchored:
@@ -167,10 +203,12 @@ def _search(segments: DataFrame, kind: str, items: dict, rarity: np.ndarray, lea
     return segments.select("keys", "starts", "present", "counts", "places").mapInArrow(run, f"k {kind}, item long, run int")
 
 
-def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = 12) -> DataFrame:
+def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = 12, near: tuple[float, int] | None = None) -> DataFrame:
     """(key, item_key, words): texts that hold at least ``least`` consecutive words of an item.
 
-    ``words`` is the longest such run. Words are the longest runs of letters and digits in lower
+    ``words`` is the longest such run. With ``near`` = (share, slack) instead texts that hold that
+    share of the distinct words of a run of ``least`` words of an item, in any order, within
+    ``slack`` places of the run's rarest word, which must be there; ``words`` is their number. Words are the longest runs of letters and digits in lower
     case, whatever stands between them. One row for each pair of keys: rows that repeat a key count
     as one text each and give one row. Null, empty or blank texts and items, items of fewer than
     ``least`` words and rows without a key match nothing; an empty table on either side gives an
@@ -193,12 +231,12 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: st
                 cut.setdefault(row["i"], []).append(np.array([terms.setdefault(x, len(terms)) for x in w], np.int32))
         # items of one key stand behind one another, parted by a word that occurs nowhere
         joined = {i: np.concatenate([x for part in parts for x in ([len(terms)], part)][1:]).astype(np.int32) for i, parts in cut.items()}
-        segments = durable(index(corpus, key, text, terms, least + 1))
+        segments = durable(index(corpus, key, text, terms, max(least, near[1] if near else 0) + 1))
         counts = segments.select(F.explode(F.arrays_zip("terms", "counts")).alias("z")).groupBy("z.terms").agg(F.sum("z.counts").alias("n")).collect()
         rarity = np.zeros(len(terms) + 1, np.int64)
         rarity[-1] = np.iinfo(np.int64).max
         for r in counts:  # at most one row for each word of the block's items
             rarity[r["terms"]] = r["n"]
-        part = _search(segments, kind, joined, rarity, least, least + 1)
+        part = _near(segments, kind, joined, rarity, least, *near) if near else _search(segments, kind, joined, rarity, least)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("k", "item").agg(F.max("run").alias("words")).select(F.col("k").alias(key), F.col("item").alias(item_key), "words")

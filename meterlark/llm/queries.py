@@ -68,6 +68,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: five in six of twelve words within eighteen places, in any order."""
+    return p8.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text", near=(5 / 6, 18))
+
+
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", p7.vocabulary())
 
@@ -77,5 +82,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_credentials, p1_masked, p3_found, p3_details, p3_replaced, p4_found, p5_found, p6_found, p6_turns, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_credentials, p1_masked, p3_found, p3_details, p3_replaced, p4_found, p5_found, p6_found, p6_turns, p7_ids, p8_found, p8_leaks, p8_near, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}

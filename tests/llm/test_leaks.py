@@ -56,3 +56,18 @@ def test_edges(spark, monkeypatch):
 def test_longest_run(spark):
     docs = [(1, "a b c d e x a b c d e f g"), (2, "a b c d e f g h " * 3)]
     assert sorted(map(tuple, found(spark, docs, [(1, "z a b c d e f g")], 5).collect())) == [(1, 1, 7), (2, 1, 7)]
+
+
+def test_proximity(spark):
+    item = "red green blue cyan gold grey"
+    docs = [(1, "grey cyan x blue red y gold green"), (2, "red green blue"), (3, "red " * 9), (4, "red green " + "x " * 40 + "blue cyan gold grey"), (5, item)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r[0]: r[2] for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text", 6, near=(5 / 6, 8)).collect()}
+    assert got == {1: 6, 5: 6}
+
+
+def test_proximity_holds_exact_matches(spark, data):
+    d, i = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_item.parquet")
+    exact = {(r[0], r[1]) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert exact <= {(r[0], r[1]) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text", near=(1.0, 11)).collect()}

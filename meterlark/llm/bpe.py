@@ -175,6 +175,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text (0 for null)."""
+        return self.encode_words(texts)[:2]
+
+    def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``encode``, and whether each id begins a word."""
         flat, per_text = self.words(texts)
         if len(self.known) > KEPT_WORDS:
             self.forget()
@@ -184,14 +188,16 @@ class Encoder:
         if new:
             self._learn(new)
         if not names:
-            return np.zeros(0, np.int32), np.zeros(len(per_text), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(per_text), np.int64), np.zeros(0, bool)
         local = np.fromiter((self.known[w] for w in names), np.int64, len(names))
         word = local[coded.indices.to_numpy()]
         count = self.count[word]
         ends = np.cumsum(count)
         where = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(self.start[word] - (ends - count), count)
         text_ends = np.concatenate([[0], ends])[np.cumsum(per_text)]
-        return self.pool[where], np.diff(np.concatenate([[0], text_ends]))
+        begins = np.zeros(int(ends[-1]), bool)
+        begins[ends - count] = True
+        return self.pool[where], np.diff(np.concatenate([[0], text_ends])), begins
 
 
 _ENCODERS: dict[str, Encoder] = {}

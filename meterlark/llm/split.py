@@ -65,39 +65,73 @@ def strengths(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return s
 
 
-def cut(data: np.ndarray, ids: np.ndarray, token_size: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Pieces (first byte, end byte, tokens) of a text of more than ``most`` tokens."""
-    ends = np.cumsum(token_size[ids])
-    n = len(ids)
+def cut(data: np.ndarray, ends: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Pieces (first token, end token) of a text of more than ``most`` tokens that end at the bytes ``ends``."""
+    n = len(ends)
     value = np.concatenate([[0], strengths(data, ends)]) * _STEP + np.arange(n + 1)
     least, near = max(most // 2, overlap + 1), max(1, overlap // 4)
     index = RangeMax(value, [most - least + 1, overlap - near + 1, overlap])
-    offset = np.concatenate([[0], ends])
     out, start = [], 0
     while n - start > most:
         end = index.best(start + least, start + most) % _STEP
-        out.append((int(offset[start]), int(offset[end]), end - start))
+        out.append((start, end))
         back = index.best(end - overlap, end - near)
         if back < _STEP:
             back = index.best(end - overlap, end - 1)
         start = back % _STEP
-    out.append((int(offset[start]), int(offset[n]), n - start))
+    out.append((start, n))
     return out
 
 
-def _pieces(e: bpe.Encoder, raw: bytes, ids: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, int]]:
-    """As ``cut``, but a piece or overlap that has more tokens when encoded by itself makes the limits smaller."""
-    data, limit, lap = np.frombuffer(raw, np.uint8), most, overlap
-    while True:
-        parts = cut(data, ids, e.token_size, limit, lap)
-        alone = pa.array([raw[a:b].decode() for a, b, _ in parts], pa.large_string()).cast(pa.string())
-        shared = pa.array([raw[b[0] : a[1]].decode() for a, b in zip(parts, parts[1:])], pa.string())
-        sizes = np.concatenate([e.encode(s)[1] for _, s in bpe.slices(alone)])
-        laps = np.concatenate([e.encode(s)[1] for _, s in bpe.slices(shared)]) if len(shared) else np.zeros(1, np.int64)
-        over, over_lap = int(sizes.max()) - most, int(laps.max()) - overlap
-        if over <= 0 and over_lap <= 0 or limit <= most // 2:
-            return [(a, b, int(s)) for (a, b, _), s in zip(parts, sizes)]
-        limit, lap = limit - max(0, over), max(1, lap - max(0, over_lap))
+class _Text:
+    """A text on its way to pieces."""
+
+    def __init__(self, place: int, raw: bytes, ids: np.ndarray, begins: np.ndarray, token_size: np.ndarray, most: int, overlap: int):
+        self.place, self.raw, self.begins, self.limit, self.lap = place, raw, begins, most, overlap
+        self.data, self.ends = np.frombuffer(raw, np.uint8), np.cumsum(token_size[ids])
+        self.offset = np.concatenate([[0], self.ends])
+
+    def cut(self) -> None:
+        self.parts = cut(self.data, self.ends, self.limit, self.lap)
+        self.spans = self.parts + [(b[0], a[1]) for a, b in zip(self.parts, self.parts[1:])]  # pieces, then what they share
+        self.sizes = [b - a for a, b in self.spans]
+
+    def bytes_of(self, span: tuple[int, int]) -> tuple[int, int]:
+        return int(self.offset[span[0]]), int(self.offset[span[1]])
+
+    def same_alone(self, span: tuple[int, int]) -> bool:
+        """Whether the span surely has the same tokens when encoded by itself: it begins and ends with a word, and not in a run of white space, which the end of a text cuts in another way."""
+        a, b = span
+        if not self.begins[a] or b < len(self.begins) and not self.begins[b]:
+            return False
+        if b == len(self.begins):
+            return True
+        tail = self.raw[max(0, int(self.offset[b]) - 8) : int(self.offset[b])].decode(errors="ignore")
+        return not tail[-1:].isspace() or not tail[-2:-1].isspace() and len(tail) > 1
+
+
+def _settle(e: bpe.Encoder, texts: list[_Text], most: int, overlap: int) -> None:
+    """Cuts texts; where a piece or overlap has too many tokens when encoded by itself, again with smaller limits. Spans in doubt of all texts are encoded together."""
+    while texts:
+        doubts: list[tuple[_Text, int]] = []
+        for t in texts:
+            t.cut()
+            doubts += [(t, i) for i, span in enumerate(t.spans) if not t.same_alone(span)]
+        if not doubts:
+            return
+        alone = pa.array([t.raw[slice(*t.bytes_of(t.spans[i]))].decode() for t, i in doubts], pa.large_string())
+        sizes = np.concatenate([e.encode(part.cast(pa.string()))[1] for _, part in bpe.slices(alone)])
+        again: dict[int, _Text] = {}
+        for (t, i), size in zip(doubts, sizes.tolist()):
+            t.sizes[i] = size
+            over = size - (most if i < len(t.parts) else overlap)
+            if over > 0 and t.limit > most // 2:
+                if i < len(t.parts):
+                    t.limit -= over
+                else:
+                    t.lap = max(1, t.lap - over)
+                again[id(t)] = t
+        texts = list(again.values())
 
 
 def pieces(df: DataFrame, key: str, text: str, path: str, most: int = 1024, overlap: int = 64, with_text: bool = True) -> DataFrame:
@@ -118,12 +152,11 @@ def pieces(df: DataFrame, key: str, text: str, path: str, most: int = 1024, over
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for at, part in bpe.slices(texts):
-                ids, sizes = e.encode(part)
-                first, rows = np.concatenate([[0], np.cumsum(sizes)]), []
-                for i in np.flatnonzero(sizes > most).tolist():
-                    raw = part[i].as_py().encode()
-                    cuts = _pieces(e, raw, ids[first[i] : first[i + 1]], most, overlap)
-                    rows += [(at + i, k + 1, len(cuts), *c, raw[c[0] : c[1]].decode() if with_text else None) for k, c in enumerate(cuts)]
+                ids, sizes, begins = e.encode_words(part)
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                large = [_Text(at + i, part[i].as_py().encode(), ids[first[i] : first[i + 1]], begins[first[i] : first[i + 1]], e.token_size, most, overlap) for i in np.flatnonzero(sizes > most).tolist()]
+                _settle(e, large, most, overlap)
+                rows = [(t.place, k + 1, len(t.parts), *(span := t.bytes_of(p)), t.sizes[k], t.raw[slice(*span)].decode() if with_text else None) for t in large for k, p in enumerate(t.parts)]
                 if rows:
                     place, *rest = zip(*rows)
                     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()][: 5 + with_text]

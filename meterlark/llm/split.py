@@ -121,17 +121,18 @@ def _settle(e: bpe.Encoder, texts: list[_Text], most: int, overlap: int) -> None
             return
         alone = pa.array([t.raw[slice(*t.bytes_of(t.spans[i]))].decode() for t, i in doubts], pa.large_string())
         sizes = np.concatenate([e.encode(part.cast(pa.string()))[1] for _, part in bpe.slices(alone)])
-        again: dict[int, _Text] = {}
+        over: dict[int, list] = {}
         for (t, i), size in zip(doubts, sizes.tolist()):
             t.sizes[i] = size
-            over = size - (most if i < len(t.parts) else overlap)
-            if over > 0 and t.limit > most // 2:
-                if i < len(t.parts):
-                    t.limit -= over
-                else:
-                    t.lap = max(1, t.lap - over)
-                again[id(t)] = t
-        texts = list(again.values())
+            piece = i < len(t.parts)
+            excess = size - (most if piece else overlap)
+            if excess > 0 and t.limit > most // 2:
+                worst = over.setdefault(id(t), [t, 0, 0])
+                worst[1 if piece else 2] = max(worst[1 if piece else 2], excess)
+        texts = []
+        for t, by_piece, by_lap in over.values():
+            t.limit, t.lap = t.limit - by_piece, max(1, t.lap - by_lap)
+            texts.append(t)
 
 
 def pieces(df: DataFrame, key: str, text: str, path: str, most: int = 1024, overlap: int = 64, with_text: bool = True) -> DataFrame:

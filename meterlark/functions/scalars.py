@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -121,31 +125,66 @@ ESTIMATE_WEIGHTS = {
     "claude": dict(word=1.13, number=1.63, cjk=1.21, symbol=0.4, math=4.52, url=1.26, at=2.82, emoji=2.6, newline=0.89, space=0.39),
     "": dict(word=1.02, number=1.55, cjk=0.85, symbol=0.4, math=2.68, url=1.0, at=2.0, emoji=2.12, newline=0.5, space=0.42),
 }
-_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_CJK = r"\x{2E80}-\x{2FD5}\x{3005}\x{3007}\x{3021}-\x{3029}\x{3038}-\x{303B}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAD9}\x{20000}-\x{323AF}"
-_EMOJI = r"\x{2600}-\x{27BF}\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FAFF}"
-_MATH = r"\x{B1}\x{D7}\x{F7}\x{AC}\x{B0}\x{2032}-\x{2034}\x{207A}-\x{207E}\x{208A}-\x{208E}\x{2200}-\x{22FF}\x{2A00}-\x{2AFF}"
-_WORDS = r"\p{L}&&[^" + _CJK + "]"
+_KINDS = ("newline", "space", "cjk", "emoji", "word", "number", "math", "at", "url", "symbol")
+_MATH = "±×÷¬°′″‴⁺⁻⁼⁽⁾ⁿ₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎²³¹⁴⁵⁶⁷⁸⁹⁰"
+
+
+def _kind(code: int) -> str:
+    """The class of a character; the first that fits of space, CJK, emoji, letter, number, mathematics, at-sign, URL delimiter."""
+    c = chr(code)
+    if c in "\n\t":
+        return "newline"
+    if c.isspace() and not 0x1C <= code <= 0x1F:
+        return "space"
+    name = unicodedata.name(c, "")
+    if name.startswith("CJK ") and unicodedata.category(c) in ("Lo", "So") and ("IDEOGRAPH" in name or "RADICAL" in name) or name.startswith("KANGXI RADICAL") or code in (0x3005, 0x3007) or 0x3021 <= code <= 0x3029 or 0x3038 <= code <= 0x303B or 0x3040 <= code <= 0x30FF or 0xAC00 <= code <= 0xD7A3:
+        return "cjk"
+    if 0x2600 <= code <= 0x27BF or 0x1F300 <= code <= 0x1F9FF or 0x1FA00 <= code <= 0x1FAFF:
+        return "emoji"
+    category = unicodedata.category(c)[0]
+    if category in "LN":
+        return "word" if category == "L" else "number"
+    if c in _MATH or 0x2200 <= code <= 0x22FF or 0x2A00 <= code <= 0x2AFF:
+        return "math"
+    return "at" if c == "@" else "url" if c in "/:?&=;#%" else "symbol"
+
+
+@lru_cache(maxsize=1)
+def _table() -> np.ndarray:
+    """The class of each character, by number; 255 where it isn't looked up yet."""
+    return np.full(0x110000, 255, np.uint8)
+
+
+def estimates(texts: list[str | None], family: str = "") -> np.ndarray:
+    """The estimate of each text; 0 for null."""
+    w = ESTIMATE_WEIGHTS[next((f for f in ESTIMATE_WEIGHTS if f and f in family.lower()), "")]
+    table, size = _table(), np.array([len(t) if t else 0 for t in texts], np.int64)
+    codes = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = table[codes]
+    if (kinds == 255).any():
+        for code in np.unique(codes[kinds == 255]).tolist():
+            table[code] = _KINDS.index(_kind(code))
+        kinds = table[codes]
+    # letters and digits count once a run; a text's first character always begins one
+    begins = np.ones(len(kinds), bool)
+    begins[1:] = kinds[1:] != kinds[:-1]
+    ends = np.cumsum(size)
+    begins[(ends - size)[size > 0]] = True
+    runs = (kinds == _KINDS.index("word")) | (kinds == _KINDS.index("number"))
+    hundredths = np.array([round(100 * w[k]) for k in _KINDS])  # the weights have two places, so sums are exact
+    upto = np.concatenate([[0], np.cumsum(hundredths[kinds] * (begins | ~runs))])
+    return -(-(upto[ends] - upto[ends - size]) // 100)
 
 
 def estimate_tokens(text: Column, family: str = "") -> Column:
-    """A quick estimate of tokens: weighted counts of runs of letters, runs of digits and single other characters, rounded up.
+    """A quick estimate of tokens: weighted counts of runs of letters, runs of digits and single other characters, rounded up; 0 for null.
 
-    Every count is one JVM-side regular expression over disjoint classes, tested in the order space,
-    CJK, emoji, letters and digits, mathematics, at-sign, URL delimiters, other symbols.
+    Ten counts by regular expression read a text ten times; this reads it once, in Arrow batches
+    of character codes.
     """
-    w = ESTIMATE_WEIGHTS[next((f for f in ESTIMATE_WEIGHTS if f and f in family.lower()), "")]
-    classes = {
-        "newline": r"[\n\t]",
-        "space": rf"[{_SPACE}&&[^\n\t]]",
-        "cjk": f"[{_CJK}]",
-        "emoji": f"[{_EMOJI}]",
-        "word": f"[{_WORDS}]+",
-        "number": r"\p{N}+",
-        "math": rf"[{_MATH}&&[^\p{{L}}\p{{N}}]]",
-        "at": "@",
-        "url": "[/:?&=;#%]",
-        "symbol": rf"[^{_SPACE}{_CJK}{_EMOJI}{_MATH}\p{{L}}\p{{N}}@/:?&=;#%]",
-    }
-    total = sum((F.regexp_count(text, F.lit(p)) * w[name] for name, p in classes.items()), F.lit(0.0))
-    return F.coalesce(F.ceil(F.round(total, 9)), F.lit(0)).cast("long")
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(estimates(texts.tolist(), family), index=texts.index)
+
+    return run(text)

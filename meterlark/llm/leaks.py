@@ -30,6 +30,8 @@ from meterlark.session import durable
 
 #: Text of the items that one pass over the corpus may hold in memory; more items go in blocks.
 BLOCK_BYTES = 16_000_000
+#: Text of a segment, at least one text: the larger, the fewer times the items are gone through.
+SEGMENT_BYTES = 16_000_000
 WORDS_SQL = rf"""
 SELECT CASE WHEN t IS NULL THEN [] WHEN regexp_matches(t, '[^{bpe.USUAL}]') THEN NULL
             ELSE regexp_extract_all(lower(t), '[\pL\pN]+') END AS w
@@ -88,7 +90,7 @@ def index(corpus: DataFrame, key: str, text: str, terms: dict[str, int], gap: in
         pack = lambda a: np.ascontiguousarray(a, np.int32).tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at, part in bpe.slices(texts):
+            for at, part in bpe.slices(texts, SEGMENT_BYTES):
                 flat, per_text = cutter(part)
                 coded = flat.dictionary_encode()
                 local = np.fromiter((terms.get(w, -1) for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))

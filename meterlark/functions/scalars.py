@@ -126,6 +126,7 @@ ESTIMATE_WEIGHTS = {
     "": dict(word=1.02, number=1.55, cjk=0.85, symbol=0.4, math=2.68, url=1.0, at=2.0, emoji=2.12, newline=0.5, space=0.42),
 }
 _KINDS = ("newline", "space", "cjk", "emoji", "word", "number", "math", "at", "url", "symbol")
+# Signs of mathematics outside the blocks of operators.
 _MATH = "±×÷¬°′″‴⁺⁻⁼⁽⁾ⁿ₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎²³¹⁴⁵⁶⁷⁸⁹⁰"
 
 

@@ -17,13 +17,19 @@ def period(name: str) -> tuple[int | None, int]:
     return PERIODS[name or "week"]
 
 
-def windows(rolled: DataFrame, now: Column, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the period and of the one before it."""
+def period_sums(consumed: DataFrame, now: Column, name: str) -> DataFrame:
+    """(model_name, tokens, before): every named model's tokens of the period and of the one before it, whole hours, in one pass.
+
+    Without a period before (all time) ``before`` is null.
+    """
     length, _ = period(name)
+    hour, used = bucket(F.col("created_at"), 3600), F.col("prompt_tokens") + F.col("completion_tokens")
+    named = consumed.filter("model_name <> ''")
     if length is None:
-        return rolled, None
+        return named.groupBy("model_name").agg(F.sum(used).alias("tokens"), F.lit(None).cast("long").alias("before"))
     start = now - length
-    return rolled.filter((F.col("hour") >= start) & (F.col("hour") <= now)), rolled.filter((F.col("hour") >= start - length) & (F.col("hour") <= start - 1))
+    within = named.filter((hour >= start - length) & (hour <= now))
+    return within.groupBy("model_name").agg(F.sum(F.when(hour >= start, used)).alias("tokens"), F.sum(F.when(hour <= start - 1, used)).alias("before"))
 
 
 def totals(rolled: DataFrame) -> DataFrame:
@@ -31,18 +37,18 @@ def totals(rolled: DataFrame) -> DataFrame:
     return rolled.filter("model_name <> ''").groupBy("model_name").agg(F.sum("token_used").alias("tokens")).filter("tokens > 0")
 
 
-def ranked(sums: DataFrame, name: str, tokens: str = "tokens") -> DataFrame:
-    """With rank: unique, from 1, by tokens; ties by name. The input is a table of sums, one row a name."""
-    return sums.withColumn("rank", F.row_number().over(W.orderBy(F.desc(tokens), name)).cast("long"))
+def _place(sums: DataFrame, name: str, tokens: str) -> Column:
+    """Unique rank from 1 among those with tokens, by tokens, ties by name; null for the others. One row a name, so one partition is enough."""
+    return F.when(F.col(tokens) > 0, F.row_number().over(W.orderBy(F.desc_nulls_last(tokens), name)).cast("long"))
 
 
-def models(now_rows: DataFrame, before_rows: DataFrame) -> DataFrame:
+def models(sums: DataFrame) -> DataFrame:
     """All models of the period: rank, previous_rank (null if new), tokens, share and growth in percent."""
-    now, before = ranked(totals(now_rows), "model_name"), ranked(totals(before_rows), "model_name")
-    return now.join(before.select("model_name", F.col("rank").alias("previous_rank"), F.col("tokens").alias("previous_tokens")), "model_name", "left").select(
+    placed = sums.withColumn("rank", _place(sums, "model_name", "tokens")).withColumn("previous_rank", _place(sums, "model_name", "before")).filter("rank IS NOT NULL")
+    return placed.select(
         "rank", "model_name", "tokens", "previous_rank",
         share(F.col("tokens"), F.sum("tokens").over(W.partitionBy())).alias("share"),
-        growth(F.col("tokens"), F.col("previous_tokens")).alias("growth_pct"),
+        growth(F.col("tokens"), F.when(F.col("before") > 0, F.col("before"))).alias("growth_pct"),
     )
 
 
@@ -57,12 +63,12 @@ def movers(ranking: DataFrame, up: bool, most: int = 6) -> DataFrame:
     return moved.orderBy(*order).limit(most).select("model_name", "rank", "previous_rank", "delta", "growth_pct")
 
 
-def vendors(rows: DataFrame, before: DataFrame, vendor_of: DataFrame) -> DataFrame:
+def vendors(sums: DataFrame, vendor_of: DataFrame) -> DataFrame:
     """Vendors by tokens, then name: tokens, number of models, top model, share and growth. ``vendor_of``: (model_name, vendor)."""
-    sums = totals(rows).join(vendor_of, "model_name", "left").withColumn("vendor", F.coalesce("vendor", F.lit("Unknown")))
-    old = totals(before).join(vendor_of, "model_name", "left").groupBy(F.coalesce("vendor", F.lit("Unknown")).alias("vendor")).agg(F.sum("tokens").alias("before"))
-    now = sums.groupBy("vendor").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("models"), F.min_by("model_name", F.struct(-F.col("tokens"), "model_name")).alias("top_model"))
-    return ranked(now, "vendor").join(old, "vendor", "left").select("rank", "vendor", "tokens", "models", "top_model", share(F.col("tokens"), F.sum("tokens").over(W.partitionBy())).alias("share"), growth(F.col("tokens"), F.col("before")).alias("growth_pct"))
+    known = sums.join(vendor_of, "model_name", "left").withColumn("vendor", F.coalesce("vendor", F.lit("Unknown")))
+    used, was = F.when(F.col("tokens") > 0, F.col("tokens")), F.when(F.col("before") > 0, F.col("before"))
+    by = known.groupBy("vendor").agg(F.sum(used).alias("tokens"), F.sum(was).alias("before"), F.count(used).alias("models"), F.min_by("model_name", F.when(used.isNotNull(), F.struct(-F.col("tokens"), "model_name"))).alias("top_model")).filter("tokens > 0")
+    return by.select(_place(by, "vendor", "tokens").alias("rank"), "vendor", "tokens", "models", "top_model", share(F.col("tokens"), F.sum("tokens").over(W.partitionBy())).alias("share"), growth(F.col("tokens"), F.col("before")).alias("growth_pct"))
 
 
 def history(rows: DataFrame, size: int, column: str, most: int) -> DataFrame:

@@ -64,11 +64,11 @@ def deliveries(log: DataFrame) -> DataFrame:
     return log.groupBy(key.alias("_key")).agg(best.alias("row")).select("row.*")
 
 
-def rollup(log: DataFrame, size: int = 3600) -> DataFrame:
-    """Consumption by user, name, model and hour: count, quota, token_used."""
+def rollup(log: DataFrame, size: int = 3600, keys: tuple[str, ...] = ("user_id", "username", "model_name")) -> DataFrame:
+    """Consumption by user, name, model and hour, or fewer keys and hour: count, quota, token_used."""
     return (
         log.filter(F.col("type") == CONSUME)
-        .groupBy("user_id", "username", "model_name", bucket(F.col("created_at"), size).alias("hour"))
+        .groupBy(*keys, bucket(F.col("created_at"), size).alias("hour"))
         .agg(F.count("*").alias("count"), F.sum("quota").alias("quota"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("token_used"))
     )
 

@@ -23,21 +23,21 @@ def query(sql: str | None = None):
 
 
 def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.rollup(log(spark, sf_dir))
+    """The rollup without its users: what rankings and charts of models need."""
+    return U.rollup(log(spark, sf_dir), keys=("model_name",))
 
 
-def _month(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = log(spark, sf_dir)
-    now, before = R.windows(U.rollup(df), U.latest(df), "month")
-    return now, before
+    return R.period_sums(df.filter(F.col("type") == U.CONSUME), U.latest(df), "month")
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.models(*_month(spark, sf_dir))
+    return R.models(_month(spark, sf_dir))
 
 
-def _vendor_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.vendor_names(log(spark, sf_dir), table(spark, sf_dir, "model_meta"), table(spark, sf_dir, "vendor"))
+def _vendor_of(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
+    return catalog.vendor_names(names, table(spark, sf_dir, "model_meta"), table(spark, sf_dir, "vendor"))
 
 
 def _growth(now: str, before: str) -> str:
@@ -96,7 +96,8 @@ def rank_droppers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pv AS (SELECT coalesce(vendor, 'Unknown') AS vendor, sum(tokens)::BIGINT AS before FROM pt LEFT JOIN vo USING (model_name) GROUP BY 1)
     SELECT row_number() OVER (ORDER BY tokens DESC, cv.vendor) AS rank, cv.vendor, tokens, models, top_model, {_share("tokens", "(SELECT sum(tokens) FROM cv)")} AS share, {_growth("tokens", "before")} AS growth_pct FROM cv LEFT JOIN pv ON cv.vendor = pv.vendor""")
 def rank_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.vendors(*_month(spark, sf_dir), _vendor_of(spark, sf_dir))
+    sums = _month(spark, sf_dir)
+    return R.vendors(sums, _vendor_of(spark, sf_dir, sums))
 
 
 @query(f"""WITH r AS ({ROLLUP}), f AS (SELECT model_name FROM r WHERE model_name <> '' GROUP BY 1 HAVING sum(token_used) > 0 ORDER BY sum(token_used) DESC, model_name LIMIT 10)
@@ -109,7 +110,8 @@ def model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     h AS (SELECT hour - hour % 604800 AS bucket, CASE WHEN f.vendor IS NULL THEN 'Others' ELSE r.vendor END AS vendor, sum(token_used)::BIGINT AS tokens FROM r LEFT JOIN f ON r.vendor = f.vendor GROUP BY 1, 2 HAVING sum(token_used) > 0)
     SELECT *, {_share("tokens", "sum(tokens) OVER (PARTITION BY bucket)")} AS share FROM h""")
 def vendor_share_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rolled(spark, sf_dir).filter("model_name <> ''").join(_vendor_of(spark, sf_dir), "model_name", "left").withColumn("vendor", F.coalesce("vendor", F.lit("Unknown")))
+    named = _rolled(spark, sf_dir).filter("model_name <> ''")
+    rows = named.join(_vendor_of(spark, sf_dir, named), "model_name", "left").withColumn("vendor", F.coalesce("vendor", F.lit("Unknown")))
     return R.bucket_shares(R.history(rows, 7 * R.DAY, "vendor", 5))
 
 
@@ -154,7 +156,7 @@ def chart_topn_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT axis.bucket, axis.username, coalesce(quota, 0)::BIGINT AS quota, (sum(coalesce(quota, 0)) OVER (PARTITION BY axis.bucket))::BIGINT AS time_sum FROM axis LEFT JOIN o ON axis.bucket = o.bucket AND axis.username = o.username""")
 def chart_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten users of most quota by day, dense."""
-    sums = C.by_time(_rolled(spark, sf_dir), "day", "username")
+    sums = C.by_time(U.rollup(log(spark, sf_dir), keys=("username",)), "day", "username")
     top = sums.groupBy("username").agg(F.sum("quota").alias("t")).orderBy(F.desc("t"), "username").limit(10).select("username")
     return C.dense(sums.join(top, "username", "left_semi"), "username", ["quota"], R.DAY)
 
@@ -163,5 +165,5 @@ def chart_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT axis.bucket, coalesce(value, 0) AS value FROM axis LEFT JOIN p ON axis.bucket = p.bucket""")
 def chart_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = log(spark, sf_dir)
-    points = U.rollup(df).filter(F.col("hour") >= U.latest(df) - 7200).groupBy(F.col("hour").alias("bucket")).agg(F.sum("count").alias("value"))
+    points = U.rollup(df, keys=()).filter(F.col("hour") >= U.latest(df) - 7200).groupBy(F.col("hour").alias("bucket")).agg(F.sum("count").alias("value"))
     return C.padded(points, 7, 3600)

@@ -144,12 +144,12 @@ def usage_hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT username, hour, sum(count)::BIGINT AS count, sum(quota)::BIGINT AS quota, sum(token_used)::BIGINT AS token_used FROM ({ROLLUP}) GROUP BY username, hour")
 def usage_by_user_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.regroup(U.rollup(log(spark, sf_dir)), "username", "hour")
+    return U.rollup(log(spark, sf_dir), keys=("username",))
 
 
 @query(f"SELECT model_name, hour, sum(count)::BIGINT AS count, sum(quota)::BIGINT AS quota, sum(token_used)::BIGINT AS token_used FROM ({ROLLUP}) GROUP BY model_name, hour")
 def usage_by_model_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.regroup(U.rollup(log(spark, sf_dir)), "model_name", "hour")
+    return U.rollup(log(spark, sf_dir), keys=("model_name",))
 
 
 @query("SELECT count(*) AS count, coalesce(sum(quota), 0)::BIGINT AS quota, coalesce(sum(prompt_tokens + completion_tokens), 0)::BIGINT AS token_used FROM usage_log WHERE type = 2 AND username = 'nobody at all'")

@@ -12,6 +12,8 @@
    could begin; these are intersected with the shifted lists of its neighbours, and a run of at
    least ``least`` matches in a row that holds the anchor is a hit. Every such passage holds the
    anchor of its first window, so none is missed.
+4. Proximity. Where words may be missing, a window has so many anchors that one must be there. The
+   places around each anchor are looked up, and spans that hold enough words of a window are hits.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from meterlark.session import durable
 BLOCK_BYTES = 16_000_000
 #: Text of a segment, at least one text: the larger, the fewer times the items are gone through.
 SEGMENT_BYTES = 16_000_000
+#: Words of an item whose windows are looked for together, and places looked at together.
+STRETCH = 128
+PLACES = 100_000
 WORDS_SQL = rf"""
 SELECT CASE WHEN t IS NULL THEN [] WHEN regexp_matches(t, '[^{bpe.USUAL}]') THEN NULL
             ELSE regexp_extract_all(lower(t), '[\pL\pN]+') END AS w
@@ -133,33 +138,91 @@ def _unpack(batch: pa.RecordBatch, row: int) -> tuple[pa.Scalar, np.ndarray, dic
     return keys, starts, {int(t): posting[e - c : e] for t, e, c in zip(present, ends, counts)}
 
 
+def _windows(item: np.ndarray, rarity: np.ndarray, least: int, share: float) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Windows of ``least`` words, a stretch of the item at a time: (terms from the rarest on, masks by 64 terms and window, words needed by window, anchors).
+
+    A window of n words that needs m of them can miss n - m, so that of its n - m + 1 rarest one
+    must be there: these are its anchors. Words that the corpus doesn't hold are the rarest.
+    """
+    width = max(STRETCH, 2 * least)
+    for at in range(0, len(item) - least + 1, width - least + 1):
+        terms, local = np.unique(item[at : at + width], return_inverse=True)
+        order = np.argsort(rarity[terms], kind="stable")
+        terms, local = terms[order], np.argsort(order)[local]
+        runs = np.sort(np.lib.stride_tricks.sliding_window_view(local, least), axis=1)
+        runs = runs[terms[runs[:, -1]] != len(rarity) - 1]  # none reaches from one text of a key into the next
+        if not len(runs):
+            continue
+        new = np.diff(runs, axis=1, prepend=-1) > 0
+        distinct = new.sum(axis=1)
+        needed = np.maximum(np.ceil(share * distinct).astype(np.int64), 1)
+        anchor = np.unique(runs[new & (new.cumsum(axis=1) <= (distinct - needed + 1)[:, None])])
+        bit = np.uint64(1) << (runs & 63).astype(np.uint64)
+        masks = [np.bitwise_or.reduce(np.where(runs >> 6 == lane, bit, np.uint64(0)), axis=1) for lane in range(-(-len(terms) // 64))]
+        yield terms, masks, needed, terms[anchor]
+
+
+def _held(term: np.ndarray, begin: np.ndarray, length: int, bits: list[np.ndarray]) -> list[np.ndarray]:
+    """Bits of the terms at ``length`` places from each of ``begin`` on."""
+    held = [np.zeros(len(begin), np.uint64) for _ in bits]
+    for k in range(length):
+        here = term[begin + k]
+        for h, b in zip(held, bits):
+            h |= b[here]
+    return held
+
+
+def _count(held: list[np.ndarray], mask: list[np.uint64]) -> np.ndarray:
+    return np.sum([np.bitwise_count(h & m) for h, m in zip(held, mask)], axis=0, dtype=np.int64)
+
+
 def _near(segments: DataFrame, kind: str, items: dict, rarity: np.ndarray, least: int, share: float, slack: int) -> DataFrame:
-    """(k, item, words): most distinct words of a window of an item that stand within ``slack`` places of the window's rarest word."""
-    plan = [(i, item, anchors(item, rarity, least)) for i, item in items.items()]
+    """(k, item, words): most distinct words of a window of an item that stand in one span of ``slack`` places (``least``, if more)."""
+    span = max(slack, least)
+    pad = span - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: list[np.ndarray] = []
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, starts, lists = _unpack(batch, row)
                 best: dict[tuple[int, int], int] = {}
-                for item_id, item, anchored in plan:
-                    for at in anchored:
-                        here = lists.get(int(item[at]))
-                        if here is None:
+                top = max((int(x[-1]) for x in lists.values()), default=0)
+                term = np.full(top + 1 + 2 * pad, len(rarity), np.int32)  # with ``pad`` empty places before and behind
+                for t, places in lists.items():
+                    term[places + pad] = t
+                for item_id, item in items.items():
+                    for terms, masks, needed, anchored in _windows(item, rarity, least, share):
+                        here = [lists[t] for t in anchored.tolist() if t in lists]
+                        if not here:
                             continue
-                        low, high = max(0, at - least + 1), min(len(item), at + least)
-                        seen = {}
-                        for t in set(item[low:high].tolist()):
-                            other = lists.get(t)
-                            seen[t] = np.zeros(len(here), bool) if other is None else np.searchsorted(other, here - slack) < np.searchsorted(other, here + slack, "right")
-                        most = np.zeros(len(here), np.int64)
-                        for s in range(max(0, at - least + 1), min(at, len(item) - least) + 1):
-                            window = set(item[s : s + least].tolist())
-                            count = np.sum([seen[t] for t in window], axis=0)
-                            most = np.maximum(most, np.where(count >= share * len(window), count, 0))
-                        for k in np.flatnonzero(most).tolist():
-                            doc = int(np.searchsorted(starts, here[k], "right")) - 1
-                            best[doc, item_id] = max(best.get((doc, item_id), 0), int(most[k]))
+                        while len(bits) < len(masks):
+                            bits.append(np.zeros(len(rarity) + 1, np.uint64))
+                        own = bits[: len(masks)]
+                        for lane, b in enumerate(own):
+                            part = terms[64 * lane : 64 * lane + 64]
+                            b[part] = np.uint64(1) << np.arange(len(part), dtype=np.uint64)
+                        every, fewest = [np.bitwise_or.reduce(m) for m in masks], needed.min()
+                        here = np.concatenate(here)
+                        for at in range(0, len(here), PLACES):
+                            # spans are told by their last place, which lies in the text or in the gap behind it
+                            around = here[at : at + PLACES]
+                            around = around[_count(_held(term, around, 2 * pad + 1, own), every) >= fewest]
+                            last = np.unique(around[:, None] + np.arange(span))
+                            held = _held(term, last, span, own)
+                            enough = _count(held, every) >= fewest
+                            last, held = last[enough], [h[enough] for h in held]
+                            most = np.zeros(len(last), np.int64)
+                            for w, least_words in enumerate(needed.tolist()):
+                                count = _count(held, [m[w] for m in masks])
+                                np.maximum(most, count, out=most, where=count >= least_words)
+                            last, most = last[most > 0], most[most > 0]
+                            if len(last):
+                                docs, first = np.unique(np.searchsorted(starts, last, "right") - 1, return_index=True)
+                                for doc, n in zip(docs.tolist(), np.maximum.reduceat(most, first).tolist()):
+                                    best[doc, item_id] = max(best.get((doc, item_id), 0), n)
+                        for b in own:
+                            b[terms] = 0
                 if best:
                     yield pa.RecordBatch.from_arrays([keys.values.take(pa.array([d for d, _ in best])), pa.array([i for _, i in best]), pa.array(list(best.values()), pa.int32())], ["k", "item", "run"])
 
@@ -209,9 +272,10 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     """(key, item_key, words): texts that hold at least ``least`` consecutive words of an item.
 
     ``words`` is the longest such run. With ``near`` = (share, slack) instead texts that hold that
-    share of the distinct words of a run of ``least`` words of an item, in any order, within
-    ``slack`` places of the run's rarest word, which must be there; ``words`` is their number. Words are the longest runs of letters and digits in lower
-    case, whatever stands between them. One row for each pair of keys: rows that repeat a key count
+    share of the distinct words of a run of ``least`` words of an item, whichever they are, in any
+    order within one span of ``slack`` places (of ``least``, if that is more); ``words`` is their
+    highest number. Words are the longest runs of letters and digits in lower case, whatever stands
+    between them. One row for each pair of keys: rows that repeat a key count
     as one text each and give one row. Null, empty or blank texts and items, items of fewer than
     ``least`` words and rows without a key match nothing; an empty table on either side gives an
     empty result; further columns don't matter. item_key must be a whole number.

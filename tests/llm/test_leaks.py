@@ -71,3 +71,49 @@ def test_proximity_holds_exact_matches(spark, data):
     d, i = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_item.parquet")
     exact = {(r[0], r[1]) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
     assert exact <= {(r[0], r[1]) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text", near=(1.0, 11)).collect()}
+
+
+def brute_near(docs, items, least, share, slack):
+    out, span = {}, max(slack, least)
+    for d, t in docs:
+        w = leaks.words_of(t)
+        spans = [set(w[k : k + span]) for k in range(max(1, len(w) - span + 1))]
+        for i, x in items:
+            x = leaks.words_of(x)
+            for k in range(len(x) - least + 1):
+                window = set(x[k : k + least])
+                n = max(len(window & s) for s in spans)
+                if n >= share * len(window):
+                    out[d, i] = max(out.get((d, i), 0), n)
+    return out
+
+
+def near(spark, docs, items, least, share, slack):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    return {(r[0], r[1]): r[2] for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text", least, near=(share, slack)).collect()}
+
+
+def test_proximity_without_the_rarest_word(spark):
+    item = "the 4711 red green blue cyan gold grey pink teal plum lime"
+    docs = [(1, item.replace("4711", "4712")), (2, item.replace("4711", "x").replace("teal", "y")), (3, item.replace("4711", "x").replace("teal", "y").replace("plum", "z")), (4, "the red green blue cyan gold grey " * 3), (5, "teal 4711 teal 4711")]
+    assert near(spark, docs, [(1, item)], 12, 5 / 6, 18) == {(1, 1): 11, (2, 1): 10}
+
+
+def test_proximity_random(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda letters: rng.choice(letters)
+    items = [(i % 25, " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 30)))) for i in range(30)]  # some keys have two texts
+    docs = [(d, " ".join(word("abcdefghijklmnopqrst") for _ in range(rng.randint(0, 40)))) for d in range(80)]
+    for least, share, slack in ((3, 0.6, 4), (6, 5 / 6, 8), (5, 0.8, 5), (4, 1.0, 3)):
+        want = brute_near(docs, items, least, share, slack)
+        assert want and near(spark, docs, items, least, share, slack) == want
+    monkeypatch.setattr(leaks, "STRETCH", 8)  # several stretches of an item
+    monkeypatch.setattr(leaks, "PLACES", 5)
+    assert near(spark, docs, items, 6, 5 / 6, 8) == brute_near(docs, items, 6, 5 / 6, 8)
+
+
+def test_proximity_of_many_words(spark):
+    words = [f"w{k}" for k in range(200)]
+    docs = [(1, " ".join(words[150:20:-1])), (2, " ".join(w for k, w in enumerate(words) if k % 2))]
+    assert near(spark, docs, [(1, " ".join(words))], 100, 0.9, 110) == brute_near(docs, [(1, " ".join(words))], 100, 0.9, 110) == {(1, 1): 100}

@@ -132,7 +132,7 @@ def log_fetch_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH old AS (SELECT * FROM usage_log WHERE id % 3 <> 0), neu AS (SELECT * FROM usage_log WHERE id % 2 = 0)
     SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT id FROM old UNION ALL SELECT id FROM neu WHERE id NOT IN (SELECT id FROM old))""")
 def batch_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping batches of the whole log, the second inserted where its keys are new."""
+    """Two overlapping batches of the log, the second inserted where its keys are new. Ids with id % 6 = 3 are in neither, here as in the SQL."""
     rows = log(spark, sf_dir).select("id", "request_id")
     return sources.insert_new(rows.filter("id % 3 <> 0"), rows.filter("id % 2 = 0"), ["id"]).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 

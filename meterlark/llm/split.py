@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterlark.llm import bpe
 
+#: Most bytes, and so tokens, of a character: an overlap of fewer might not hold one.
+WIDEST = 4
 _STEP = 1 << 28  # a strength's weight against the position, which breaks ties rightward
 
 
@@ -90,6 +92,20 @@ class _Text:
         self.place, self.raw, self.begins, self.limit, self.lap = place, raw, begins, most, overlap
         self.data, self.ends = np.frombuffer(raw, np.uint8), np.cumsum(token_size[ids])
         self.offset = np.concatenate([[0], self.ends])
+        self.by_bytes = False
+
+    def count_bytes(self, spans: list[tuple[int, int]]) -> None:
+        """From now on each byte of the spans counts as a token: no text has more tokens than bytes."""
+        inside = np.zeros(len(self.ends), bool)
+        for a, b in spans:
+            inside[a:b] = True
+        units = np.where(inside, np.diff(self.offset), 1)
+        first = np.cumsum(units) - units
+        begins = np.zeros(int(units.sum()), bool)
+        begins[first] = self.begins
+        last = np.repeat(self.ends, units)
+        self.ends = last - (np.repeat(first + units, units) - 1 - np.arange(len(last)))
+        self.begins, self.offset, self.by_bytes = begins, np.concatenate([[0], self.ends]), True
 
     def cut(self) -> None:
         self.parts = cut(self.data, self.ends, self.limit, self.lap)
@@ -102,7 +118,7 @@ class _Text:
     def same_alone(self, span: tuple[int, int]) -> bool:
         """Whether the span surely has the same tokens when encoded by itself: it begins and ends with a word, and not in a run of white space, which the end of a text cuts in another way."""
         a, b = span
-        if not self.begins[a] or b < len(self.begins) and not self.begins[b]:
+        if self.by_bytes or not self.begins[a] or b < len(self.begins) and not self.begins[b]:
             return False
         if b == len(self.begins):
             return True
@@ -111,7 +127,7 @@ class _Text:
 
 
 def _settle(e: bpe.Encoder, texts: list[_Text], most: int, overlap: int) -> None:
-    """Cuts texts; where a piece or overlap has too many tokens when encoded by itself, again with smaller limits. Spans in doubt of all texts are encoded together."""
+    """Cuts texts; where a piece or overlap has too many tokens when encoded by itself, again with smaller limits, and where these would fall below half, with that span counted by bytes, until all fit. Spans in doubt of all texts are encoded together."""
     while texts:
         doubts: list[tuple[_Text, int]] = []
         for t in texts:
@@ -126,12 +142,16 @@ def _settle(e: bpe.Encoder, texts: list[_Text], most: int, overlap: int) -> None
             t.sizes[i] = size
             piece = i < len(t.parts)
             excess = size - (most if piece else overlap)
-            if excess > 0 and t.limit > most // 2:
-                worst = over.setdefault(id(t), [t, 0, 0])
+            if excess > 0:
+                worst = over.setdefault(id(t), [t, 0, 0, []])
                 worst[1 if piece else 2] = max(worst[1 if piece else 2], excess)
+                worst[3].append(t.spans[i])
         texts = []
-        for t, by_piece, by_lap in over.values():
-            t.limit, t.lap = t.limit - by_piece, max(1, t.lap - by_lap)
+        for t, by_piece, by_lap, spans in over.values():
+            if t.limit - by_piece < most // 2 or t.lap - by_lap < min(overlap, WIDEST):
+                t.count_bytes(spans)
+            else:
+                t.limit, t.lap = t.limit - by_piece, t.lap - by_lap
             texts.append(t)
 
 

@@ -107,3 +107,30 @@ def test_strengths():
     at = np.arange(1, len(raw) + 1)
     s = dict(zip(at.tolist(), split.strengths(raw, at).tolist()))
     assert [s[4], s[9], s[16], s[22], s[29], s[28], s[2], s[5]] == [3, 4, 5, 6, 4, 0, 1, 2]
+
+
+class Worst:
+    """An encoder for which a span by itself has as many tokens as bytes, if it holds an x."""
+
+    def encode(self, texts):
+        return None, np.array([len(t.encode()) if "x" in t else -(-len(t.encode()) // 4) for t in texts.to_pylist()])
+
+
+@pytest.mark.parametrize("raw", ["x" * 4000, "abcd" * 300 + "x" * 400 + "abcd" * 300, "é" * 800 + "xxxx" + "😀" * 500])
+def test_pieces_that_grow_when_cut(raw):
+    data = raw.encode()
+    n = len(data) // 4
+    t = split._Text(0, data, np.zeros(n, np.int32), np.zeros(n, bool), np.array([4]), 64, 8)
+    split._settle(Worst(), [t], 64, 8)
+    texts = [data[slice(*t.bytes_of(s))].decode() for s in t.spans]
+    assert Worst().encode(pa.array(texts))[1].tolist() == t.sizes
+    assert max(t.sizes[: len(t.parts)]) <= 64 and max(t.sizes[len(t.parts) :]) <= 8
+    places = [t.bytes_of(p) for p in t.parts]
+    assert places[0][0] == 0 and places[-1][1] == len(data)
+    assert all(a[0] < b[0] < a[1] < b[1] for a, b in zip(places, places[1:]))
+
+
+def test_count_bytes():
+    t = split._Text(0, b"one two", np.array([0, 1, 2]), np.array([True, True, False]), np.array([3, 2, 2]), 8, 4)
+    t.count_bytes([(1, 2)])
+    assert t.ends.tolist() == [3, 4, 5, 7] and t.begins.tolist() == [True, True, False, False] and t.offset.tolist() == [0, 3, 4, 5, 7]

@@ -87,8 +87,8 @@ def turns(messages: DataFrame) -> DataFrame:
     ``messages`` has message_id, ticket_id, author_role, reply_to, body and sent_at; other columns
     don't matter. Rows equal in all but message_id are one message with its lowest id, and a reply
     to any of them is a reply to it. A ticket is dropped if a message has no time, no readable role
-    or replies to none of the ticket's messages, if replies of one instant run in a circle, or if,
-    without system messages, it doesn't begin with a customer and end with an agent; a message
+    or replies to none of the ticket's messages, if replies of one instant run in a circle (those across
+    instants don't bear on the order and drop nothing), or if, without system messages, it doesn't begin with a customer and end with an agent; a message
     whose body is null or blank counts for the first group of reasons only. Rows without a ticket
     belong to none. At equal times a message follows the one it replies to, else the lower id goes
     first. An empty table, or one without a whole ticket, gives an empty table.

@@ -5,8 +5,8 @@ Texts of the same word set are one class; classes are joined, then copies are pu
 A class's signature has two groups of coordinates. Every rare word (in at most RARE classes) is a
 coordinate of its own. The other words are hashed onto k coordinates; the value of such a
 coordinate is the hash of all words that fall on it. Classes are posted under coordinate-value
-pairs and collisions are counted, with only as many postings as a pair above the threshold can't
-do without:
+pairs, with only as many postings as a pair above the threshold can't do without. Collisions are
+not counted: with so few postings one is enough to make a pair a candidate:
 
 * Two classes at or above the threshold share, of their words in order of frequency, one within
   each other's prefix. If they share any rare word, the rarest shared word lies in both prefixes,

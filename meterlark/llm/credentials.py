@@ -5,7 +5,9 @@ env, properties, INI, YAML, JSON, shell, Python, JavaScript and Go share the sha
 ``key: value``, ``key := value`` with optional quotes; comments are parsed the same way. Keys are
 tested by name, values by shape; further parsers know credentials that stand without a key: the
 user part of a URL or DSN, authorization schemes, options of command-line clients, arguments of
-connecting calls, tokens with a telling prefix and key blocks. Values that only refer to a secret
+connecting calls, tokens with a telling prefix and key blocks. A value may stand on the lines below
+its key (also as a block scalar) or under a neutral name below a key that names a secret, by
+indentation, braces or section head. Values that only refer to a secret
 or stand in for one are left. Masks are spliced into the original bytes between the delimiters of
 the value, so that quotes, line ends and everything else stay as they were.
 """
@@ -38,6 +40,13 @@ PREFIXES = r"(?:sk-(?:live-|test-|proj-)?|nxk-(?:live|test)-|pat_|gwk_|rly\.|GWA
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _ASSIGN = re.compile(r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\s*(?::=|=>|=(?!=)|:(?!//|:))[ \t]*""")
 _STRING = re.compile(r"""\"\"\"(?P<t>.*?)\"\"\"|"(?P<d>(?:\\.|[^"\\\n])*)"|'(?P<s>(?:\\.|[^'\\\n])*)'|`(?P<b>[^`\n]*)`""")
+#: Names that say nothing of their value; the key they stand below does.
+NEUTRAL = frozenset("value val literal plain plaintext raw current previous".split())
+_LEAF = re.compile(rf"(?i)\b(?:{'|'.join(sorted(NEUTRAL))})[\"'`]?\s*[:=]")
+_LINE = re.compile(r"(?m)^(?P<i>[ \t]*)(?P<v>[^\n]*?)[ \t\r]*$")
+_OPENS = re.compile(r"[ \t]*(?P<block>[|>][+\-\d]*)?[ \t]*(?:#[^\n]*)?\r?")
+_TOKEN = re.compile(r"""(?P<open>\{)|(?P<close>\})|(?<![\w.\-$])(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)(?=\s*[:=])|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""")
+_OWNER = re.compile(r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\s*(?::=|=>|[:=])\s*(?:[\w.&*\[\]]+\s*)?$""")
 _PLUS = re.compile(r"\s*\+?\s*(?=[\"'`])")
 _URL = re.compile(r"""[A-Za-z][\w+.\-]*://(?P<user>[^\s:/@"'`]*):(?P<p>[^\s"'`]+)@(?=[\w\[\]-])""")
 _DSN = re.compile(r"""(?<![\w/:])[\w.\-]+:(?P<p>[^\s"'`]+)@(?:tcp|unix|udp)\(""")
@@ -135,6 +144,63 @@ def _segments(text: str) -> list[tuple[int, int]]:
     return sorted(lines.items())
 
 
+def _below(text: str, m: re.Match) -> tuple[int, int, bool] | None:
+    """Where the value of an assignment stands that has none on its line: (start, end, whether it is a block scalar)."""
+    stop = text.find("\n", m.end())
+    if stop < 0 or not (head := _OPENS.fullmatch(text, m.end(), stop)):
+        return None
+    margin = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+    if margin.strip(" \t-"):
+        return None
+    first = last = -1
+    for line in _LINE.finditer(text, stop + 1):
+        if not line["v"]:
+            continue
+        if len(line["i"]) <= len(margin):
+            break
+        first, last = line.start("v") if first < 0 else first, line.end("v")
+        if not head["block"]:
+            break
+    if first < 0 or head["block"]:
+        return (first, last, True) if first >= 0 else None
+    first += 2 * text.startswith("- ", first)
+    return None if _ASSIGN.match(text, first) else (first, last, False)
+
+
+def _neutral(text: str) -> Iterator[tuple[re.Match, str]]:
+    """Assignments to a neutral name below a key that names a secret, with their key paths.
+
+    What is below a key is told by indentation, braces and section heads; the nearest key that isn't neutral counts.
+    """
+    if not _LEAF.search(text):
+        return
+    section, indented, braces, at = "", [], [], 0
+    for line in _LINE.finditer(text):
+        body, depth = line["v"], len(line["i"])
+        while body.startswith("- "):
+            body, depth = body[2:].lstrip(), depth + 2
+        if head := re.fullmatch(r"\[+([\w.\-: \"']+)\]+", body):
+            section, indented = head[1].strip("\"' "), []
+        if body and not braces:
+            while indented and indented[-1][0] >= depth:
+                indented.pop()
+        here = line.start("v")
+        for token in _TOKEN.finditer(text, here, line.end("v")):
+            if token["open"]:
+                named = _OWNER.search(text, max(at, token.start() - 200), token.start())
+                braces.append(named["key"] if named else "")
+            elif token["close"]:
+                if braces:
+                    braces.pop()
+            elif token["key"] and token["key"].lower() in NEUTRAL and (m := _ASSIGN.match(text, token.start())):
+                path = [k for k in (section, *(k for _, k in indented), *braces) if k]
+                owner = next((k for k in reversed(path) if k.rsplit(".", 1)[-1].lower() not in NEUTRAL), "")
+                if sensitive(owner) or owner.endswith("s") and sensitive(owner[:-1]):
+                    yield m, ".".join([*path, m["key"]])
+        if not braces and (key := re.fullmatch(r"""["']?([A-Za-z_][\w.\-]*)["']?\s*:\s*(?:#.*)?""", body)):
+            indented.append((depth, key[1]))
+
+
 def find(text: str) -> list[Hit]:
     """Literal credentials of a file, in order, not overlapping."""
     spans = _segments(text)
@@ -158,27 +224,49 @@ def find(text: str) -> list[Hit]:
             blocks.append((m.start(), end))
             add(m.start(), end, "private key", "key_block")
     hidden = lambda a: any(s <= a < e for s, e in blocks)
-    for m in every(_ASSIGN):
-        key, at = m["key"], m.end()
-        if not sensitive(key) or hidden(at):
-            continue
+
+    def assigned(m: re.Match, at: int, key: str, sure: bool) -> None:
+        """Adds the literal at ``at``; ``sure``: whatever its shape."""
         parts = _strings(text, at)
         if parts:
             value = "".join(p[2] for p in parts)
             if _BLOCK.search(value) or "-----BEGIN" in value:
-                continue
-            if not stand_in(value) and (_secretive(value) or words(key)[-1] not in ("key", "auth")):
+                return
+            if not stand_in(value) and (_secretive(value) or sure):
                 for s, e, _ in parts:
                     add(s, e, key, "assigned")
-            continue
+            return
         stop = text.find("\n", at)
         raw = text[at : stop if stop >= 0 else len(text)].rstrip("\r")
         value = re.sub(r"\s+[#;].*$|\s+//.*$", "", raw).rstrip()
         if value.endswith((";", ",")):
             value = value[:-1]
         marked = "\"'`{[(" if "=" in m[0] else "\"'`{[(&|>"
-        if value and value[0] not in marked and " " not in value and not re.search(r"^[A-Za-z_][\w.]*[(\[]", value) and not stand_in(value) and (_secretive(value) or words(key)[-1] not in ("key", "auth")) and not _expression(text, m, value):
+        if value and value[0] not in marked and " " not in value and not re.search(r"^[A-Za-z_][\w.]*[(\[]", value) and not stand_in(value) and (_secretive(value) or sure) and not _expression(text, m, value):
             add(at, at + len(value), key, "assigned")
+
+    def placed(m: re.Match, key: str, sure: bool) -> None:
+        """Adds the value of an assignment, on its line or below."""
+        below = _below(text, m)
+        if below is None:
+            assigned(m, m.end(), key, sure)
+        elif hidden(below[0]):
+            return
+        elif below[2]:
+            value = text[below[0] : below[1]]
+            if not _ASSIGN.search(value) and not stand_in(value) and (_secretive(value) or sure):
+                add(*below[:2], key, "assigned")
+        else:
+            assigned(m, below[0], key, sure)
+
+    for m in every(_ASSIGN):
+        key, at = m["key"], m.end()
+        if not sensitive(key) or hidden(at):
+            continue
+        placed(m, key, words(key)[-1] not in ("key", "auth"))
+    for m, path in _neutral(text):
+        if not hidden(m.end()):
+            placed(m, path, False)
     for m in _NAMED.finditer(text) if "value" in text.lower() else ():
         if sensitive(m[1]):
             parts = _strings(text, m.end())
@@ -263,8 +351,8 @@ def mask(text: str) -> str:
             a, b = block.find("-----", 5) + 5, block.rfind("-----END")
             b = b if b > a else len(block)
             out.append(block[:a] + re.sub(r"\\[nrt]|[A-Za-z0-9+/=]", lambda c: c[0] if c[0][0] == "\\" else "*", block[a:b]) + block[b:])
-        else:
-            out.append("*" * 8)
+        else:  # a block scalar keeps its lines
+            out.append(re.sub(r"\S(?:[^\n]*\S)?", "*" * 8, text[h.start : h.end]) if "\n" in text[h.start : h.end] else "*" * 8)
         at = h.end
     return "".join([*out, text[at:]])
 

@@ -115,3 +115,25 @@ def test_queries_run(spark, data):
 
     for name, f in QUERIES.items():
         assert f(spark, data).count() >= 0, name
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("password: >-\n  Tr0ub4dor-77\nuser: x\n", ["Tr0ub4dor-77"]),
+        ("db:\n  password: |\n    Abc9-def\n    ghi8\n  host: a\n", ["Abc9-def\n    ghi8"]),
+        ("password:\n  'Zx81-kk9'\n", ["Zx81-kk9"]),
+        ("password =\n    Zx81-kk9\n", ["Zx81-kk9"]),
+        ("credentials:\n  value: abc123xyz\nport:\n  value: abc123xyz\n", ["abc123xyz"]),
+        ("credentials:\n  - value: abc123xyz\n    name: q\n", ["abc123xyz"]),
+        ("[credentials]\nvalue = abc123xyz\n[port]\nvalue = abc123xyz\n", ["abc123xyz"]),
+        ('{\n "auth": {"type": "x", "value": "q9Zk-77ab"},\n "port": {"value": "q9Zk-77ab"}\n}', ["q9Zk-77ab"]),
+        ('{"password": {\n  "current":\n    "q9Zk-77ab"\n}, "value": "q9Zk-77ab"}', ["q9Zk-77ab"]),
+        ("token:\n  name: abc123xyz\nsecret:\n  - host: a9-bb-cc\npassword:\n  ${DB}\npassword:\nuser: abc-123\n", []),
+        ("secret:\n  database:\n    value: abc123xyz\n", []),
+    ],
+)
+def test_credentials_below_their_keys(text, want):
+    hits = C.find(text)
+    assert [text[h.start : h.end] for h in hits] == want
+    assert C.mask(text).count("\n") == text.count("\n") and not any(w in C.mask(text) for w in want if text.count(w) == 1)

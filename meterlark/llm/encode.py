@@ -25,8 +25,8 @@ def encode(df: DataFrame, key: str, text: str, path: str, out: str = "ids") -> D
     One narrow stage: no shuffle, one pass over the two columns read. See ``bpe`` for the method.
     Each row of ``df`` gives a row, whatever its other columns are called; repeated rows repeat.
     null gives null, the empty text the empty list, blank text the ids of its blanks. Very long
-    texts are encoded whole; only a batch's texts are in memory at a time. An empty table gives
-    an empty table.
+    texts are encoded whole, also those without any blank: texts in parts that begin with a word,
+    words in windows, see ``bpe``. An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,3 +41,16 @@ def encode(df: DataFrame, key: str, text: str, path: str, out: str = "ids") -> D
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = dict(rows.dtypes)["k"]
     return rows.mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), F.col("ids").alias(out))
+
+
+def decode(df: DataFrame, key: str, ids: str, path: str, out: str = "text") -> DataFrame:
+    """(key, out): the texts of lists of ids; null stays null, the empty list gives the empty text, bytes that are no UTF-8 the replacement character."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = bpe.encoder(path)
+        for batch in batches:
+            texts = [None if x is None else e.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "t"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(ids).cast("array<int>").alias("i"))
+    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, t string").select(F.col("k").alias(key), F.col("t").alias(out))

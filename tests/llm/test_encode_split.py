@@ -43,6 +43,45 @@ def test_store_begins_anew(truth, monkeypatch):
         assert ids_of([t]) == [truth(t)]
 
 
+LETTERS = ["ab", "aab", "abcdefghijklmnopqrstuvwxyz", "-=", "汉字あ", "ÃÂ", "ha", "😀é"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from(LETTERS), st.integers(65, 6000), st.integers(0, 10**6))
+def test_long_words(truth, letters, n, seed):
+    rng = np.random.default_rng(seed)
+    word = "".join(np.array(list(letters))[rng.integers(0, len(letters), n)])
+    assert ids_of([word, word[: n // 2]]) == [truth(word), truth(word[: n // 2])]
+
+
+@pytest.mark.parametrize("word", ["あ" * 30_000, "haha" * 9_000, "x" * 50_001, "abcabcabd" * 4_000, "汉字" * 9_001])
+@pytest.mark.parametrize("widest", [1_000_000, 5_000])
+def test_windows_without_a_common_token(truth, monkeypatch, word, widest):
+    monkeypatch.setattr(bpe, "WIDEST", widest)
+    assert bpe.encoder(PATH)._windows(word.encode()).tolist() == truth(word)
+
+
+def test_a_word_of_many_windows(spark):
+    rng = np.random.default_rng(4)
+    word = rng.choice(np.frombuffer("abcdefghijklmnopqrstuvwxyz".encode(), np.uint8), 150_000).tobytes().decode()
+    df = spark.createDataFrame([(1, word), (2, "汉" * 200_000), (3, None), (4, "")], "k long, t string")
+    ids = encode.encode(df, "k", "t", PATH)
+    assert {r["k"]: r["t"] for r in encode.decode(ids, "k", "ids", PATH, "t").collect()} == {r["k"]: r["t"] for r in df.collect()}
+
+
+def test_texts_in_parts(truth, monkeypatch):
+    texts = ["one  two\n\nthree 'tis don't " * 40, None, "short", "", "x" * 300 + " y", "a\u00a0 b \n c" * 60]
+    whole = ids_of(texts)
+    monkeypatch.setattr(bpe, "PART", 64)
+    assert ids_of(texts) == whole == [[] if t is None else truth(t) for t in texts]
+
+
+def test_round_trip(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    back = encode.decode(encode.encode(docs, "doc_id", "text", PATH), "doc_id", "ids", PATH)
+    assert docs.exceptAll(back).isEmpty() and back.count() == docs.count()
+
+
 def test_corpus(spark, data, truth):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = {r["doc_id"]: r["ids"] for r in encode.encode(docs, "doc_id", "text", PATH).collect()}

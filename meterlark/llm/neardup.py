@@ -2,23 +2,23 @@
 
 Texts of the same word set are one class; classes are joined, then copies are put back.
 
-A class's signature has two groups of coordinates. Every rare word (in at most RARE classes) is a
-coordinate of its own. The other words are hashed onto k coordinates; the value of such a
-coordinate is the hash of all words that fall on it. Classes are posted under coordinate-value
-pairs, with only as many postings as a pair above the threshold can't do without. Collisions are
-not counted: with so few postings one is enough to make a pair a candidate:
-
-* Two classes at or above the threshold share, of their words in order of frequency, one within
-  each other's prefix. If they share any rare word, the rarest shared word lies in both prefixes,
-  so posting the rare words of the prefixes finds them, by lists no longer than RARE.
-* If they share no rare word, all rare words of both are among their differences. What is left of
-  the difference that the threshold allows is the budget of their other words; it is negative for
-  most classes, which need no more postings. Else, with k coordinates, at most a budget's number
-  of them can differ, so at least k - budget collide, and one of the budget + 1 rarest of each
-  class is shared: only these are posted (long lists are skipped), k growing with the budget in
-  powers of two (levels).
-
-Candidates are verified on the classes' word sets. No link is lost: these are bounds, not chances.
+A class's signature has two groups of coordinates, and classes are posted under coordinate-value
+pairs. Every rare word (in at most RARE classes) is a coordinate of its own. The other, common
+words are hashed onto k coordinates; the value of such a coordinate is the hash of all words that
+fall on it.
+
+* Rare words. All are posted, by lists no longer than RARE, and the collisions of a pair are counted:
+  their number is that of the rare words it shares. A pair is retained if the common words that the
+  smaller of the two sets has could make up what is missing to the threshold.
+* Pairs without any rare word in common. All rare words of both are among their differences, so that
+  what is left of the difference that the threshold allows is the budget of their common words; it
+  is negative for most classes, which need no more postings. Else, with k coordinates, at most a
+  budget's number of them can differ, so at least k - budget collide, and one of the budget + 1 rarest
+  of each class is shared: only these are posted (the commonest, whose lists are the longest, are
+  skipped), k growing with the budget in powers of two (levels). A collision counts if the parities
+  of the common words on 256 bits, which go along, differ in no more bits than the budget.
+
+Retained pairs are verified on the classes' word sets. No link is lost: these are bounds, not chances.
 """
 
 from __future__ import annotations
@@ -27,12 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlark.session import durable
 
 #: Longest posting list of a single word.
 RARE = 32
+#: Common words that tasks may hold as a table (16 bytes each); where there are more, they are joined by a shuffle.
+HELD = 1_000_000
+#: Cells of coordinates that are computed together.
+CELLS = 1 << 20
 _U = np.uint64
 
 
@@ -42,52 +46,89 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _parted(heads: DataFrame) -> DataFrame:
+    """(cid, size, rare, common, common_df) of classes (cid, words): their words in at most RARE classes, and the others with the number of classes they are in.
+
+    A table of the common words goes to the tasks where it has at most HELD rows, which is counted
+    first; words stand there under their place in it, which packs better. Else they are joined.
+    """
+    posted = heads.select("cid", F.explode("words").alias("w"))
+    common = durable(posted.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df") > RARE))
+    if common.count() > HELD:
+        found = posted.join(common, "w", "left").groupBy("cid").agg(
+            F.count("*").cast("int").alias("size"),
+            F.collect_list(F.when(F.col("df").isNull(), F.col("w"))).alias("rare"),
+            F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("w", "df")))).alias("f"),
+        )
+        return found.select("cid", "size", "rare", F.col("f.w").alias("common"), F.col("f.df").alias("common_df"))
+    held = common.orderBy("df", "w").toPandas()
+    order = np.argsort(held["w"].to_numpy())
+    table = heads.sparkSession.sparkContext.broadcast((held["w"].to_numpy()[order], order, held["df"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, place, dfs = table.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(count)), count)
+            at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+            hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
+            number = np.sort(owner[hit] * (len(words) + 1) + place[at[hit]]) % (len(words) + 1)
+            offsets = lambda o: pa.array(np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(count)))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(offsets(owner[~hit]), pa.array(flat[~hit])), *(pa.ListArray.from_arrays(offsets(owner[hit]), pa.array(x.astype(np.int64))) for x in (number, dfs[number]))],
+                ["cid", "size", "rare", "common", "common_df"],
+            )
+
+    return heads.select("cid", "words").mapInArrow(run, "cid long, size int, rare array<long>, common array<long>, common_df array<long>")
+
+
 def _levels(classes: DataFrame, similarity: float, top: float) -> DataFrame:
-    """(level, coord, value, cid, size, slack, holds) of the words that aren't rare, of classes that may have a partner without shared rare words.
+    """(level, value, cid, size, slack, b0 to b3): postings of the common words of classes that may have a partner without shared rare words.
 
     ``top``: the largest slack of any class. ``slack``: differing words a class allows, less its rare
-    words; the budget of a pair is the sum of both. A pair's level is its budget's, see ``_level_of``.
+    words; the budget of a pair is the sum of both, and its level is the budget's. b0 to b3: parities.
     """
     part = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, size, slack = (batch.column(i).to_numpy() for i in range(3))
-            words = batch.column(3)
-            flat, dfs = words.flatten().to_numpy().view(_U), batch.column(4).flatten().to_numpy()
-            count = np.diff(words.offsets.to_numpy())
+            lists = batch.column(3)
+            flat, dfs = lists.flatten().to_numpy().view(_U), batch.column(4).flatten().to_numpy()
+            bounds = lists.offsets.to_numpy() - lists.offsets.to_numpy()[:1]
+            count = np.diff(bounds)
             owner = np.repeat(np.arange(len(cid)), count)
             # the largest budget with any partner: by all slacks, and by the partner's size
             most = slack + np.minimum(top, part * size / similarity)
-            hashed, rarity = _mix(flat), -np.log(dfs.astype(float))
-            out: list[tuple] = []
+            hashed, rarity = _mix(flat + _U(1)), -np.log(dfs.astype(float))
+            bits = np.zeros((len(cid), 4), _U)
+            np.bitwise_xor.at(bits, (owner, (hashed & _U(3)).astype(np.int64)), _U(1) << (hashed >> _U(2) & _U(63)))
             level, k = 0, 2
             while True:
-                # level l has budgets in [k/4, k/2), the lowest level 0 also that of less than 1
-                low = 0.0 if level == 0 else k / 4
-                on = most >= low
-                if not on.any():
+                # level l has budgets in [k/4, k/2), the lowest level 0 also those of less than 1
+                on = np.flatnonzero(most >= (0.0 if level == 0 else k / 4))
+                if not len(on):
                     break
-                keep = on[owner]
-                o, h = owner[keep], hashed[keep]
-                slot = o * k + (h >> _U(8)).astype(np.int64) % k
-                value = np.zeros(len(cid) * k, _U)
-                np.add.at(value, slot, _mix(h + _U(level + 1)))
-                score = np.full(len(cid) * k, 0.0)
-                np.add.at(score, slot, rarity[keep] - 1e-9)  # the rarer, the lower; an empty coordinate is the commonest
-                rows = np.flatnonzero(on)
-                table, worth = value.reshape(-1, k)[rows], score.reshape(-1, k)[rows]
-                # one order for all classes: by the value's estimated frequency, then by the value and coordinate themselves
-                worth = np.round(worth, 6)
-                tie = _mix(table + np.arange(k).astype(_U))
-                order = np.lexsort((tie, worth), axis=1)[:, : k // 2]
-                r = np.repeat(rows, k // 2)
-                out.append((np.full(len(r), level, np.int32), order.ravel().astype(np.int32), np.take_along_axis(table, order, 1).ravel().view(np.int64), cid[r], size[r], slack[r]))
+                for rows in np.array_split(on, min(len(on), -(-len(on) * k // CELLS))):
+                    keep = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
+                    row = np.repeat(np.arange(len(rows)), count[rows])
+                    h = hashed[keep]
+                    slot = row * k + (h >> _U(8)).astype(np.int64) % k
+                    value, score = np.zeros(len(rows) * k, _U), np.zeros(len(rows) * k)
+                    np.add.at(value, slot, _mix(h + _U(level + 1)))
+                    np.add.at(score, slot, rarity[keep] - 1e-9)  # the rarer, the lower; an empty coordinate is the commonest
+                    # one order for all classes: by the value's estimated frequency, then by the value and coordinate themselves
+                    value = _mix(value.reshape(-1, k) + np.arange(k).astype(_U) * _U(0x9E3779B97F4A7C15))
+                    order = np.lexsort((value, np.round(score.reshape(-1, k), 6)), axis=1)[:, : k // 2]
+                    r = np.repeat(rows, k // 2)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(r), level, np.int8)), pa.array(np.take_along_axis(value, order, 1).ravel().view(np.int64)), pa.array(cid[r]), pa.array(size[r]), pa.array(slack[r]), *(pa.array(bits[r, b].view(np.int64)) for b in range(4))],
+                        ["level", "value", "cid", "size", "slack", "b0", "b1", "b2", "b3"],
+                    )
                 level, k = level + 1, k * 2
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["level", "coord", "value", "cid", "size", "slack"])
 
-    return classes.select("cid", "size", "slack", "common", "common_df").mapInArrow(run, "level int, coord int, value long, cid long, size int, slack double")
+    return classes.select("cid", "size", "slack", "common", "common_df").mapInArrow(run, "level byte, value long, cid long, size int, slack double, b0 long, b1 long, b2 long, b3 long")
 
 
 def similar(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_words: int = 8) -> DataFrame:
@@ -107,54 +148,95 @@ def similar(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_w
 
 
 def classes_and_links(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Membership (k, cid) of rows in classes of equal word sets, and links (cid_a, cid_b) between classes."""
-    part = (1 - similarity) / (1 + similarity)
+    """Membership (k, cid) of rows in classes of equal word sets, and links (cid_a, cid_b) between classes, cid_a < cid_b. Class ids are hashes of the sets."""
     lower = F.translate(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0))), lambda w: F.xxhash64(w)))
+    words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.xxhash64(w))))
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.col("k").isNotNull() & F.col("t").isNotNull())
     sets = rows.select("k", words.alias("words")).filter(F.size("words") >= least_words)
-    members = durable(sets.withColumn("print", F.sha2(F.to_json("words"), 256)))
-    heads = members.groupBy("print").agg(F.min("k").alias("cid"), F.min_by("words", "k").alias("words"))
-    heads = durable(heads)
-    membership = members.select("k", "print").join(heads.select("print", "cid"), "print").select("k", "cid").distinct()
-    heads = heads.select("cid", "words", F.size("words").alias("size"))
+    # a class id is a hash of two 64-bit hashes of its words
+    own = F.xxhash64(F.xxhash64("words"), F.xxhash64(F.lit(1), F.size("words"), F.reverse("words")))
+    members = durable(sets.select("k", "words", own.alias("cid"), F.monotonically_increasing_id().alias("row")))
+    first = members.groupBy("cid").agg(F.min("row").alias("row"))
+    heads = durable(members.join(first, ["cid", "row"], "left_semi").select("cid", "words"))
+    return durable(members.select("k", "cid").distinct()), durable(_links(heads, similarity))
 
-    posted = heads.select("cid", F.explode("words").alias("w"))
-    counts = posted.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")  # a word of one class needs no list
-    shared = posted.join(counts, "w")
-    by_class = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("f"), F.sum(F.when(F.col("df") > RARE, 1).otherwise(0)).alias("n_common"))
-    signed = durable(
-        heads.drop("words").join(by_class, "cid").select(
-            "cid", "size",
-            (F.lit(part) * F.col("size") - (F.col("size") - F.col("n_common"))).alias("slack"),
-            # words of one class come first in the order, so the prefix of the shared words is shorter by their number
-            F.slice("f", 1, F.greatest(F.lit(0), F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int") + 1 - (F.col("size") - F.size("f")))).alias("prefix"),
-            F.filter("f", lambda x: x["df"] > RARE).alias("common"),
-        )
-    )
-
-    rare = signed.select("cid", "size", F.explode(F.filter("prefix", lambda x: x["df"] <= RARE)).alias("x")).select("cid", "size", "x.w")
-    a, b = (rare.select("w", F.col("cid").alias(f"cid_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+
+def _links(heads: DataFrame, similarity: float) -> DataFrame:
+    """(cid_a, cid_b) of classes (cid, words) at or above the similarity."""
+    part = (1 - similarity) / (1 + similarity)
+    classes = durable(_parted(heads).withColumn("n", F.size("common")).withColumn("slack", F.lit(part) * F.col("size") - (F.col("size") - F.col("n"))))
     fits = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9
-    by_rare = a.join(b, "w").filter(F.col("cid_a") < F.col("cid_b")).filter(fits).select("cid_a", "cid_b")
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9
+
+    rare = classes.select("cid", "size", "n", F.explode("rare").alias("w"))
+    a, b = (rare.select("w", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "size", "n"))) for x in "ab")
+    counted = a.join(b, "w").filter(F.col("cid_a") < F.col("cid_b")).filter(fits).groupBy("cid_a", "cid_b").agg(F.count("*").alias("collisions"), *(F.any_value(c).alias(c) for c in ("size_a", "size_b", "n_a", "n_b")))
+    candidates = counted.filter(F.col("collisions") + F.least("n_a", "n_b") >= needed).select("cid_a", "cid_b")
 
-    top = signed.agg(F.max("slack")).first()[0]
-    candidates = by_rare
-    if top is not None and top >= 0:
-        level = _levels(signed.select("cid", "size", "slack", F.col("common.w").alias("common"), F.col("common.df").alias("common_df")).filter(F.col("slack") + top >= -1e-9), similarity, float(top))
-        posted_levels = durable(level)
+    top = classes.agg(F.max("slack")).first()[0]
+    if top is not None and top >= -1e-9:
+        posted = durable(_levels(classes.filter(F.col("slack") + top >= -1e-9), similarity, float(top)))
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("cid", "size", "slack", "b0", "b1", "b2", "b3")]
         # of a pair, one class has a slack of at least 0: it leads; equals are led by the lower id
-        a = posted_levels.filter("slack >= -1e-9").select("level", "coord", "value", F.col("cid").alias("cid_a"), F.col("size").alias("size_a"), F.col("slack").alias("slack_a"))
-        b = posted_levels.select("level", "coord", "value", F.col("cid").alias("cid_b"), F.col("size").alias("size_b"), F.col("slack").alias("slack_b"))
+        a, b = posted.filter("slack >= -1e-9").select("level", "value", *side("a")), posted.select("level", "value", *side("b"))
         budget = F.col("slack_a") + F.col("slack_b") + 1e-9
         k = F.pow(F.lit(2.0), F.col("level") + 1)
         leads = (F.col("slack_a") > F.col("slack_b")) | ((F.col("slack_a") == F.col("slack_b")) & (F.col("cid_a") < F.col("cid_b")))
         of_level = (budget < k / 2) & (budget >= F.when(F.col("level") == 0, F.lit(0.0)).otherwise(k / 4))
-        by_level = a.join(b, ["level", "coord", "value"]).filter(leads & of_level & fits).select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"))
-        candidates = by_rare.unionByName(by_level)
-
-    x, y = (heads.select(F.col("cid").alias(f"cid_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    either = F.size("words_a") + F.size("words_b") - both
-    links = candidates.distinct().join(x, "cid_a").join(y, "cid_b").filter(both >= F.lit(similarity) * either - 1e-9).select("cid_a", "cid_b")
-    return durable(membership), durable(links)
+        differing: Column = sum((F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+        by_level = a.join(b, ["level", "value"]).filter(leads & of_level & fits & (differing <= budget)).select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"))
+        candidates = candidates.unionByName(by_level).distinct()
+
+    x, y = (classes.select(F.col("cid").alias(f"cid_{x}"), F.col("size").alias(f"size_{x}"), F.col("rare").alias(f"rare_{x}"), F.col("common").alias(f"common_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("common_a", "common_b")) + F.size(F.array_intersect("rare_a", "rare_b"))
+    return durable(candidates).join(x, "cid_a").join(y, "cid_b").filter(both >= needed).select("cid_a", "cid_b")
+
+
+def classes(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_words: int = 8) -> DataFrame:
+    """(key, class, links): every row's class, named by its lowest key, and the number of other classes it is linked to.
+
+    Rows that form no pairs, see ``similar``, are left out; with ``class_links`` this tells all
+    pairs without writing out those among copies.
+    """
+    members, links = classes_and_links(df, key, text, similarity, least_words)
+    ends = links.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
+    names = members.groupBy("cid").agg(F.min("k").alias("class")).join(ends, "cid", "left")
+    return members.join(names, "cid").select(F.col("k").alias(key), "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def class_links(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_words: int = 8) -> DataFrame:
+    """(class_a, class_b): linked classes by their lowest keys, the smaller first."""
+    members, links = classes_and_links(df, key, text, similarity, least_words)
+    a, b = (members.groupBy("cid").agg(F.min("k").alias(x)).withColumnRenamed("cid", f"cid_{x}") for x in "ab")
+    return links.join(a, "cid_a").join(b, "cid_b").filter("a <> b").select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b")).distinct()
+
+
+def groups(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_words: int = 8) -> DataFrame:
+    """(key, group): connected groups of similar rows, named by their lowest key; a row that forms no pair is a group by itself, those of too few words are left out."""
+    members, links = classes_and_links(df, key, text, similarity, least_words)
+    names = members.groupBy("cid").agg(F.min("k").alias("name"))
+    joined = components(links).join(names, "cid")
+    tops = joined.groupBy("root").agg(F.min("name").alias("top"))
+    named = names.join(joined.select("cid", "root").join(tops, "root").select("cid", "top"), "cid", "left").select("cid", F.coalesce("top", "name").alias("group"))
+    return members.join(named, "cid").groupBy(F.col("k").alias(key)).agg(F.min("group").alias("group"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(cid, root): the connected component of each end of (cid_a, cid_b), by large and small stars.
+
+    Each round hangs every node's larger neighbours to its smallest one, then every node's smaller
+    neighbours; rounds grow with the logarithm of a component's size. A node with many neighbours is
+    aggregated, never gathered.
+    """
+    edges = durable(links.select(F.greatest("cid_a", "cid_b").alias("u"), F.least("cid_a", "cid_b").alias("v")).filter("u <> v").distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        new = durable(small)
+        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+            break
+        edges = new
+    return edges.select(F.col("u").alias("cid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("cid"), F.col("v").alias("root"))).distinct()

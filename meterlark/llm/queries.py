@@ -48,6 +48,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5.similar(table(spark, sf_dir, "incident_note"), "note_id", "body")
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note's class of equal word sets and the number of classes it is linked to."""
+    return p5.classes(table(spark, sf_dir, "incident_note"), "note_id", "body").withColumnRenamed("class", "class_id")
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.class_links(table(spark, sf_dir, "incident_note"), "note_id", "body")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of notes that are nearly the same: connected by links, whatever their number."""
+    return p5.groups(table(spark, sf_dir, "incident_note"), "note_id", "body").withColumnRenamed("group", "group_id")
+
+
 def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.turns(table(spark, sf_dir, "support_message"))
 
@@ -82,5 +96,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_credentials, p1_masked, p3_found, p3_details, p3_replaced, p4_found, p5_found, p6_found, p6_turns, p7_ids, p8_found, p8_leaks, p8_near, p9_found, p9_pieces)}
-SQL: dict[str, str] = {}
+# Brute force over all pairs of notes that share a word.
+_NOTES = """WITH RECURSIVE w AS (SELECT DISTINCT note_id, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM incident_note),
+    n AS (SELECT note_id, count(*) AS n, min(note_id) OVER (PARTITION BY list_sort(list(w))) AS class_id FROM w GROUP BY note_id HAVING count(*) >= 8),
+    pairs AS (SELECT a, b, x.class_id AS class_a, y.class_id AS class_b FROM (SELECT x.note_id AS a, y.note_id AS b, count(*) AS both FROM w x JOIN w y ON x.w = y.w AND x.note_id < y.note_id GROUP BY 1, 2) JOIN n x ON x.note_id = a JOIN n y ON y.note_id = b WHERE both >= 0.7 * (x.n + y.n - both)),
+    links AS (SELECT DISTINCT least(class_a, class_b) AS class_a, greatest(class_a, class_b) AS class_b FROM pairs WHERE class_a <> class_b),
+    ends AS (SELECT class_a AS x, class_b AS y FROM links UNION ALL SELECT class_b, class_a FROM links),
+    reach(x, y) AS (SELECT class_id, class_id FROM n UNION SELECT reach.x, ends.y FROM reach JOIN ends ON ends.x = reach.y)
+"""
+SQL: dict[str, str] = {
+    "p5_found": _NOTES + "SELECT a AS note_id_a, b AS note_id_b FROM pairs",
+    "p5_classes": _NOTES + "SELECT note_id, class_id, (SELECT count(*) FROM ends WHERE ends.x = n.class_id) AS links FROM n",
+    "p5_links": _NOTES + "SELECT class_a, class_b FROM links",
+    "p5_groups": _NOTES + "SELECT note_id, (SELECT min(y) FROM reach WHERE reach.x = n.class_id) AS group_id FROM n",
+}
+QUERIES = {f.__name__: f for f in (p1_found, p1_credentials, p1_masked, p3_found, p3_details, p3_replaced, p4_found, p5_found, p5_classes, p5_links, p5_groups, p6_found, p6_turns, p7_ids, p8_found, p8_leaks, p8_near, p9_found, p9_pieces)}

@@ -62,11 +62,56 @@ def test_edges(spark):
 
 def test_copies_and_links(spark):
     rows = [(i, "a b c d e f g h i j") for i in range(30)] + [(100 + i, "a b c d e f g h i j k") for i in range(10)]
-    members, links = neardup.classes_and_links(spark.createDataFrame(rows, "note_id long, body string"), "note_id", "body")
+    df = spark.createDataFrame(rows, "note_id long, body string")
+    members, links = neardup.classes_and_links(df, "note_id", "body")
+    assert {tuple(r) for r in neardup.classes(df, "note_id", "body").collect()} == {(k, 0 if k < 100 else 100, 1) for k, _ in rows}
+    assert [tuple(r) for r in neardup.class_links(df, "note_id", "body").collect()] == [(0, 100)]
     assert members.select("cid").distinct().count() == 2 and links.count() == 1
     assert pairs(spark, rows) == brute(rows)
 
 
+def test_common_words_by_join(spark, data, monkeypatch):
+    monkeypatch.setattr(neardup, "HELD", 0)
+    test_tables(spark, data)
+    test_common_words_only(spark, monkeypatch)
+
+
+def test_long_sets_of_common_words(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE", 1)
+    monkeypatch.setattr(neardup, "CELLS", 64)
+    w = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[200:])), (3, " ".join(w[1200:])), (4, " ".join(w[:40])), (5, " ".join(w[3:40]))]
+    assert pairs(spark, rows) == brute(rows)
+
+
+def connected(links):
+    root = {}
+    for a, b in links:
+        x, y = root.setdefault(a, {a}), root.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            for n in y:
+                root[n] = x
+    return {n: min(x) for n, x in root.items()}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=16))
+def test_components(spark, links):
+    links = [(a, b) for a, b in links if a != b]
+    df = spark.createDataFrame(links, "cid_a long, cid_b long")
+    assert {r["cid"]: r["root"] for r in neardup.components(df).collect()} == connected(links)
+
+
+def test_groups(spark):
+    chain = [f"c{i}" for i in range(60)]
+    rows = [(50 - i, " ".join(chain[i : i + 20])) for i in range(0, 40, 2)] + [(100, "p q r s t u v w x y"), (101, "only one")] + [(7, "m n o p q r s t u v w x y z")]
+    got = {r["note_id"]: r["group"] for r in neardup.groups(spark.createDataFrame(rows, "note_id long, body string"), "note_id", "body").collect()}
+    joined = connected(brute(rows))
+    assert got == {k: joined.get(k, k) for k, t in rows if k != 101} and len(set(got.values())) < 10
+    assert neardup.groups(spark.createDataFrame([], "note_id long, body string"), "note_id", "body").count() == 0
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 25), min_size=6, max_size=22), max_size=25))
 def test_any(spark, sets):

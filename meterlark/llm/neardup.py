@@ -83,13 +83,19 @@ def _parted(heads: DataFrame) -> DataFrame:
     return heads.select("cid", "words").mapInArrow(run, "cid long, size int, rare array<long>, common array<long>, common_df array<long>")
 
 
-def _levels(classes: DataFrame, similarity: float, top: float) -> DataFrame:
+def _band(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Sizes whose ratio is at least the similarity are in the same band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity) + 1e-9).astype(np.int64)
+
+
+def _levels(classes: DataFrame, similarity: float, tops: dict[int, float]) -> DataFrame:
     """(level, value, cid, size, slack, b0 to b3): postings of the common words of classes that may have a partner without shared rare words.
 
-    ``top``: the largest slack of any class. ``slack``: differing words a class allows, less its rare
+    ``tops``: the largest slack of the classes of a band. ``slack``: differing words a class allows, less its rare
     words; the budget of a pair is the sum of both, and its level is the budget's. b0 to b3: parities.
     """
     part = (1 - similarity) / (1 + similarity)
+    near = lambda b: max(tops.get(x, -np.inf) for x in range(b - 2, b + 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +106,8 @@ def _levels(classes: DataFrame, similarity: float, top: float) -> DataFrame:
             count = np.diff(bounds)
             owner = np.repeat(np.arange(len(cid)), count)
             # the largest budget with any partner: by all slacks, and by the partner's size
+            bands, which = np.unique(_band(size, similarity), return_inverse=True)
+            top = np.array([near(b) for b in bands.tolist()])[which]
             most = slack + np.minimum(top, part * size / similarity)
             hashed, rarity = _mix(flat + _U(1)), -np.log(dfs.astype(float))
             bits = np.zeros((len(cid), 4), _U)
@@ -149,8 +157,8 @@ def similar(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_w
 
 def classes_and_links(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_words: int = 8) -> tuple[DataFrame, DataFrame]:
     """Membership (k, cid) of rows in classes of equal word sets, and links (cid_a, cid_b) between classes, cid_a < cid_b. Class ids are hashes of the sets."""
-    lower = F.translate(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.xxhash64(w))))
+    # lower case is taken word by word: of a whole text it would make ASCII letters out of others
+    words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))))
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.col("k").isNotNull() & F.col("t").isNotNull())
     sets = rows.select("k", words.alias("words")).filter(F.size("words") >= least_words)
     # a class id is a hash of two 64-bit hashes of its words
@@ -173,9 +181,12 @@ def _links(heads: DataFrame, similarity: float) -> DataFrame:
     counted = a.join(b, "w").filter(F.col("cid_a") < F.col("cid_b")).filter(fits).groupBy("cid_a", "cid_b").agg(F.count("*").alias("collisions"), *(F.any_value(c).alias(c) for c in ("size_a", "size_b", "n_a", "n_b")))
     candidates = counted.filter(F.col("collisions") + F.least("n_a", "n_b") >= needed).select("cid_a", "cid_b")
 
-    top = classes.agg(F.max("slack")).first()[0]
-    if top is not None and top >= -1e-9:
-        posted = durable(_levels(classes.filter(F.col("slack") + top >= -1e-9), similarity, float(top)))
+    # the number of bands grows with the logarithm of the largest size
+    of_band = F.floor(F.log("size") / F.lit(-float(np.log(similarity))) + 1e-9)
+    tops = {r["band"]: r["top"] for r in classes.groupBy(of_band.alias("band")).agg(F.max("slack").alias("top")).collect()}
+    top = max(tops.values(), default=-1.0)
+    if top >= -1e-9:
+        posted = durable(_levels(classes.filter(F.col("slack") + top >= -1e-9), similarity, tops))
         side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("cid", "size", "slack", "b0", "b1", "b2", "b3")]
         # of a pair, one class has a slack of at least 0: it leads; equals are led by the lower id
         a, b = posted.filter("slack >= -1e-9").select("level", "value", *side("a")), posted.select("level", "value", *side("b"))

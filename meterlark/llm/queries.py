@@ -99,7 +99,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Brute force over all pairs of notes that share a word.
 _NOTES = """WITH RECURSIVE w AS (SELECT DISTINCT note_id, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM incident_note),
     n AS (SELECT note_id, count(*) AS n, min(note_id) OVER (PARTITION BY list_sort(list(w))) AS class_id FROM w GROUP BY note_id HAVING count(*) >= 8),
-    pairs AS (SELECT a, b, x.class_id AS class_a, y.class_id AS class_b FROM (SELECT x.note_id AS a, y.note_id AS b, count(*) AS both FROM w x JOIN w y ON x.w = y.w AND x.note_id < y.note_id GROUP BY 1, 2) JOIN n x ON x.note_id = a JOIN n y ON y.note_id = b WHERE both >= 0.7 * (x.n + y.n - both)),
+    pairs AS (SELECT a, b, x.class_id AS class_a, y.class_id AS class_b FROM (SELECT x.note_id AS a, y.note_id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.note_id < y.note_id GROUP BY 1, 2) JOIN n x ON x.note_id = a JOIN n y ON y.note_id = b WHERE shared >= 0.7 * (x.n + y.n - shared)),
     links AS (SELECT DISTINCT least(class_a, class_b) AS class_a, greatest(class_a, class_b) AS class_b FROM pairs WHERE class_a <> class_b),
     ends AS (SELECT class_a AS x, class_b AS y FROM links UNION ALL SELECT class_b, class_a FROM links),
     reach(x, y) AS (SELECT class_id, class_id FROM n UNION SELECT reach.x, ends.y FROM reach JOIN ends ON ends.x = reach.y)

@@ -6,6 +6,7 @@ import copy
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -13,20 +14,27 @@ from pyspark.sql import Column, functions as F
 MODES = ("full", "prefix", "suffix", "contains", "gt", "gte", "lt", "lte")
 
 
-def _path(path: str) -> str:
-    """A dotted path as a JSON path; a number is an index of a list."""
-    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
+def _at(doc: Column, path: str) -> tuple[Column, str]:
+    """The variant and the JSON path in it that a dotted path means; a number is an index of a list, a negative one counts from its end."""
+    steps = "$"
+    for p in path.split("."):
+        if re.fullmatch(r"-\d+", p):
+            doc, steps = F.try_element_at(F.try_variant_get(doc, steps, "array<variant>"), F.lit(int(p))), "$"
+        else:
+            steps += f"[{p}]" if p.isdigit() else f"['{p}']"
+    return doc, steps
 
 
 def condition(doc: Column, path: str, mode: str, value: object, invert: bool = False, pass_missing_key: bool = False) -> Column:
     """One condition on a parsed document (a variant).
 
-    A path that isn't there gives ``pass_missing_key``. Values of another type than the one asked
-    for are no match, before inversion; a comparison of numbers needs a number.
+    A path that isn't there gives ``pass_missing_key``. A comparison of numbers needs a number, and
+    equality a value of the same type (null equals null only): anything else is an error, which is
+    null here, also inverted.
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
-    at = _path(path)
+    doc, at = _at(doc, path)
     text = F.try_variant_get(doc, at, "string")
     kind = F.schema_of_variant(F.try_variant_get(doc, at, "variant"))
     present = F.try_variant_get(doc, at, "variant").isNotNull()
@@ -35,30 +43,28 @@ def condition(doc: Column, path: str, mode: str, value: object, invert: bool = F
     if mode == "full":
         if value is None:
             test = kind == "VOID"
-        elif isinstance(value, bool):
-            test = (kind == "BOOLEAN") & (text == str(value).lower())
-        elif isinstance(value, (int, float)):
-            test = number == float(value)
         else:
-            test = (kind == "STRING") & (text == str(value))
+            same = F.when(kind == "BOOLEAN", text == str(value).lower()) if isinstance(value, bool) else number == float(value) if isinstance(value, (int, float)) else F.when(kind == "STRING", text == str(value))
+            test = F.when(kind == "VOID", F.lit(False)).otherwise(same)
     elif mode in ("prefix", "suffix", "contains"):
         test = {"prefix": text.startswith, "suffix": text.endswith, "contains": text.contains}[mode](str(value))
     else:
         if isinstance(value, bool) or not isinstance(value, (int, float)):
             raise ValueError("a comparison needs a number")
         test = {"gt": number > value, "gte": number >= value, "lt": number < value, "lte": number <= value}[mode]
-    test = F.coalesce(test, F.lit(False))
     return F.when(present, ~test if invert else test).otherwise(F.lit(pass_missing_key))
 
 
 def rules(json_text: Column, conditions: list[dict], logic: str = "OR") -> Column:
-    """Conditions joined by OR unless ``logic`` is AND; none at all is true. Broken JSON has no paths."""
+    """Conditions joined by OR unless ``logic`` is AND; none at all is true. Broken JSON has no paths. Where any condition is an error, the rules don't hold."""
     doc = F.try_parse_json(json_text)
-    out: Column | None = None
-    for c in conditions:
-        one = condition(doc, **c)
-        out = one if out is None else (out & one if logic.upper() == "AND" else out | one)
-    return F.lit(True) if out is None else out
+    tests = [condition(doc, **c) for c in conditions]
+    if not tests:
+        return F.lit(True)
+    every = logic.upper() == "AND"
+    out = reduce(lambda a, b: a & b if every else a | b, tests)
+    sound = reduce(lambda a, b: a & b, (t.isNotNull() for t in tests))
+    return sound & out
 
 
 def without_keys(json_text: Column, keys: list[str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,21 @@ def away(x: Column, digits: int) -> Column:
     return F.round(x * scale) / scale
 
 
-def ratio(part: Column, whole: Column) -> Column:
-    """part / whole, 0 where the whole isn't positive."""
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+def divided(part: Column, whole: Column, digits: int = 3) -> Column:
+    """part / whole, rounded; 0 where that is no number."""
+    x = F.try_divide(part.cast("double"), whole.cast("double"))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(away(x, digits))
+
+
+def digest(text: Column) -> Column:
+    """SHA-256 in hexadecimal."""
+    return F.sha2(text, 256)
+
+
+def shown(quota: Column, kind: str = "USD", unit: int = 500_000, rate: float = 1.0) -> Column:
+    """A quota in dollars, in another currency by its rate (CNY) or as it is (TOKENS)."""
+    plain = quota.cast("double")
+    return plain if kind == "TOKENS" else plain / unit * rate if kind == "CNY" else plain / unit
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -67,19 +80,68 @@ def csv_has(column: Column, item: str | None) -> Column | None:
 
 
 def mask_email(column: Column) -> Column:
-    """An address without what stands before its at-sign."""
-    return F.when(F.coalesce(F.instr(column, "@"), F.lit(0)) == 0, F.lit("***masked***")).otherwise(F.concat(F.lit("***@"), F.substring_index(column, "@", -1)))
+    """An address without what stands before its first at-sign."""
+    at = F.coalesce(F.instr(column, "@"), F.lit(0))
+    return F.when(at == 0, F.lit("***masked***")).otherwise(F.concat(F.lit("***@"), F.substring(column, at + 1, F.length(column))))
 
 
 def mask_ip(column: Column) -> Column:
     return F.regexp_replace(column, r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "***.***.***.***")
 
 
+# What is a URL, a host's name, a host's tail that is kept, and an API key.
+_URL = r"https?://[^\s/$.?#][^\s]+"
+_DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b"
+_TAIL = r"(?:^|\.)([^.]{0,3}\.[^.]{2}|[^.]*)$"
+_API_KEY = r"(['\"]?)api_key:([^\s'\"]+)(['\"]?)"
+
+
 def mask_url(column: Column) -> Column:
-    """URLs keep their scheme, the end of their host and the shape of their path and query."""
-    column = F.regexp_replace(column, r"(https?://)[A-Za-z0-9.-]*?(\.[A-Za-z]+)?(?=[/?:\s'\"]|$)", "$1***$2")
-    column = F.regexp_replace(column, r"(?<=https?://[^\s?'\"]{1,500}/)[^\s/?'\"]+", "***")
-    return F.regexp_replace(column, r"([?&][A-Za-z0-9_.-]+=)[^&\s'\"]*", "$1***")
+    """URLs keep their scheme, the tail of their host (two labels where it looks like that of a country) and the shape of their path and the names of their query."""
+
+    def one(url: Column) -> Column:
+        scheme = F.regexp_extract(url, r"^https?://", 0)
+        rest = F.substring(url, F.length(scheme) + 1, F.length(url))
+        host, path, asked = F.regexp_extract(rest, r"^[^/?#]*", 0), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+        tail = F.regexp_extract(host, _TAIL, 1)
+        shape = F.when(path == "/", path).otherwise(F.regexp_replace(F.regexp_replace(path, r"^/+|/+$", "/"), r"[^/]+", "***"))
+        query = F.array_join(F.transform(F.filter(F.split(asked, "&"), lambda p: p != ""), lambda p: F.concat(F.regexp_extract(p, r"^[^=]*", 0), F.lit("=***"))), "&")
+        return F.concat(scheme, F.when(F.instr(host, ".") > 0, F.concat(F.lit("***."), tail)).otherwise(F.lit("***")), F.regexp_replace(shape, r"(?<=.)/$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+
+    return _each(column, _URL, one)
+
+
+def mask_domain(column: Column) -> Column:
+    """Names of hosts keep their tail, with three stars for each label before it."""
+
+    def one(host: Column) -> Column:
+        tail = F.regexp_extract(host, _TAIL, 1)
+        stars = F.greatest(F.size(F.split(host, r"\.")) - F.size(F.split(tail, r"\.")), F.lit(1))
+        return F.concat(F.repeat(F.lit("***."), stars), tail)
+
+    return _each(column, _DOMAIN, one)
+
+
+def _each(column: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with every match of a pattern changed: what stands between matches and the matches take turns."""
+    between, found = F.split(column, pattern), F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1))
+    return F.array_join(F.zip_with(between, F.transform(found, change), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+
+def mask_sensitive(column: Column) -> Column:
+    """URLs, then names of hosts, then IP addresses and API keys masked."""
+    return F.regexp_replace(mask_ip(mask_domain(mask_url(column))), _API_KEY, "$1api_key:***$3")
+
+
+def prefixed(id: Column, name: Column, keyword: str) -> Column:
+    """Whether a name begins with a keyword; a whole number also means the id."""
+    test = F.startswith(name, F.lit(keyword))
+    return test | (id == int(keyword)) if re.fullmatch(r"[+-]?\d+", keyword) else test
+
+
+def spent(status: Column, expires: Column, now: Column, closed: tuple[int, ...], open_: int) -> Column:
+    """Whether a code is used up: its status is one of ``closed``, or it is open and its time, if it has one, is over."""
+    return status.isin(*closed) | ((status == open_) & (expires != 0) & (expires < now))
 
 
 def status_ranges(text: str) -> list[tuple[int, int]]:
@@ -113,10 +175,27 @@ def add_months(start: Column, months: int) -> Column:
     return F.date_add(first, F.dayofmonth(start) - 1)
 
 
-def next_reset(at: Column, period: str) -> Column:
-    """Next midnight, Monday or first of the month after a timestamp."""
-    unit = {"daily": ("day", "1 day"), "weekly": ("week", "7 days"), "monthly": ("month", "1 month")}[period]
-    return F.date_trunc(unit[0], at) + F.expr(f"INTERVAL {unit[1]}")
+def next_reset(at: Column, period: str, seconds: int = 0, end: Column | None = None) -> Column:
+    """Next midnight, Monday or first of the month after a timestamp, or so many seconds later (custom); null for other periods and past the end."""
+    units = {"daily": ("day", "1 day"), "weekly": ("week", "7 days"), "monthly": ("month", "1 month")}
+    if period in units:
+        unit = units[period]
+        then = F.date_trunc(unit[0], at) + F.expr(f"INTERVAL {unit[1]}")
+    elif period == "custom" and seconds > 0:
+        then = at + F.make_dt_interval(secs=F.lit(seconds))
+    else:
+        return F.lit(None).cast("timestamp")
+    return then if end is None else F.when(end.isNull() | (then <= end), then)
+
+
+def plan_end(start: Column, unit: str, value: int) -> Column:
+    """The end of a plan of some years, months, days, hours or seconds (custom). Days that a month lacks run over."""
+    if value <= 0 or unit not in ("year", "month", "day", "hour", "custom"):
+        raise ValueError(f"no such plan: {value} {unit}")
+    if unit in ("year", "month"):
+        day = add_months(F.to_date(start), value * (12 if unit == "year" else 1))
+        return F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + F.unix_timestamp(start) - F.unix_timestamp(F.date_trunc("day", start)))
+    return F.timestamp_seconds(F.unix_timestamp(start) + value * {"day": 86_400, "hour": 3600, "custom": 1}[unit])
 
 
 # Weights of the token estimate by family of models; the last is for all others.
@@ -127,7 +206,7 @@ ESTIMATE_WEIGHTS = {
 }
 _KINDS = ("newline", "space", "cjk", "emoji", "word", "number", "math", "at", "url", "symbol")
 # Signs of mathematics outside the blocks of operators.
-_MATH = "±×÷¬°′″‴⁺⁻⁼⁽⁾ⁿ₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎²³¹⁴⁵⁶⁷⁸⁹⁰"
+_MATH = "±×÷¬°′″‴⁺⁻⁼⁽⁾₊₋₌₍₎"
 
 
 def _kind(code: int) -> str:
@@ -145,7 +224,7 @@ def _kind(code: int) -> str:
     category = unicodedata.category(c)[0]
     if category in "LN":
         return "word" if category == "L" else "number"
-    if c in _MATH or 0x2200 <= code <= 0x22FF or 0x2A00 <= code <= 0x2AFF:
+    if c in _MATH or 0x2200 <= code <= 0x22FF or 0x2A00 <= code <= 0x2AFF or 0x1D400 <= code <= 0x1D7FF:
         return "math"
     return "at" if c == "@" else "url" if c in "/:?&=;#%" else "symbol"
 

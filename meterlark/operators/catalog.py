@@ -9,7 +9,8 @@ from meterlark.functions.scalars import contains, csv_items
 EXACT, PREFIX, CONTAINS, SUFFIX = 0, 1, 2, 3
 #: Rows of a dimension that may be broadcast; beyond it the join is left to the planner.
 SMALL_ROWS = 50_000
-SORTS = {"id", "name", "type", "status"}
+#: Columns by which channels may be sorted.
+SORTS = {"id", "name", "priority", "balance", "response_time", "test_time"}
 
 
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
@@ -20,19 +21,27 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
 def match_names(names: DataFrame, meta: DataFrame) -> DataFrame:
     """(model_name, meta_id, vendor_id, name_rule): the rule of each name. Exact rules go first, then prefix, suffix and contains; within a kind the lowest id.
 
-    Exact rules are an equi-join; the others need a look at each rule, so rules are broadcast under
-    a checked bound, and names are distinct.
+    All are equi-joins over distinct names: a name is looked up whole, by each of its beginnings and
+    endings, and by each of its parts of a length that some rule has.
     """
     rule = meta.select(F.col("id").alias("meta_id"), F.col("model_name").alias("pattern"), "name_rule", "vendor_id", F.col("status").alias("meta_status"))
     unique = names.select("model_name").filter("model_name <> ''").distinct()
-    exact = unique.join(rule.filter(F.col("name_rule") == EXACT), unique.model_name == rule.pattern)
-    other = unique.join(
-        small(rule.filter((F.col("name_rule") != EXACT) & (F.col("pattern") != ""))),
-        ((F.col("name_rule") == PREFIX) & F.startswith("model_name", "pattern")) | ((F.col("name_rule") == SUFFIX) & F.endswith("model_name", "pattern")) | ((F.col("name_rule") == CONTAINS) & F.contains("model_name", "pattern")),
+    known = rule.filter("pattern <> ''")
+    lengths = F.coalesce(known.filter(F.col("name_rule") == CONTAINS).agg(F.collect_set(F.length("pattern"))).scalar(), F.array().cast("array<int>"))
+    name, every = F.col("model_name"), F.sequence(F.lit(1), F.length("model_name"))
+    part = lambda n: F.transform(F.sequence(F.lit(1), F.length("model_name") - n + 1), lambda i: F.substring(name, i, n))
+    way = lambda kind, parts: F.struct(F.lit(kind).cast("long").alias("name_rule"), parts.alias("pattern"))
+    looked = F.array(
+        way(EXACT, F.array(name)),
+        way(PREFIX, F.transform(every, lambda n: F.substring(name, F.lit(1), n))),
+        way(SUFFIX, F.transform(every, lambda n: F.substring(name, n, F.length(name)))),
+        way(CONTAINS, F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length(name)), part)))),
     )
+    ways = unique.withColumn("lengths", lengths).select("model_name", F.explode(looked).alias("l")).select("model_name", "l.name_rule", F.explode("l.pattern").alias("pattern"))
+    found = ways.join(known, ["name_rule", "pattern"])
     order = F.when(F.col("name_rule") == EXACT, 0).when(F.col("name_rule") == PREFIX, 1).when(F.col("name_rule") == SUFFIX, 2).otherwise(3)
     best = F.min_by(F.struct("meta_id", "vendor_id", "name_rule", "meta_status"), F.struct(order, F.col("meta_id")))
-    return exact.unionByName(other).groupBy("model_name").agg(best.alias("m")).select("model_name", "m.*")
+    return found.groupBy("model_name").agg(best.alias("m")).select("model_name", "m.*")
 
 
 def vendor_names(names: DataFrame, meta: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -94,10 +103,12 @@ def channel_search(channels: DataFrame, keyword: str = "", model: str = "") -> D
     return channels
 
 
-def sorted_by(df: DataFrame, column: str, direction: str) -> DataFrame:
-    """By a permitted column, else by id; anything but asc is descending."""
-    name = column if column in SORTS else "id"
-    return df.orderBy(F.asc(name) if direction == "asc" else F.desc(name), F.desc("id"))
+def sorted_by(df: DataFrame, column: str, direction: str, by_id: bool = False) -> DataFrame:
+    """By a permitted column, else by priority (id, where asked for or where there is none), the highest first; anything but asc is descending. Ties go by id, nulls last."""
+    name, up = column.strip().lower(), direction.strip().lower() == "asc"
+    if name not in SORTS or name not in df.columns:
+        name, up = "priority" if "priority" in df.columns and not by_id else "id", False
+    return df.orderBy(F.asc_nulls_last(name) if up else F.desc_nulls_last(name), F.desc("id"))
 
 
 def missing_models(log: DataFrame, meta: DataFrame) -> DataFrame:

@@ -42,6 +42,13 @@ def dense(sums: DataFrame, column: str, measures: list[str], size: int) -> DataF
     return full.withColumn("time_sum", F.sum(measures[0]).over(W.partitionBy("bucket")))
 
 
+def steps(sums: DataFrame, column: str, measure: str) -> DataFrame:
+    """Every name at every step that any name has, 0 where there is nothing. Steps are as many as the chart's times, which are gathered in one row."""
+    times = sums.agg(F.collect_set("bucket")).scalar()
+    axis = sums.select(column).distinct().select(column, F.explode(times).alias("bucket"))
+    return axis.join(sums.select("bucket", column, measure), ["bucket", column], "left").na.fill(0, [measure]).select("bucket", column, measure)
+
+
 def padded(points: DataFrame, least: int, size: int) -> DataFrame:
     """A series (bucket, value) of at least ``least`` points: shorter ones become that many steps ending at the last point."""
     n, last = points.agg(F.count("*")).scalar(), points.agg(F.max("bucket")).scalar()

@@ -10,15 +10,15 @@ COUNTERS = ["request_count", "success_count", "total_latency_ms", "ttft_sum_ms",
 KEYS = ["model_name", "group_name", "bucket"]
 
 
-def rollup(samples: DataFrame, size: int = 3600) -> DataFrame:
-    """Samples by model, group and bucket. Blank models go, blank groups are ``default``, negative latencies are 0."""
+def rollup(samples: DataFrame, size: int = 3600, at: Column | None = None) -> DataFrame:
+    """Samples by model, group and bucket. Blank models go, blank groups are ``default``, negative latencies are 0. ``at``: the bucket, if another column tells it."""
     one = lambda test, value: F.sum(F.when(test, value).otherwise(F.lit(0)))
     latency = F.greatest(F.coalesce("latency_ms", F.lit(0)), F.lit(0))
     generating = (F.col("output_tokens") > 0) & (F.col("generation_ms") > 0)
     streamed = F.coalesce("has_ttft", F.lit(False))
     return (
         samples.filter(F.trim("model") != "")
-        .groupBy(F.col("model").alias("model_name"), F.when(F.trim(F.coalesce("group_name", F.lit(""))) == "", "default").otherwise(F.col("group_name")).alias("group_name"), bucket(F.col("created_at"), size).alias("bucket"))
+        .groupBy(F.col("model").alias("model_name"), F.when(F.trim(F.coalesce("group_name", F.lit(""))) == "", "default").otherwise(F.col("group_name")).alias("group_name"), (bucket(F.col("created_at"), size) if at is None else at).alias("bucket"))
         .agg(
             F.count("*").alias("request_count"),
             F.count_if(F.col("success")).alias("success_count"),
@@ -68,14 +68,13 @@ def summary(rolled: DataFrame) -> DataFrame:
 
 
 def series(rolled: DataFrame, model: str, group: str = "") -> DataFrame:
-    """One model: a row for each group with its totals and its ordered series of buckets."""
+    """One model: a row for each group with its totals and its ordered series of buckets, of which ``recent`` leaves 720 hours at most."""
     own = rolled.filter(F.col("model_name") == model)
     if group:
         own = own.filter(F.col("group_name") == group)
     point = F.struct("bucket", "request_count", *measures())
-    by_group = sums(own, "group_name")
-    points = sums(own, "group_name", "bucket").groupBy("group_name").agg(F.array_sort(F.collect_list(point)).alias("series"))
-    return by_group.select("group_name", "request_count", *measures()).join(points, "group_name")
+    by_group = sums(own, "group_name", "bucket").groupBy("group_name").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.array_sort(F.collect_list(point)).alias("series"))
+    return by_group.select("group_name", "request_count", *measures(), "series")
 
 
 def hours(asked: int) -> int:
@@ -83,14 +82,20 @@ def hours(asked: int) -> int:
     return 24 if asked <= 0 else min(asked, 720)
 
 
-def board(rolled: DataFrame, size: int = 3600) -> DataFrame:
-    """Every model's slots from the first bucket of all to the last; those without requests are empty.
+def recent(rolled: DataFrame, now: Column, asked: int = 0) -> DataFrame:
+    """Buckets that begin within the last hours, see ``hours``."""
+    return rolled.filter((F.col("bucket") >= now - hours(asked) * 3600) & (F.col("bucket") <= now))
 
-    The slots of a model are made from the two ends, so the dense board needs no join of all models
-    with all buckets.
+
+def board(rolled: DataFrame, now: Column, asked: int = 0, size: int = 3600) -> DataFrame:
+    """The slots of the last hours (see ``hours``) of every model that has requests in them; those without requests are empty.
+
+    Slots go from the bucket that holds the first moment, of which only what begins within the hours
+    counts, to the present one. A model's slots are made from these two ends, so the dense board
+    needs no join of all models with all buckets.
     """
-    merged = sums(rolled, "model_name", "bucket")
-    first, last = rolled.agg(F.min("bucket")).scalar(), rolled.agg(F.max("bucket")).scalar()
+    merged = sums(recent(rolled, now, asked), "model_name", "bucket")
+    first, last = bucket(now - hours(asked) * 3600, size), bucket(now, size)
     slots = merged.select("model_name").distinct().select("model_name", F.explode(F.sequence(first, last, F.lit(size))).alias("bucket"))
     dense = slots.join(merged, ["model_name", "bucket"], "left").na.fill(0, COUNTERS)
     return dense.select("model_name", "bucket", "request_count", *measures(), colour(success_rate(), F.col("request_count")).alias("colour"))

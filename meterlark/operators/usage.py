@@ -13,8 +13,9 @@ ROLLUP_KEYS = ["user_id", "username", "model_name", "hour"]
 COUNTERS = ["count", "quota", "token_used"]
 #: Rows that a user's search counts at most.
 COUNTED = 10_000
-#: Longest span of a dashboard request, in seconds.
+#: Longest span of a dashboard request, in seconds, and that of the public summary of a day.
 LONGEST_SPAN = 2_592_000
+LONGEST_DAY = 48 * 3600
 
 
 def latest(df: DataFrame, at: str = "created_at") -> Column:
@@ -58,10 +59,43 @@ def stat(log: DataFrame, now: Column, start: int = 0, end: int = 0) -> DataFrame
 
 
 def deliveries(log: DataFrame) -> DataFrame:
-    """One row for each request: the first delivered, of those the lowest id. Rows without a request id stand for themselves."""
-    key = F.coalesce(F.col("request_id"), F.concat(F.lit("#"), F.col("id").cast("string")))
-    best = F.min_by(F.struct(*log.columns), F.struct(F.coalesce("ingested_at", F.lit("9999-01-01").cast("timestamp")), "id"))
-    return log.groupBy(key.alias("_key")).agg(best.alias("row")).select("row.*")
+    """(id, rows): the first delivered row of each request, of those the lowest id, and how many there are. Rows without a request id stand for themselves."""
+    alone = F.when(F.col("request_id").isNull(), F.col("id"))
+    first = F.min_by("id", F.struct(F.coalesce("ingested_at", F.lit("9999-01-01").cast("timestamp")), "id"))
+    return log.groupBy("request_id", alone.alias("alone")).agg(first.alias("id"), F.count("*").alias("rows")).select("id", "rows")
+
+
+def totals(log: DataFrame) -> DataFrame:
+    """(count, quota, token_used) of consumption, 0 where there is none."""
+    return log.filter(F.col("type") == CONSUME).agg(F.count("*").alias("count"), F.coalesce(F.sum("quota"), F.lit(0)).alias("quota"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("token_used"))
+
+
+def day_summary(rolled: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Counters of a rollup's hours from ``start`` to ``end``, of which 48 hours at most; an end before the start is the start."""
+    last = F.least(F.greatest(start, end), start + LONGEST_DAY)
+    return rolled.filter((F.col("hour") >= start) & (F.col("hour") <= last)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS))
+
+
+def cache_windows(used: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Counters of cached tokens by key and window; a window ends where nothing was seen for ``seconds``.
+
+    ``used`` has event_time, cached, prompt_tokens, completion_tokens and mode. (keys, first_at, last_at,
+    total, hits, cached_tokens, prompt_tokens, completion_tokens, mode); the mode is ``mixed`` where
+    modes differ. Works on streams too, given a watermark.
+    """
+    window = F.session_window("event_time", f"{seconds} seconds")
+    return (
+        used.groupBy(*keys, window.alias("w"))
+        .agg(
+            F.count("*").alias("total"),
+            F.count_if(F.col("cached") > 0).alias("hits"),
+            F.coalesce(F.sum("cached"), F.lit(0)).alias("cached_tokens"),
+            F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
+            F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
+            F.when(F.min("mode") == F.max("mode"), F.max("mode")).when(F.max("mode").isNotNull(), "mixed").alias("mode"),
+        )
+        .select(*keys, F.unix_timestamp("w.start").alias("first_at"), (F.unix_timestamp("w.end") - seconds).alias("last_at"), "total", "hits", "cached_tokens", "prompt_tokens", "completion_tokens", "mode")
+    )
 
 
 def rollup(log: DataFrame, size: int = 3600, keys: tuple[str, ...] = ("user_id", "username", "model_name")) -> DataFrame:

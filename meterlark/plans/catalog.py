@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlark.functions.scalars import csv_has
+from meterlark.functions.scalars import csv_has, prefixed
 from meterlark.operators import catalog as C
 from meterlark.plans.rankings import MATCH
 from meterlark.session import table
@@ -93,9 +93,39 @@ def channel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "name").distinct()
 
 
-@query("SELECT id, type, status FROM channel ORDER BY type ASC, id DESC LIMIT 20")
+@query("SELECT id, name, status FROM channel ORDER BY name ASC NULLS LAST, id DESC LIMIT 20")
 def channel_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sorted_by(_channel(spark, sf_dir), "type", "asc").limit(20).select("id", "type", "status")
+    return C.sorted_by(_channel(spark, sf_dir), " Name", "ASC").limit(20).select("id", "name", "status")
+
+
+@query("SELECT id, name, status FROM channel ORDER BY id DESC LIMIT 20")
+def channel_page_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a column that isn't permitted."""
+    return C.sorted_by(_channel(spark, sf_dir), "type", "asc").limit(20).select("id", "name", "status")
+
+
+@query("SELECT id, name FROM channel WHERE id = 17 OR name LIKE '17%'")
+def channel_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _channel(spark, sf_dir).filter(prefixed(F.col("id"), F.col("name"), "17")).select("id", "name")
+
+
+@query("SELECT id, name FROM channel WHERE name LIKE 'optional%'")
+def channel_prefix_search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _channel(spark, sf_dir).filter(prefixed(F.col("id"), F.col("name"), "optional")).select("id", "name")
+
+
+@query(f"SELECT DISTINCT model_name FROM usage_log WHERE model_name <> '' AND model_name NOT IN (SELECT model_name FROM ({MATCH}) WHERE name_rule = 0)")
+def missing_exact_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Used names without a rule of their own."""
+    return C.missing_models(_log(spark, sf_dir), _meta(spark, sf_dir).filter(F.col("name_rule") == C.EXACT))
+
+
+@query("SELECT model, list_sort(list(DISTINCT group_name))[1] AS first_group, array_to_string(list(group_name ORDER BY priority DESC NULLS LAST, channel_id, group_name), ',') AS in_order FROM ability WHERE enabled GROUP BY model")
+def model_groups_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of each model in the order of their abilities' priority, repeats kept; the first in order of name."""
+    rows = _ability(spark, sf_dir).filter("enabled")
+    at = F.struct(-F.coalesce("priority", F.lit(-(2**62))), "channel_id", "group_name")
+    return rows.groupBy("model").agg(F.min("group_name").alias("first_group"), F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["group_name"]), ",").alias("in_order"))
 
 
 @query(f"SELECT DISTINCT g AS group_name, m AS model, id AS channel_id, status = 1 AS enabled, tag FROM (SELECT *, unnest({_CSV.format('group_names')}) AS g FROM (SELECT *, unnest({_CSV.format('models')}) AS m FROM channel))")

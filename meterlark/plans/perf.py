@@ -61,28 +61,38 @@ def perf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sums(P.rollup(samples(spark, sf_dir)), "model_name")
 
 
-@query(f"SELECT model_name, request_count, {MEASURES} FROM (SELECT model_name, {SUMS} FROM ({ROLLUP}) GROUP BY model_name)")
+def _recent(hours: int) -> str:
+    return f"SELECT * FROM ({ROLLUP}) WHERE bucket >= (SELECT max(created_at) FROM perf_sample) - {hours} * 3600"
+
+
+@query(f"SELECT model_name, request_count, {MEASURES} FROM (SELECT model_name, {SUMS} FROM ({_recent(720)}) GROUP BY model_name)")
 def perf_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.summary(P.rollup(samples(spark, sf_dir)))
+    """Every model over the longest span, which is what asking for a thousand hours gives."""
+    df = samples(spark, sf_dir)
+    return P.summary(P.recent(P.rollup(df), U.latest(df), 1000))
 
 
-@query(f"SELECT group_name, bucket, request_count, {MEASURES} FROM (SELECT group_name, bucket, {SUMS} FROM ({ROLLUP}) WHERE model_name = 'lumora-mini' GROUP BY group_name, bucket)")
+@query(f"SELECT group_name, bucket, request_count, {MEASURES} FROM (SELECT group_name, bucket, {SUMS} FROM ({_recent(168)}) WHERE model_name = 'lumora-mini' GROUP BY group_name, bucket)")
 def perf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series of one model, a row for each of its points."""
-    points = P.series(P.rollup(samples(spark, sf_dir)), "lumora-mini").select("group_name", F.explode("series").alias("p"))
+    """The series of one model over a week, a row for each of its points."""
+    df = samples(spark, sf_dir)
+    points = P.series(P.recent(P.rollup(df), U.latest(df), 168), "lumora-mini").select("group_name", F.explode("series").alias("p"))
     return points.select("group_name", "p.bucket", "p.request_count", "p.avg_latency_ms", "p.avg_ttft_ms", "p.success_rate", "p.tps")
 
 
-@query(f"SELECT group_name, request_count, n_points, {MEASURES} FROM (SELECT group_name, count(DISTINCT bucket) AS n_points, {SUMS} FROM ({ROLLUP}) WHERE model_name = 'lumora-mini' GROUP BY group_name)")
+@query(f"SELECT group_name, request_count, n_points, {MEASURES} FROM (SELECT group_name, count(DISTINCT bucket) AS n_points, {SUMS} FROM ({_recent(24)}) WHERE model_name = 'lumora-mini' GROUP BY group_name)")
 def perf_query_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.series(P.rollup(samples(spark, sf_dir)), "lumora-mini").withColumn("n_points", F.size("series").cast("long")).drop("series")
+    """The totals of one model over the default span, a day."""
+    df = samples(spark, sf_dir)
+    return P.series(P.recent(P.rollup(df), U.latest(df)), "lumora-mini").withColumn("n_points", F.size("series").cast("long")).drop("series")
 
 
-@query(f"""WITH r AS ({ROLLUP}), m AS (SELECT model_name, bucket, {SUMS} FROM r GROUP BY 1, 2), axis AS (SELECT n.model_name, b.bucket FROM (SELECT DISTINCT model_name FROM m) n, (SELECT unnest(range((SELECT min(bucket) FROM r), (SELECT max(bucket) FROM r) + 1, 3600)) AS bucket) b),
+@query(f"""WITH r AS ({_recent(720)}), now AS (SELECT max(created_at) AS t FROM perf_sample), m AS (SELECT model_name, bucket, {SUMS} FROM r GROUP BY 1, 2), axis AS (SELECT n.model_name, b.bucket FROM (SELECT DISTINCT model_name FROM m) n, (SELECT unnest(range((SELECT (t - 720 * 3600) - (t - 720 * 3600) % 3600 FROM now), (SELECT t FROM now) + 1, 3600)) AS bucket) b),
     d AS (SELECT axis.model_name, axis.bucket, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in P.COUNTERS)} FROM axis LEFT JOIN m ON axis.model_name = m.model_name AND axis.bucket = m.bucket)
     SELECT model_name, bucket, request_count, {MEASURES}, {COLOUR} AS colour FROM d""")
 def status_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.board(P.rollup(samples(spark, sf_dir)))
+    df = samples(spark, sf_dir)
+    return P.board(P.rollup(df), U.latest(df), 720)
 
 
 @query(f"SELECT model_name, request_count, {COLOUR} AS colour, CASE {COLOUR} WHEN 'red' THEN 0 WHEN 'yellow' THEN 1 WHEN 'green' THEN 2 ELSE 3 END::BIGINT AS place FROM (SELECT model_name, {SUMS} FROM ({ROLLUP}) GROUP BY model_name)")

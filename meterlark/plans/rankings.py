@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterlark.operators import catalog, charts as C, rankings as R, usage as U
 from meterlark.plans.usage import NOW, ROLLUP, log
-from meterlark.session import table
+from meterlark.session import durable, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -96,7 +96,7 @@ def rank_droppers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pv AS (SELECT coalesce(vendor, 'Unknown') AS vendor, sum(tokens)::BIGINT AS before FROM pt LEFT JOIN vo USING (model_name) GROUP BY 1)
     SELECT row_number() OVER (ORDER BY tokens DESC, cv.vendor) AS rank, cv.vendor, tokens, models, top_model, {_share("tokens", "(SELECT sum(tokens) FROM cv)")} AS share, {_growth("tokens", "before")} AS growth_pct FROM cv LEFT JOIN pv ON cv.vendor = pv.vendor""")
 def rank_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _month(spark, sf_dir)
+    sums = durable(_month(spark, sf_dir))  # a row for each model: the log is read once
     return R.vendors(sums, _vendor_of(spark, sf_dir, sums))
 
 
@@ -110,7 +110,7 @@ def model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     h AS (SELECT hour - hour % 604800 AS bucket, CASE WHEN f.vendor IS NULL THEN 'Others' ELSE r.vendor END AS vendor, sum(token_used)::BIGINT AS tokens FROM r LEFT JOIN f ON r.vendor = f.vendor GROUP BY 1, 2 HAVING sum(token_used) > 0)
     SELECT *, {_share("tokens", "sum(tokens) OVER (PARTITION BY bucket)")} AS share FROM h""")
 def vendor_share_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _rolled(spark, sf_dir).filter("model_name <> ''")
+    named = durable(_rolled(spark, sf_dir).filter("model_name <> ''"))
     rows = named.join(_vendor_of(spark, sf_dir, named), "model_name", "left").withColumn("vendor", F.coalesce("vendor", F.lit("Unknown")))
     return R.bucket_shares(R.history(rows, 7 * R.DAY, "vendor", 5))
 
@@ -150,6 +150,26 @@ def chart_topn_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top_and_other(C.by_time(_rolled(spark, sf_dir), "day"), "model_name", "quota", 15)
 
 
+_COUNTS = _DAYS.replace("sum(quota)::BIGINT AS quota", "sum(count)::BIGINT AS count", 1)
+
+
+@query(f"""WITH s AS ({_COUNTS}), f AS (SELECT model_name FROM s GROUP BY 1 ORDER BY sum(count) DESC, model_name LIMIT 20), l AS (SELECT bucket, CASE WHEN f.model_name IS NULL THEN 'Other' ELSE s.model_name END AS model_name, count FROM s LEFT JOIN f ON s.model_name = f.model_name),
+    axis AS (SELECT m.model_name, b.bucket FROM (SELECT DISTINCT model_name FROM l) m, (SELECT DISTINCT bucket FROM l) b)
+    SELECT axis.bucket, axis.model_name, coalesce(sum(count), 0)::BIGINT AS count FROM axis LEFT JOIN l ON axis.bucket = l.bucket AND axis.model_name = l.model_name GROUP BY 1, 2""")
+def chart_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by day of the twenty models of most and of the others, 0 where a day has none."""
+    top = C.top_and_other(C.by_time(_rolled(spark, sf_dir), "day"), "model_name", "count", 20)
+    return C.steps(top, "model_name", "count")
+
+
+@query(f"""WITH s AS (SELECT model_name, sum(count) AS n FROM ({_COUNTS}) GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, model_name) AS place FROM s)
+    SELECT CASE WHEN place <= 20 THEN model_name ELSE 'Other' END AS model_name, sum(n)::BIGINT AS count FROM k GROUP BY 1""")
+def chart_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the twenty models of most and of the others."""
+    sums = C.by_time(_rolled(spark, sf_dir), "day").groupBy("model_name").agg(F.sum("count").alias("count"))
+    return C.top_and_other(sums.withColumn("bucket", F.lit(0)), "model_name", "count", 20).select("model_name", "count")
+
+
 @query(f"""WITH s AS (SELECT hour - hour % 86400 AS bucket, CASE WHEN coalesce(username, '') = '' THEN 'Unknown' ELSE username END AS username, sum(quota)::BIGINT AS quota FROM ({ROLLUP}) GROUP BY 1, 2),
     t AS (SELECT username FROM s GROUP BY 1 ORDER BY sum(quota) DESC, username LIMIT 10), o AS (SELECT s.* FROM s JOIN t USING (username)),
     axis AS (SELECT u.username, b.bucket FROM t u, (SELECT unnest(range((SELECT min(bucket) FROM o), (SELECT max(bucket) FROM o) + 1, 86400)) AS bucket) b)

@@ -106,10 +106,9 @@ def log_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).groupBy(key.alias("k")).agg(F.min("id").alias("id"), F.count("*").alias("deliveries")).filter("deliveries > 1").select("id", "deliveries")
 
 
-@query("SELECT arg_min(id, (ingested_at, id)) AS id, count(*) AS rows FROM usage_log WHERE request_id IS NOT NULL GROUP BY request_id")
+@query("SELECT arg_min(id, (coalesce(ingested_at, TIMESTAMP '9999-01-01'), id)) AS id, count(*) AS rows FROM usage_log GROUP BY request_id, CASE WHEN request_id IS NULL THEN id END")
 def log_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = log(spark, sf_dir).filter("request_id IS NOT NULL").select("id", "request_id", "ingested_at")
-    return U.deliveries(df).select("id", "request_id").join(df.groupBy("request_id").agg(F.count("*").alias("rows")), "request_id").select("id", "rows")
+    return U.deliveries(log(spark, sf_dir))
 
 
 @query("""SELECT channel_id, count(*) AS n, count(*) FILTER (type = 2) AS consumed, count(*) FILTER (type = 5) AS failed, count(*) FILTER (is_stream) AS streamed, min(created_at) AS first_at, max(created_at) AS last_at FROM usage_log GROUP BY channel_id""")
@@ -129,12 +128,14 @@ def log_fetch_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.fetch(log(spark, sf_dir), "channel_id", wanted).select("id", "request_id")
 
 
-@query(f"""WITH old AS (SELECT * FROM usage_log WHERE id % 3 <> 0), neu AS (SELECT * FROM usage_log WHERE id % 2 = 0)
-    SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT id FROM old UNION ALL SELECT id FROM neu WHERE id NOT IN (SELECT id FROM old))""")
+@query(f"""WITH old AS (SELECT id, channel_id FROM usage_log WHERE created_at < {NOW} - 10 * 86400)
+    SELECT channel_id, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT * FROM old UNION ALL SELECT id, channel_id FROM usage_log WHERE id NOT IN (SELECT id FROM old)) GROUP BY channel_id""")
 def batch_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping batches of the log, the second inserted where its keys are new. Ids with id % 6 = 3 are in neither, here as in the SQL."""
-    rows = log(spark, sf_dir).select("id", "request_id")
-    return sources.insert_new(rows.filter("id % 3 <> 0"), rows.filter("id % 2 = 0"), ["id"]).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    """The log up to a moment, into which the whole log is inserted where its keys are new."""
+    df = log(spark, sf_dir)
+    rows = df.select("id", "channel_id")
+    stored = df.filter(F.col("created_at") < U.latest(df) - 10 * 86_400).select("id", "channel_id")
+    return sources.insert_new(stored, rows, ["id"]).groupBy("channel_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(ROLLUP)
@@ -154,13 +155,20 @@ def usage_by_model_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS count, coalesce(sum(quota), 0)::BIGINT AS quota, coalesce(sum(prompt_tokens + completion_tokens), 0)::BIGINT AS token_used FROM usage_log WHERE type = 2 AND username = 'nobody at all'")
 def usage_totals_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = U.rollup(log(spark, sf_dir).filter("username = 'nobody at all'"))
-    return own.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in U.COUNTERS))
+    return U.totals(log(spark, sf_dir).filter("username = 'nobody at all'"))
 
 
 @query("SELECT count(*) AS count, coalesce(sum(quota), 0)::BIGINT AS quota, coalesce(sum(prompt_tokens + completion_tokens), 0)::BIGINT AS token_used FROM usage_log WHERE type = 2")
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.rollup(log(spark, sf_dir)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in U.COUNTERS))
+    return U.totals(log(spark, sf_dir))
+
+
+@query(f"SELECT coalesce(sum(count), 0)::BIGINT AS count, coalesce(sum(quota), 0)::BIGINT AS quota, coalesce(sum(token_used), 0)::BIGINT AS token_used FROM ({ROLLUP}) WHERE hour >= {NOW} - 20 * 86400 AND hour <= {NOW} - 18 * 86400")
+def usage_day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public summary: asked for twenty days, it gives the first 48 hours."""
+    df = log(spark, sf_dir)
+    now = U.latest(df)
+    return U.day_summary(U.rollup(df, keys=()), now - 20 * 86_400, now)
 
 
 @query(f"""SELECT model_name, n, trunc(n * 1000.0::DOUBLE / minutes + 0.5) / 1000 AS rpm, trunc(tokens * 1000.0::DOUBLE / minutes + 0.5) / 1000 AS tpm FROM (
@@ -191,3 +199,42 @@ def cache_hit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = log(spark, sf_dir).filter("type = 2").withColumn("c", cached)
     mode = F.when(F.count_distinct("is_stream") > 1, "mixed").when(F.max("is_stream"), "stream").otherwise("plain")
     return used.groupBy("model_name", "group_name").agg(F.count("*").alias("total"), F.count_if(F.col("c") > 0).alias("hits"), F.coalesce(F.sum("c"), F.lit(0)).alias("cached_tokens"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), mode.alias("mode"))
+
+
+_CACHED = "SELECT *, CASE WHEN json_valid(other) THEN (other ->> '$.cache_tokens')::BIGINT END AS c, CASE WHEN is_stream THEN 'stream' WHEN NOT is_stream THEN 'plain' END AS m FROM usage_log WHERE type = 2 AND created_at IS NOT NULL"
+CACHE_WINDOWS = f"""SELECT model_name, group_name, min(created_at) AS first_at, max(created_at) AS last_at, count(*) AS total, count(*) FILTER (c > 0) AS hits, coalesce(sum(c), 0)::BIGINT AS cached_tokens, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens,
+    coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens, CASE WHEN count(DISTINCT m) > 1 THEN 'mixed' ELSE max(m) END AS mode
+    FROM (SELECT *, sum(CASE WHEN created_at - before > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY model_name, group_name ORDER BY created_at, id) AS w FROM (SELECT *, lag(created_at) OVER (PARTITION BY model_name, group_name ORDER BY created_at, id) AS before FROM ({_CACHED})))
+    GROUP BY model_name, group_name, w"""
+
+
+def cached_use(rows: DataFrame) -> DataFrame:
+    """Consumption with its cached tokens and mode."""
+    cached = F.try_variant_get(F.try_parse_json("other"), "$.cache_tokens", "long")
+    return rows.filter("type = 2 AND created_at IS NOT NULL").withColumn("cached", cached).withColumn("mode", F.when(F.col("is_stream"), "stream").when(~F.col("is_stream"), "plain"))
+
+
+@query(CACHE_WINDOWS)
+def cache_hit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of cached tokens; an hour without use ends a window."""
+    used = cached_use(log(spark, sf_dir)).withColumn("event_time", F.timestamp_seconds("created_at"))
+    return U.cache_windows(used, ["model_name", "group_name"], 3600)
+
+
+@query("SELECT id, sha256(coalesce(request_id, '') || '|' || id) AS digest FROM usage_log")
+def log_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log(spark, sf_dir).select("id", scalars.digest(F.concat(F.coalesce("request_id", F.lit("")), F.lit("|"), F.col("id").cast("string"))).alias("digest"))
+
+
+@query("SELECT id, quota / 500000.0::DOUBLE AS usd, quota / 500000.0::DOUBLE * 7.3 AS cny, quota::DOUBLE AS tokens FROM usage_log")
+def quota_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quota as it is shown: in dollars, in another currency, or as it is."""
+    q = F.col("quota")
+    return log(spark, sf_dir).select("id", scalars.shown(q, "USD").alias("usd"), scalars.shown(q, "CNY", rate=7.3).alias("cny"), scalars.shown(q, "TOKENS").alias("tokens"))
+
+
+@query("SELECT channel_id, CASE WHEN count(*) FILTER (type = 2) > 0 THEN round(count(*) FILTER (type = 5) / count(*) FILTER (type = 2)::DOUBLE * 1000.0) / 1000.0 ELSE 0.0::DOUBLE END AS failures FROM usage_log GROUP BY channel_id")
+def failure_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed requests for each one served, to three places; 0 where none was."""
+    n = log(spark, sf_dir).groupBy("channel_id").agg(F.count_if(F.col("type") == 5).alias("failed"), F.count_if(F.col("type") == 2).alias("served"))
+    return n.select("channel_id", scalars.divided(F.col("failed"), F.col("served")).alias("failures"))

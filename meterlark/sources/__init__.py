@@ -58,6 +58,12 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) ->
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Adds rows to a table, in the folders of the given columns."""
+    writer = df.write.mode("append").option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
 def overwrite(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Writes a table anew, partitioned by the given columns."""
     writer = df.write.mode("overwrite").option("compression", "zstd")

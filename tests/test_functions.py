@@ -52,6 +52,12 @@ def test_masks(spark):
     assert one(spark, S.mask_email(F.lit("none"))) == "***masked***"
     assert one(spark, S.mask_email(F.lit(None).cast("string"))) == "***masked***"
     assert one(spark, S.mask_ip(F.lit("at 10.0.0.1!"))) == "at ***.***.***.***!"
+    assert one(spark, S.mask_email(F.lit("a@b.example, c@d.example"))) == "***@b.example, c@d.example"
+    assert one(spark, S.mask_url(F.lit("https://sub.domain.co.uk/path/to/resource http://host/ https://h.example?a=1&b#f"))) == "https://***.co.uk/***/***/*** http://***/ https://***.example?a=***&b=***"
+    assert one(spark, S.mask_url(F.lit("https://a.example/" + "s/" * 400 + "secret"))) == "https://***.example/" + "***/" * 400 + "***"
+    assert one(spark, S.mask_url(F.lit("nothing here"))) == "nothing here" and one(spark, S.mask_url(F.lit(""))) == ""
+    assert [one(spark, S.mask_domain(F.lit(h))) for h in ("openai.com", "api.openai.com", "sub.domain.co.uk", "co.uk", "at x-y.example!")] == ["***.com", "***.***.com", "***.***.co.uk", "***.co.uk", "at ***.example!"]
+    assert one(spark, S.mask_sensitive(F.lit("1.2.3.4 'api_key:abc' on a.b.example"))) == "***.***.***.*** 'api_key:***' on ***.***.example"
     assert one(spark, S.mask_url(F.lit("see https://api.host.example/v1/users?key=s&x=1"))) == "see https://***.example/***/***?key=***&x=***"
 
 
@@ -188,3 +194,35 @@ def test_edits(spark):
         e([{"mode": "shout", "path": "a"}])
     df = spark.createDataFrame([('{"a":1}',), ("broken",), (None,)], "j string")
     assert [r[0] for r in df.select(J.edited(F.col("j"), [{"mode": "set", "path": "b", "value": [1]}])).collect()] == ['{"a":1,"b":[1]}', "broken", None]
+
+
+def test_negative_index_and_errors(spark):
+    doc = F.lit('{"l": [{"m": 1}, {"m": 7}], "s": "x", "n": null, "b": true}')
+    holds = lambda logic="OR", **c: one(spark, J.rules(doc, [c], logic))
+    assert holds(path="l.-1.m", mode="full", value=7) and not holds(path="l.-2.m", mode="full", value=7)
+    assert not holds(path="l.-3.m", mode="full", value=7) and holds(path="l.-3.m", mode="full", value=7, pass_missing_key=True)
+    # values of other types are errors, also inverted
+    assert not holds(path="s", mode="full", value=1, invert=True) and not holds(path="s", mode="gt", value=1, invert=True) and not holds(path="b", mode="full", value="x", invert=True)
+    assert holds(path="n", mode="full", value=1, invert=True) and holds(path="s", mode="full", value=None, invert=True)
+    assert not one(spark, J.rules(doc, [{"path": "s", "mode": "full", "value": "x"}, {"path": "s", "mode": "gt", "value": 1}]))
+
+
+def test_plan_times(spark):
+    at = F.lit("2025-01-31 13:05:07").cast("timestamp")
+    text = lambda c: str(one(spark, c))
+    assert [text(S.plan_end(at, u, n)) for u, n in (("month", 1), ("year", 1), ("day", 2), ("hour", 3), ("custom", 9))] == ["2025-03-03 13:05:07", "2026-01-31 13:05:07", "2025-02-02 13:05:07", "2025-01-31 16:05:07", "2025-01-31 13:05:16"]
+    assert text(S.next_reset(at, "custom", 60)) == "2025-01-31 13:06:07" and text(S.next_reset(at, "custom")) == "None" and text(S.next_reset(at, "never")) == "None"
+    assert text(S.next_reset(at, "daily", end=at)) == "None" and text(S.next_reset(at, "daily", end=F.lit(None).cast("timestamp"))) == "2025-02-01 00:00:00"
+    with pytest.raises(ValueError):
+        S.plan_end(at, "month", 0)
+
+
+def test_divided_shown_spent(spark):
+    assert one(spark, S.divided(F.lit(1), F.lit(3))) == 0.333 and one(spark, S.divided(F.lit(1), F.lit(0))) == 0.0 and one(spark, S.divided(F.lit(float("inf")), F.lit(1))) == 0.0
+    assert one(spark, S.shown(F.lit(1_000_000))) == 2.0 and one(spark, S.shown(F.lit(7), "TOKENS")) == 7.0
+    assert [one(spark, S.spent(F.lit(s), F.lit(e), F.lit(10), (2, 3), 1)) for s, e in ((1, 0), (1, 9), (1, 10), (3, 0))] == [False, True, False, True]
+    assert one(spark, S.digest(F.lit("a"))).startswith("ca978112ca1bbdca")
+
+
+def test_estimate_of_mathematical_letters():
+    assert S._kind(0x1D6C1) == "math" and S._kind(0x1D400) == "word" and S._kind(0x1D7CE) == "number" and S._kind(ord("²")) == "number"

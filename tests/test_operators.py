@@ -62,7 +62,7 @@ def test_empty_tables(spark, data):
     assert usage.stat(none, F.lit(0)).first().asDict() == {"quota": 0, "rpm": 0, "tpm": 0}
     assert rankings.models(rankings.period_sums(none, F.lit(0), "week")).count() == 0
     assert rankings.models(rankings.period_sums(none, F.lit(0), "all")).count() == 0
-    assert perf.board(perf.rollup(table(spark, data, "perf_sample").limit(0))).count() == 0
+    assert perf.board(perf.rollup(table(spark, data, "perf_sample").limit(0)), F.lit(0)).count() == 0
     assert charts.padded(spark.createDataFrame([], "bucket long, value long"), 7, 3600).count() == 0
 
 
@@ -130,12 +130,15 @@ def test_limiters(spark, requests):
 
 
 def both(rows, total, success, seconds):
-    tried, done, out = [], [], []
+    done, out, tokens, last = [], [], total * seconds, None
     for t, ok in rows:
-        yes = not (len(done) >= success and t - done[-success] < seconds) and not (len(tried) >= total and t - tried[-total] < seconds)
-        out.append(yes)
-        if yes:
-            tried.append(t)
+        if len(done) >= success and t - done[-success] < seconds:
+            out.append(False)
+            continue
+        tokens, last = min(total * seconds, tokens + (0 if last is None else t - last) * total), t
+        out.append(tokens >= seconds)
+        if tokens >= seconds:
+            tokens -= seconds
             done += [t] if ok else []
     return out
 
@@ -149,6 +152,42 @@ def test_dual_limiter(spark, requests):
     assert got == dict(zip([i for _, i, _ in seq], both([(t, ok) for t, _, ok in seq], 4, 2, 10)))
 
 
+def test_limiters_and_nulls(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(None, 5, i) for i in range(4)] + [(big, 5, 10), (big - 1, 5, 11), (big, None, 12)], "key long, at long, id long")
+    got = {r["id"]: (r["key"], r["allowed"]) for r in limits.sliding(df, "key", "at", "id", 1, 3600).collect()}
+    assert got == {0: (None, True), 1: (None, False), 2: (None, False), 3: (None, False), 10: (big, True), 11: (big - 1, True), 12: (big, None)}
+
+
+def test_intermediate_folder_must_be_shared(spark, monkeypatch):
+    from types import SimpleNamespace as N
+
+    from meterlark import session
+
+    away = N(conf=N(get=lambda *_: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://there:7077"))
+    with pytest.raises(RuntimeError):
+        session._shared_dir(away)
+
+
+def test_windows_of_use(spark):
+    from datetime import datetime, timezone
+
+    at = lambda s: datetime.fromtimestamp(s, timezone.utc)
+    df = spark.createDataFrame([("m", at(0), 5, 1, 1, "plain"), ("m", at(10), 0, 2, 2, "stream"), ("m", at(20), None, 4, 4, None), ("m", at(31), 1, 8, 8, "plain")], "k string, event_time timestamp, cached long, prompt_tokens long, completion_tokens long, mode string")
+    assert rows(usage.cache_windows(df, ["k"], 10)) == [("m", 0, 20, 3, 1, 5, 7, 7, "mixed"), ("m", 31, 31, 1, 1, 1, 8, 8, "plain")]
+
+
+def test_summary_of_a_day(spark):
+    df = spark.createDataFrame([(0, 1, 1, 1), (172_800, 2, 2, 2), (176_400, 4, 4, 4)], "hour long, count long, quota long, token_used long")
+    assert rows(usage.day_summary(df, F.lit(0), F.lit(10**9))) == [(3, 3, 3)] and rows(usage.day_summary(df, F.lit(172_800), F.lit(0))) == [(2, 2, 2)]
+
+
+def test_append(spark, tmp_path):
+    for i in range(2):
+        sources.append(spark.createDataFrame([(i, "x")], "id long, part string"), str(tmp_path / "a"), ["part"])
+    assert sources.read(spark, str(tmp_path / "a")).count() == 2
+
+
 # streams
 
 
@@ -224,7 +263,7 @@ def test_nested_cases(spark):
     got = sorted(map(tuple, nested.files_only(df, "record_id", "payload").collect()))
     want = [(i, *f) for i, p in enumerate(CASES) if "NaN" not in (p or "") for f in brute(p)] + [(10, *f) for f in brute(CASES[10])]
     assert got == sorted(want)
-    unreadable = {r[0] for r in nested.tables(df, "record_id", "payload")["unreadable"].collect()}
+    unreadable = {r[0] for r in nested.tables(nested.shred(df, "record_id", "payload"), "record_id")["unreadable"].collect()}
     assert unreadable == {0, 1, 2, 3, 4, 5, 6, 14, 16}
 
 
@@ -232,10 +271,66 @@ def test_nested_tables(spark, data):
     t = table(spark, data, "task_record")
     found = sorted(map(tuple, nested.files_only(t, "record_id", "payload").collect()))
     assert found == sorted((r["record_id"], *f) for r in t.collect() for f in brute(r["payload"])) and found
-    flat = nested.tables(t, "record_id", "payload")
+    objects = nested.written(t, "record_id", "payload")
+    flat = nested.tables(objects, "record_id")
     assert flat["files"].join(flat["renditions"], ["record_id", "clip_no", "rendition_no"], "left_anti").count() == 0
     assert flat["renditions"].join(flat["clips"], ["record_id", "clip_no"], "left_anti").count() == 0
     assert flat["clips"].join(flat["records"], "record_id", "left_anti").count() == 0
     assert flat["records"].count() + flat["unreadable"].count() == t.count()
-    assert nested.subtype(t, "record_id", "payload", "clip").columns == ["record_id", "clip_no", "rendition_no", "file_no", "variant", "name", "value"]
+    for level in ("record", "clip", "rendition", "file"):
+        each = nested.subtypes(objects, "record_id", level)
+        assert sum(x.count() for x in each.values()) == flat[f"{level}s"].count()
     assert nested.shred(t.limit(0), "record_id", "payload").count() == 0
+
+
+def test_nested_states():
+    s = nested.state
+    assert s({"a": {"b": [1]}}) != s({"z": 1}) and s({"a": {"b": [1]}}) == s({"A": '{"B_": [2, 7]}'}) != s({"a": {"b": ["x"]}})
+    assert [s(x) for x in (None, True, 5, 5.5, "5", "", "null", "[1]", [], [1, "a", None], [[1]])] == ["null", "bool", "int", "number", "text", "text", "null", "list<int>", "list<>", "list<int|null|text>", "list<list<int>>"]
+    assert nested.own_members('a:list<int|text>,"b,:":object#12,c:text', ("c",), None) == [("a", "list<int|text>"), ("b,:", "object#12")]
+
+
+def test_nested_subtypes(spark):
+    payloads = ['{"task_id": "t", "n": 5, "clips": [{"title": "x", "w": 1.5, "deep": {"a": [1]}, "record_id": true}, {"title": "y", "w": "1.5"}]}', '{"task_id": 7, "n": "5", "clips": {"W": 2.5, "deep": {"a": [2]}, "recordid": false, "title": "z"}}']
+    df = spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string")
+    objects = nested.written(df, "record_id", "payload")
+    clips = nested.subtypes(objects, "record_id", "clip")
+    wide = clips["deep:" + nested.state({"a": [1]}) + ",recordid:bool,title:text,w:number"]
+    assert wide.dtypes == [("record_id", "bigint"), ("clip_no", "int"), ("deep", "string"), ("recordid", "boolean"), ("w", "double")]
+    assert sorted(map(tuple, wide.collect())) == [(0, 1, '{"a":[1]}', True, 1.5), (1, 1, '{"a":[2]}', False, 2.5)]
+    assert {k: t.dtypes[1] for k, t in nested.subtypes(objects, "record_id", "record").items()} == {"clips:list<clip>,n:int,taskid:text": ("n", "bigint"), "clips:list<clip>,n:text,taskid:int": ("n", "string")}
+    got = {(r["record_id"], r["clip_no"], r["member"]): (r["kind"], r["text"], r["whole"], r["fraction"], r["flag"]) for r in nested.values(objects, "record_id").collect()}
+    assert got[0, None, "n"] == ("int", "5", 5, None, None) and got[1, None, "n"] == ("text", "5", None, None, None) and got[0, 1, "w"] == ("number", "1.5", None, 1.5, None) and got[0, 1, "recordid"] == ("bool", "true", None, None, True)
+
+
+def test_nested_deeply(spark):
+    deep = "[" * 30_000 + "]" * 30_000
+    objects = '{"a":' * 30_000 + "1" + "}" * 30_000
+    folded = '{"clips":[{"renditions":[{"files":[{}]}]}]}'
+    for _ in range(11):
+        import json
+
+        folded = json.dumps(folded)
+    good = '{"x": %s, "clips": [{"y": %s, "renditions": [{"files": [{"meta": %s}]}]}]}'
+    rows = [(1, good % (deep, deep, objects)), (2, deep), (3, good % (deep, "1" + deep, "2")), (4, folded), (5, "[" * 30_000)]
+    df = spark.createDataFrame(rows, "record_id long, payload string")
+    assert sorted(map(tuple, nested.files_only(df, "record_id", "payload").collect())) == [(1, 1, 1, 1), (4, 1, 1, 1)]
+    meta = nested.tables(nested.shred(df, "record_id", "payload"), "record_id")["files"].filter("record_id = 1").first()["meta"]
+    assert meta.replace(" ", "") == objects
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)))
+def test_deep_reader(value):
+    import json
+
+    for text in (json.dumps(value), json.dumps(value, indent=1, ensure_ascii=False)):
+        assert nested._deep_loads(text) == value
+        for broken in (text[:-1], text + "]", text[1:], text.replace(":", ",", 1)):
+            try:
+                want = json.loads(broken)
+            except ValueError:
+                with pytest.raises(ValueError):
+                    nested._deep_loads(broken)
+            else:
+                assert nested._deep_loads(broken) == want

@@ -1,11 +1,13 @@
 """Problem 6: conversations put together from message rows, by topological order of the reply graph.
 
-Only replies to a message of the same instant bear on the order, as turns go by time first. So the
-graph falls into one small graph for each ticket and instant with such replies, and Kahn's
-algorithm runs on these: messages without an open predecessor are taken in layers, lowest id first
-within a layer; what is left over when no layer can be taken lies on a cycle. Everything else is
-done by aggregation, so that a ticket that holds a large share of all rows is never gathered: turns
-are numbered within a ticket's day and shifted by the counts of its days before.
+Kahn's algorithm takes messages without an open predecessor in layers, lowest id first within a
+layer; what is left over when no layer can be taken lies on a cycle, which breaks its ticket. Two
+things keep its graphs small. Turns go by time first, so only replies to a message of the same
+instant bear on the order, and that is sought in one graph for each ticket and instant with such
+replies. And a cycle of replies either lies within an instant or holds a reply to a later message,
+so the whole reply graph is only gone through for tickets with such a reply. Everything else is done by
+aggregation, so that a ticket that holds a large share of all rows is never gathered: turns are
+numbered within a ticket's day and shifted by the counts of its days before.
 """
 
 from __future__ import annotations
@@ -82,14 +84,16 @@ def _doubling(edges: DataFrame) -> DataFrame:
 
 
 def turns(messages: DataFrame) -> DataFrame:
-    """(ticket_id, turn_no, message_id, role): the turns of every ticket that is whole.
+    """(ticket_id, turn_no, message_id, role, repeats): the turns of every ticket that is whole.
+
+    ``repeats`` tells where roles don't alternate: the last turn before, system messages aside, was of
+    the same role. It drops no ticket; a system message doesn't repeat.
 
     ``messages`` has message_id, ticket_id, author_role, reply_to, body and sent_at; other columns
     don't matter. Rows equal in all but message_id are one message with its lowest id, and a reply
     to any of them is a reply to it. A ticket is dropped if a message has no time, no readable role
-    or replies to none of the ticket's messages, if replies of one instant run in a circle (those across
-    instants don't bear on the order and drop nothing), or if, without system messages, it doesn't begin with a customer and end with an agent; a message
-    whose body is null or blank counts for the first group of reasons only. Rows without a ticket
+    or replies to none of the ticket's messages, if replies run in a circle, or if, without system
+    messages, it doesn't begin with a customer and end with an agent; a message whose body is null or blank counts for the first group of reasons only. Rows without a ticket
     belong to none. At equal times a message follows the one it replies to, else the lower id goes
     first. An empty table, or one without a whole ticket, gives an empty table.
     """
@@ -114,6 +118,18 @@ def turns(messages: DataFrame) -> DataFrame:
         layers = layers.unionByName(_doubling(large))
     layers = layers.withColumn("ordered", F.lit(True))
 
+    forward = m.filter("parent_at > sent_at").select("ticket_id").distinct()
+    circles = None
+    if not forward.isEmpty():
+        graph = m.join(forward, "ticket_id", "left_semi").select("ticket_id", "message_id", "parent")
+        sizes = graph.groupBy("ticket_id").agg(F.count("*").alias("n"))
+        graph = durable(graph.join(sizes, "ticket_id"))
+        gathered = graph.filter(F.col("n") <= PIECE).groupBy("ticket_id").agg(F.collect_list(F.struct(F.col("message_id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent"))).alias("nodes"))
+        left = _kahn(gathered.select("nodes"))
+        if not graph.filter(F.col("n") > PIECE).isEmpty():
+            left = left.unionByName(_doubling(graph.filter(F.col("n") > PIECE).select("message_id", "parent")))
+        circles = durable(graph.join(left.filter("layer IS NULL").select("message_id"), "message_id", "left_semi").select("ticket_id").distinct())
+
     placed = m.join(layers, "message_id", "left").select(
         "ticket_id", "message_id", "sent_at", "role", "blank",
         F.coalesce("layer", F.lit(0)).alias("layer"),
@@ -128,7 +144,14 @@ def turns(messages: DataFrame) -> DataFrame:
         .filter("NOT broken AND opens = 'customer' AND closes = 'agent'")
         .select("ticket_id")
     )
+    if circles is not None:
+        whole = whole.join(circles, "ticket_id", "left_anti")
     kept = placed.filter("NOT blank").join(whole, "ticket_id", "left_semi").withColumn("day", F.to_date("sent_at"))
-    days = kept.groupBy("ticket_id", "day").count().withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("ticket_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(W.partitionBy("ticket_id", "day").orderBy("sent_at", "layer", "message_id"))
-    return kept.withColumn("within", within).join(days.drop("count"), ["ticket_id", "day"]).select("ticket_id", (F.col("before") + F.col("within")).cast("int").alias("turn_no"), "message_id", "role")
+    speaks = F.when(F.col("role") != "system", F.col("role"))
+    so_far = W.partitionBy("ticket_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = kept.groupBy("ticket_id", "day").agg(F.count("*").alias("count"), F.max_by("role", F.when(speaks.isNotNull(), F.struct("sent_at", "layer", "message_id"))).alias("closes"))
+    days = days.select("ticket_id", "day", F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias("before"), F.last("closes", ignorenulls=True).over(so_far).alias("spoke"))
+    order = W.partitionBy("ticket_id", "day").orderBy("sent_at", "layer", "message_id")
+    numbered = kept.withColumn("within", F.row_number().over(order)).withColumn("spoke_today", F.last(speaks, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    repeats = F.coalesce(speaks == F.coalesce("spoke_today", "spoke"), F.lit(False))
+    return numbered.join(days, ["ticket_id", "day"]).select("ticket_id", (F.col("before") + F.col("within")).cast("int").alias("turn_no"), "message_id", "role", repeats.alias("repeats"))

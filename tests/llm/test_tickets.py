@@ -37,6 +37,11 @@ def brute(rows):
                     ok = False
                     break
             depth[i] = len(seen)
+            seen, x = {i}, i
+            while ok and m[x][1] is not None:  # a circle, across instants too
+                x = first[m[x][1]]
+                ok = x not in seen
+                seen.add(x)
         if not ok:
             continue
         kept = sorted((i for i in m if m[i][2] and m[i][2].strip()), key=lambda i: (m[i][3], depth[i], i))
@@ -78,6 +83,7 @@ def test_rules(spark, monkeypatch):
         (91, 10, s, None, "opened", at(0)), (92, 10, c, None, "q", at(2)), (93, 10, "asst.", 92, "r", at(3000)),
         (95, None, c, None, "q", at(0)), (96, 11, c, None, None, at(0)),
         (101, 12, c, 102, "q", at(0)), (102, 12, a, None, "r", at(5)),  # replies to what comes later
+        (111, 13, c, 112, "q", at(0)), (112, 13, a, 111, "r", at(5)), (113, 13, a, 112, "r", at(6)),  # a circle across instants
     ]
     want = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 13), (2, 2, 12), (9, 1, 81), (9, 2, 83), (10, 1, 91), (10, 2, 92), (10, 3, 93), (12, 1, 101), (12, 2, 102)]
     assert turns(spark, rows) == want
@@ -86,3 +92,22 @@ def test_rules(spark, monkeypatch):
     assert turns(spark, []) == []
     df = spark.createDataFrame([(*r, 1, "x") for r in rows[:3]], SCHEMA + ", layer int, role string")
     assert tickets.turns(df).count() == 3
+
+
+def test_roles_in_turn(spark):
+    day = 24 * 60
+    rows = [(1, 1, "user", None, "q", at(0)), (2, 1, "bot", None, "b", at(1)), (3, 1, "user", None, "q", at(2)), (4, 1, "agent", 3, "r", at(2)), (5, 1, "bot", None, "b", at(day)), (6, 1, "staff", None, "r", at(day + 1)), (7, 1, "user", None, "q", at(3 * day)), (8, 1, "agent", None, "r", at(3 * day))]
+    got = tickets.turns(spark.createDataFrame(rows, SCHEMA)).orderBy("turn_no").collect()
+    assert [r["repeats"] for r in got] == [False, False, True, False, False, True, False, False]
+
+
+def test_any_graph(spark):
+    rng = random.Random(23)
+    rows = []
+    for ticket in range(150):
+        n = rng.randint(2, 6)
+        for i in range(n):
+            k = ticket * 10 + i
+            rows.append((k, ticket, "user" if i == 0 else "agent", ticket * 10 + rng.randrange(n) if rng.random() < 0.5 else None, "x", at(rng.randrange(3) if i else 0)))
+    want = brute(rows)
+    assert want and turns(spark, rows) == want

@@ -21,6 +21,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from meterlark.llm import bpe
 from meterlark.session import durable
 
-#: Text of the items that one pass over the corpus may hold in memory; more items go in blocks.
+#: Text of the items that one search may hold in memory; more items go in blocks, which search the same index.
 BLOCK_BYTES = 16_000_000
+#: Distinct words of items for which one index is made; where items have more, there are several.
+INDEX_WORDS = 1_000_000
 #: Text of a segment, at least one text: the larger, the fewer times the items are gone through.
 SEGMENT_BYTES = 16_000_000
 #: Words of an item whose windows are looked for together, and places looked at together.
@@ -39,15 +43,29 @@ STRETCH = 128
 PLACES = 100_000
 WORDS_SQL = rf"""
 SELECT CASE WHEN t IS NULL THEN [] WHEN regexp_matches(t, '[^{bpe.USUAL}]') THEN NULL
-            ELSE regexp_extract_all(lower(t), '[\pL\pN]+') END AS w
+            ELSE regexp_extract_all(replace(replace(lower(t), 'i̇', 'i'), 'ς', 'σ'), '[\pL\pN]+') END AS w
 FROM texts
 """
 _WORD = re.compile(r"[^\W_]+")
+#: Stands between items of one key.
+_PARTING = -1
+
+
+class _Lower(dict):
+    """Lower case of each character by itself, as ``lower`` of the query has it."""
+
+    def __missing__(self, code: int) -> int:
+        low = chr(code).lower()
+        self[code] = out = ord(low[0]) if len(low) == 1 or code == 0x130 else code
+        return out
+
+
+_LOWER = _Lower()
 
 
 def words_of(text: str) -> list[str]:
-    """Longest runs of letters and digits, in lower case."""
-    return _WORD.findall(text.lower())
+    """Longest runs of letters and digits, in lower case, where both forms of the small sigma are one and i with a dot is i."""
+    return _WORD.findall(text.translate(_LOWER).replace("i\u0307", "i").replace("ς", "σ"))
 
 
 class Cutter:
@@ -231,19 +249,19 @@ def _near(segments: DataFrame, kind: str, items: dict, rarity: np.ndarray, least
 
 def _search(segments: DataFrame, kind: str, items: dict, rarity: np.ndarray, least: int) -> DataFrame:
     """(k, item, run): longest runs of consecutive words, of at least ``least``."""
-    plan = [(i, item, anchors(item, rarity, least)) for i, item in items.items()]
+    by_word: dict[int, list[tuple[object, np.ndarray, int]]] = {}  # the anchors of each word
+    for i, item in items.items():
+        for at in anchors(item, rarity, least):
+            by_word.setdefault(int(item[at]), []).append((i, item, at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, starts, lists = _unpack(batch, row)
                 best: dict[tuple[int, object], int] = {}
-                for item_id, item, anchored in plan:
-                    for at in anchored:
-                        begin = lists.get(int(item[at]))
-                        if begin is None:
-                            continue
-                        begin = begin - at  # where the item's first word would stand
+                for word, posting in lists.items():
+                    for item_id, item, at in by_word.get(word, ()):
+                        begin = posting - at  # where the item's first word would stand
                         run_right, alive = np.ones(len(begin), np.int64), np.ones(len(begin), bool)
                         for direction in (1, -1):
                             alive[:] = True
@@ -281,28 +299,45 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     empty result; further columns don't matter. item_key must be a whole number.
 
     The items are the query set and are held by each task, in blocks of at most BLOCK_BYTES whose
-    number follows their measured size; the corpus is read once for each block and never shuffled.
+    number follows their measured size. The corpus is cut into words and indexed once for as many
+    blocks as have INDEX_WORDS distinct words, and never shuffled; each block is searched by itself.
     """
     chosen = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna()
     size = chosen.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks, kind = max(1, -(-int(size) // BLOCK_BYTES)), dict(corpus.dtypes)[key]
-    found = None
-    for b in range(blocks):
+    cutter, gap = Cutter(), max(least, near[1] if near else 0) + 1
+
+    def of_block(b: int, terms: dict[str, int]) -> dict[int, np.ndarray]:
+        """The items of a block as numbers of their words, which are added to ``terms``."""
         inside: Column = F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b
-        terms: dict[str, int] = {}
         cut: dict[int, list[np.ndarray]] = {}
-        for row in chosen.filter(inside).toLocalIterator():
-            w = words_of(row["t"])
-            if len(w) >= least:
-                cut.setdefault(row["i"], []).append(np.array([terms.setdefault(x, len(terms)) for x in w], np.int32))
+        rows = chosen.filter(inside).toLocalIterator()
+        while part := list(islice(rows, 1000)):
+            flat, counts = cutter(pa.array([r["t"] for r in part], pa.string()))
+            words, ends = flat.to_pylist(), np.cumsum(counts).tolist()
+            for r, n, end in zip(part, counts.tolist(), ends):
+                if n >= least:
+                    cut.setdefault(r["i"], []).append(np.array([terms.setdefault(x, len(terms)) for x in words[end - n : end]], np.int32))
         # items of one key stand behind one another, parted by a word that occurs nowhere
-        joined = {i: np.concatenate([x for part in parts for x in ([len(terms)], part)][1:]).astype(np.int32) for i, parts in cut.items()}
-        segments = durable(index(corpus, key, text, terms, max(least, near[1] if near else 0) + 1))
+        return {i: np.concatenate([x for part in parts for x in ([_PARTING], part)][1:]).astype(np.int32) for i, parts in cut.items()}
+
+    found, b = [], 0
+    while b < blocks:
+        terms: dict[str, int] = {}
+        first = b
+        while b < blocks and len(terms) < INDEX_WORDS:
+            joined = of_block(b, terms)
+            b += 1
+        segments = durable(index(corpus, key, text, terms, gap))
         counts = segments.select(F.explode(F.arrays_zip("terms", "counts")).alias("z")).groupBy("z.terms").agg(F.sum("z.counts").alias("n")).collect()
         rarity = np.zeros(len(terms) + 1, np.int64)
         rarity[-1] = np.iinfo(np.int64).max
-        for r in counts:  # at most one row for each word of the block's items
+        for r in counts:  # at most one row for each word of the items
             rarity[r["terms"]] = r["n"]
-        part = _near(segments, kind, joined, rarity, least, *near) if near else _search(segments, kind, joined, rarity, least)
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("k", "item").agg(F.max("run").alias("words")).select(F.col("k").alias(key), F.col("item").alias(item_key), "words")
+        for block in range(first, b):
+            own = joined if b - first == 1 else of_block(block, terms)
+            own = {i: np.where(item == _PARTING, len(terms), item).astype(np.int32) for i, item in own.items()}
+            part = _near(segments, kind, own, rarity, least, *near) if near else _search(segments, kind, own, rarity, least)
+            part = part.groupBy("k", "item").agg(F.max("run").alias("words"))
+            found.append(part if blocks == 1 else durable(part))
+    return reduce(DataFrame.unionByName, found).groupBy("k", "item").agg(F.max("words").alias("words")).select(F.col("k").alias(key), F.col("item").alias(item_key), "words")

@@ -117,3 +117,20 @@ def test_proximity_of_many_words(spark):
     words = [f"w{k}" for k in range(200)]
     docs = [(1, " ".join(words[150:20:-1])), (2, " ".join(w for k, w in enumerate(words) if k % 2))]
     assert near(spark, docs, [(1, " ".join(words))], 100, 0.9, 110) == brute_near(docs, [(1, " ".join(words))], 100, 0.9, 110) == {(1, 1): 100}
+
+
+def test_letters_with_two_lower_forms(spark):
+    item = "Λόγος και ΛΟΓΟΣ στην İstanbul Straße ÉTÉ naïve ΟΔΥΣΣΕΥΣ 𝐀𝐁 １２ x y"
+    odd = " ꙮ ﷽ "  # takes the text out of the usual characters
+    docs = [(1, item), (2, item.upper().replace("STRASSE", "Straße")), (3, item.lower()), (4, item + odd), (5, odd + item.lower()), (6, item.replace("ΛΟΓΟΣ", "λογος")), (7, "Λόγος και")]
+    assert {r[0] for r in found(spark, docs, [(1, item)], 12).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_one_index_for_all_blocks(spark, data, monkeypatch):
+    d, i = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_item.parquet")
+    run = lambda: {tuple(r) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
+    want = run()
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 30_000)
+    assert run() == want
+    monkeypatch.setattr(leaks, "INDEX_WORDS", 1)
+    assert run() == want

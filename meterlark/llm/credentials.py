@@ -1,15 +1,16 @@
 """Problem 1: credentials in source code and configuration, found with byte offsets and masked in place.
 
-A file is parsed line by line into assignments (key path, value, byte span), whatever its format:
-env, properties, INI, YAML, JSON, shell, Python, JavaScript and Go share the shapes ``key = value``,
-``key: value``, ``key := value`` with optional quotes; comments are parsed the same way. Keys are
-tested by name, values by shape; further parsers know credentials that stand without a key: the
-user part of a URL or DSN, authorization schemes, options of command-line clients, arguments of
-connecting calls, tokens with a telling prefix and key blocks. A value may stand on the lines below
-its key (also as a block scalar) or under a neutral name below a key that names a secret, by
-indentation, braces or section head. Values that only refer to a secret
-or stand in for one are left. Masks are spliced into the original bytes between the delimiters of
-the value, so that quotes, line ends and everything else stay as they were.
+JSON, YAML and XML are parsed into full key paths, see ``formats``. What has the shape of an
+assignment is read in every file, also in comments and inside strings: env, properties, INI, shell,
+Python, JavaScript and Go share ``key = value``, ``key: value``, ``key := value`` with optional
+quotes. Keys are tested by name, values by shape; further parsers know credentials that stand
+without a key: the user part of a URL or DSN, paths of webhooks, authorization schemes, options of
+command-line clients, arguments of connecting calls, tokens with a telling prefix and key blocks. A
+value may stand on the lines below its key (also as a block scalar), among the items of a list, or
+under a neutral name below a key that names a secret, by indentation, braces or section head.
+Values that only refer to a secret or stand in for one are left. Masks are spliced into the original
+between the delimiters of the value: a plain word, or 0 in place of a number, so that the file
+stays valid and quotes, line ends and everything else are as they were.
 """
 
 from __future__ import annotations
@@ -23,19 +24,27 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from meterlark.llm import formats
+
+#: What stands in place of a credential.
+MASK = "REDACTED"
+
 
 class Hit(NamedTuple):
     start: int  # characters from the text's beginning
     end: int
     key: str  # key path, or what told the credential
     kind: str
+    mask: str = MASK
 
 
 #: Last words of keys that name a secret, and keys ending in "key" that don't.
-SECRET_WORDS = frozenset("password passwd pwd pass pw passphrase passcode secret secrets token credential credentials auth apikey authtoken accesskey secretkey privatekey".split())
+SECRET_WORDS = frozenset("password passwd pwd pass pw passphrase passcode secret secrets token credential credentials auth apikey authtoken accesskey secretkey privatekey psk".split())
+#: Words that name a secret also at the end of a longer word.
+SECRET_ENDS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "secretkey", "accesskey")
 OPEN_KEYS = frozenset("public primary foreign sort partition cache group order row shard map index unique routing hot host id event".split())
 #: Beginnings of keys issued by services, followed by at least 12 characters of key.
-PREFIXES = r"(?:sk-(?:live-|test-|proj-)?|nxk-(?:live|test)-|pat_|gwk_|rly\.|GWAK|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|rk_live_|pk_live_)"
+PREFIXES = r"(?:sk-(?:live-|test-|proj-)?|nxk-(?:live|test)-|pat_|gwk_|rly\.|GWAK|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|rk_live_|pk_live_|AIza|npm_|hf_|SG\.|dop_v1_|shp(?:at|ss|ca)_|ya29\.)"
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _ASSIGN = re.compile(r"""(?P<q>["'`]?)(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\s*(?::=|=>|=(?!=)|:(?!//|:))[ \t]*""")
@@ -53,12 +62,16 @@ _DSN = re.compile(r"""(?<![\w/:])[\w.\-]+:(?P<p>[^\s"'`]+)@(?:tcp|unix|udp)\("""
 _QUERY = re.compile(r"""[?&](?P<key>[A-Za-z_][\w\-]*)=(?P<p>[^\s&"'`#]+)""")
 _SCHEME = re.compile(r"""\b(?P<scheme>Bearer|Basic|Token|bearer|basic)[ \t]+(?P<p>[^\s"'`,;)]+)(?=["'`]|[ \t\r]*$)""", re.M)
 _CURL = re.compile(r"""\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?(?P<q>["']?)(?P<user>[^\s:"']+):(?P<p>[^\s"']+)""")
-_OPTION = re.compile(r"""\bredis-cli\b[^\n]*?\s(?:-a|--pass)[ =](?P<q>["']?)(?P<p>[^\s"']+)|\b(?:mysql|mysqldump|mariadb|mysqladmin)\b[^\n]*?\s-p(?P<q2>["']?)(?P<p2>[^\s"']+)|\bsshpass\s+-p[ ]?(?P<q3>["']?)(?P<p3>[^\s"']+)|\s--(?:password|passwd|pass|token|api-key|secret)[ =](?P<q4>["']?)(?P<p4>[^\s"']+)""")
+_OPTION = re.compile(r"""\bredis-cli\b[^\n]*?\s(?:-a|--pass)[ =](?P<q>["']?)(?P<p>[^\s"']+)|\b(?:mysql|mysqldump|mariadb|mysqladmin)\b[^\n]*?\s-p(?P<q2>["']?)(?P<p2>[^\s"']+)|\bsshpass\s+-p[ ]?(?P<q3>["']?)(?P<p3>[^\s"']+)|\s--(?:password|passwd|pass|token|api-key|secret)[ =](?P<q4>["']?)(?P<p4>[^\s"']+)|\b(?:docker|podman|helm|oc|az|heroku)\b[^\n]*?\blogin\b[^\n]*?\s-p[ ](?P<q5>["']?)(?P<p5>[^\s"']+)""")
 _CALL = re.compile(r"""\b(?P<f>connect|open|login|dial|authenticate|basic_?auth|set_?basic_?auth|create_?client|sign_?in)\s*\((?P<args>[^\n]*)""", re.I)
 _ISSUED = re.compile(rf"(?<![\w-])(?P<p>{PREFIXES}[A-Za-z0-9_\-]{{12,}})")
 _JWT = re.compile(r"(?<![\w.-])(?P<p>eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOB = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/]{40,}={0,2}(?![\w+/=])")
+_PAIR = re.compile(r"""(?P<q>["'])(?P<key>[A-Za-z_][\w.\-]*)(?P=q)\s*,\s*(?=["'`])""")
+_NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(?P<p>[^\s\"'`]+)")
+_HOOK = re.compile(r"""https?://(?=[^\s"'`]*(?:hook|services/))[^\s"'`?]+/(?P<p>[A-Za-z0-9_\-]{16,})(?=["'`\s]|$)""")
+_QUOTE = re.compile(r"""\\.|(?<![A-Za-z0-9])["'`]|["'`]""", re.S)
 _NAMED = re.compile(r"(?mi)\bname[\"']?\s*:\s*[\"']?([\w.\-]+)[\"']?,?\s*\n?\s*[\"']?value[\"']?\s*:\s*")
 _REFERENCE = re.compile(
     r"""^(?:
@@ -84,7 +97,7 @@ def sensitive(key: str) -> bool:
     if not w:
         return False
     last = w[-1] if not w[-1].isdigit() or len(w) < 2 else w[-2]
-    if last in SECRET_WORDS:
+    if last in SECRET_WORDS or last.endswith(SECRET_ENDS):
         return True
     return last == "key" and (len(w) == 1 or w[-2] not in OPEN_KEYS)
 
@@ -95,7 +108,7 @@ def stand_in(value: str) -> bool:
     if len(v) < 4 or _REFERENCE.match(v):
         return True
     low = v.lower().strip("-_.*<>[](){}\"' ")
-    if not low or low in _STAND_IN or re.fullmatch(r"(?:your|my|insert|enter|put|the)[-_ ].*(?:here|key|token|secret|password)", low):
+    if not low or all(w in _STAND_IN for w in low.split()) or low in _STAND_IN or re.fullmatch(r"(?:your|my|insert|enter|put|the)[-_ ].*(?:here|key|token|secret|password)", low):
         return True
     core = re.sub(rf"^{PREFIXES}", "", v)
     return not core or len(set(core.lower().strip("-_"))) <= 1 or bool(re.fullmatch(r"[xX*•.#_\-]+", core)) or "..." in v or "***" in v
@@ -123,16 +136,23 @@ def _strings(text: str, at: int) -> list[tuple[int, int, str]]:
 
 #: Whatever tells a credential has one of these on its line, in lower case.
 _CUES = (
-    "pass", "pwd", "pw", "secret", "token", "cred", "auth", "key", "://", "@tcp(", "@unix(", "@udp(", "bearer", "basic", "curl", "redis-cli", "mysql", "mariadb",
+    "psk", "aiza", "npm_", "hf_", "sg.", "dop_v1_", "shp", "ya29", "pass", "pwd", "pw", "secret", "token", "cred", "auth", "key", "://", "@tcp(", "@unix(", "@udp(", "bearer", "basic", "curl", "redis-cli", "mysql", "mariadb",
     "connect", "open", "login", "dial", "client", "sign", "eyj", "sk-", "nxk-", "pat_", "gwk_", "rly.", "gwak", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_",
 )
 
 
+_FOLLOWS = re.compile(r"\s*[^\n]*")
+
+
 def _segments(text: str) -> list[tuple[int, int]]:
-    """The lines that hold a cue, as spans in order."""
+    """The lines that hold a cue, as spans in order.
+
+    Every pattern begins on a line with a cue: the words that name a secret, and what else tells a
+    credential, each hold one.
+    """
     low = text.lower()
-    if len(low) != len(text):
-        return [(0, len(text))]
+    if len(low) != len(text):  # some letters have two in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     lines: dict[int, int] = {}
     for cue in _CUES:
         at = low.find(cue)
@@ -144,6 +164,28 @@ def _segments(text: str) -> list[tuple[int, int]]:
     return sorted(lines.items())
 
 
+def _every(pattern: re.Pattern, text: str, spans: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Matches that begin within the spans, as in a scan of the whole text; they may go on to the next line with something on it."""
+    done = 0
+    for a, b in spans:
+        for m in pattern.finditer(text, max(a, done), _FOLLOWS.match(text, b).end()):
+            if m.start() >= b:
+                break
+            done = m.end()
+            yield m
+
+
+def _inside(text: str, at: int) -> str:
+    """The quote of the string that a place of a line is inside of, or blank."""
+    quote = ""
+    for m in _QUOTE.finditer(text, text.rfind("\n", 0, at) + 1, at):
+        if m[0] == quote:
+            quote = ""
+        elif not quote and len(m[0]) == 1 and (m.start() == 0 or not text[m.start() - 1].isalnum()):
+            quote = m[0]
+    return quote
+
+
 def _below(text: str, m: re.Match) -> tuple[int, int, bool] | None:
     """Where the value of an assignment stands that has none on its line: (start, end, whether it is a block scalar)."""
     stop = text.find("\n", m.end())
@@ -187,7 +229,7 @@ def _neutral(text: str) -> Iterator[tuple[re.Match, str]]:
         here = line.start("v")
         for token in _TOKEN.finditer(text, here, line.end("v")):
             if token["open"]:
-                named = _OWNER.search(text, max(at, token.start() - 200), token.start())
+                named = _OWNER.search(text, max(at, token.start() - 2000), token.start())
                 braces.append(named["key"] if named else "")
             elif token["close"]:
                 if braces:
@@ -201,12 +243,33 @@ def _neutral(text: str) -> Iterator[tuple[re.Match, str]]:
             indented.append((depth, key[1]))
 
 
-def find(text: str) -> list[Hit]:
-    """Literal credentials of a file, in order, not overlapping."""
-    spans = _segments(text)
-    hits: list[Hit] = []
-    every = lambda pattern: (m for a, b in spans for m in pattern.finditer(text, a, b))
-    add = lambda s, e, key, kind: hits.append(Hit(s, e, key, kind)) if e > s else None
+def _from_formats(text: str) -> Iterator[Hit]:
+    """Credentials among the values of a file in a format with key paths."""
+    for e in formats.entries(text):
+        names = [n for n in e.path if not n.isdigit()]
+        owner = next((n for n in reversed(names) if n.rsplit(".", 1)[-1].lower() not in NEUTRAL), "")
+        listed = bool(e.path) and e.path[-1].isdigit()
+        if not sensitive(owner) and not (owner.lower().endswith("s") and (listed or names[-1] != owner) and sensitive(owner[:-1])):
+            continue
+        direct = e.path[-1] == owner or e.style == "text"
+        sure = direct and words(owner)[-1] not in ("key", "auth")
+        if e.style == "block" and _ASSIGN.search(e.value) or "-----BEGIN" in e.value or stand_in(e.value):
+            continue
+        if e.style == "number" and not (sure and len(e.value) > 3) or e.style == "plain" and _REFERENCE.match(e.value):
+            continue
+        if _secretive(e.value) or sure:
+            yield Hit(e.start, e.end, ".".join(e.path), "assigned", "0" if e.style == "number" else MASK)
+
+
+def find(text: str, spans: list[tuple[int, int]] | None = None) -> list[Hit]:
+    """Literal credentials of a file, in order, not overlapping. ``spans``: where patterns may begin, by default the lines with a cue."""
+    spans = _segments(text) if spans is None else spans
+    if not spans and "-----BEGIN" not in text and not _BLOB.search(text) and "value" not in text.lower():
+        return []
+    hits: list[Hit] = list(_from_formats(text)) if spans else []
+    markup = formats.tags(text) if spans and formats.kind(text) == "xml" else []
+    every = lambda pattern: _every(pattern, text, spans)
+    add = lambda s, e, key, kind: hits.append(Hit(s, e, key, kind, "0" if text[s:e].isdigit() and text[s - 1 : s] not in ('"', "'", "`") and kind == "assigned" else MASK)) if e > s else None
     blocks = []
     for m in _BLOCK.finditer(text):
         if blocks and m.start() < blocks[-1][1]:
@@ -238,9 +301,15 @@ def find(text: str) -> list[Hit]:
             return
         stop = text.find("\n", at)
         raw = text[at : stop if stop >= 0 else len(text)].rstrip("\r")
-        value = re.sub(r"\s+[#;].*$|\s+//.*$", "", raw).rstrip()
+        around = _inside(text, m.start())
+        if around:  # what is assigned inside of a string ends with it or with its part
+            value = re.split(rf"[{around};&]", raw, maxsplit=1)[0].rstrip("\\").rstrip()
+        else:
+            value = re.sub(r"\s+[#;].*$|\s+//.*$", "", raw).rstrip()
         if value.endswith((";", ",")):
             value = value[:-1]
+        if " " in value and m[0] == m["key"] + "=" and key.isupper() and _secretive(value.split(" ")[0]):
+            value = value.split(" ")[0]  # a variable set for one command
         marked = "\"'`{[(" if "=" in m[0] else "\"'`{[(&|>"
         if value and value[0] not in marked and " " not in value and not re.search(r"^[A-Za-z_][\w.]*[(\[]", value) and not stand_in(value) and (_secretive(value) or sure) and not _expression(text, m, value):
             add(at, at + len(value), key, "assigned")
@@ -261,7 +330,7 @@ def find(text: str) -> list[Hit]:
 
     for m in every(_ASSIGN):
         key, at = m["key"], m.end()
-        if not sensitive(key) or hidden(at):
+        if not sensitive(key) or hidden(at) or any(a <= m.start() < b for a, b in markup) and not _inside(text, m.start()):
             continue
         placed(m, key, words(key)[-1] not in ("key", "auth"))
     for m, path in _neutral(text):
@@ -276,7 +345,16 @@ def find(text: str) -> list[Hit]:
             if parts and not stand_in("".join(p[2] for p in parts)):
                 for s, e, _ in parts:
                     add(s, e, m[1], "assigned")
-    for pattern, kind in ((_URL, "url"), (_DSN, "dsn"), (_CURL, "option")):
+    for m in every(_PAIR):
+        parts = _strings(text, m.end())
+        value = "".join(x[2] for x in parts)
+        if sensitive(m["key"]) and _secretive(value) and not stand_in(value) and not sensitive(value) and not re.fullmatch(r"[A-Za-z_][A-Za-z_.]*", value):
+            for s, e, _ in parts:
+                add(s, e, m["key"], "assigned")
+    for m in every(_HOOK):
+        if re.search(r"[a-z]", m["p"]) and re.search(r"[A-Z]", m["p"]) and re.search(r"\d", m["p"]):
+            add(*m.span("p"), "hook", "url")
+    for pattern, kind in ((_URL, "url"), (_DSN, "dsn"), (_CURL, "option"), (_NETRC, "option")):
         for m in every(pattern):
             if not hidden(m.start()) and not stand_in(m["p"]):
                 add(*m.span("p"), kind, kind)
@@ -292,7 +370,7 @@ def find(text: str) -> list[Hit]:
         elif not stand_in(p) and (re.search(r"[\d!-/:-@\[-`{-~A-Z]", p) or text[m.end() : m.end() + 1] in ("'", '"', "`")) and not re.fullmatch(r"[A-Z]?[a-z]+[.:]?", p):
             add(*m.span("p"), m["scheme"], "scheme")
     for m in every(_OPTION):
-        for g in ("p", "p2", "p3", "p4"):
+        for g in ("p", "p2", "p3", "p4", "p5"):
             if m[g] and not stand_in(m[g]):
                 add(*m.span(g), "option", "option")
     for m in every(_CALL):
@@ -352,7 +430,7 @@ def mask(text: str) -> str:
             b = b if b > a else len(block)
             out.append(block[:a] + re.sub(r"\\[nrt]|[A-Za-z0-9+/=]", lambda c: c[0] if c[0][0] == "\\" else "*", block[a:b]) + block[b:])
         else:  # a block scalar keeps its lines
-            out.append(re.sub(r"\S(?:[^\n]*\S)?", "*" * 8, text[h.start : h.end]) if "\n" in text[h.start : h.end] else "*" * 8)
+            out.append(re.sub(r"\S(?:[^\n]*\S)?", h.mask, text[h.start : h.end]) if "\n" in text[h.start : h.end] else h.mask)
         at = h.end
     return "".join([*out, text[at:]])
 
@@ -381,10 +459,12 @@ def credentials(df: DataFrame, key: str, text: str) -> DataFrame:
                 if not t:
                     continue
                 hits = find(t)
+                at = byte = 0
                 for h, line in zip(hits, _lines(t, hits)):
-                    start = len(t[: h.start].encode())
+                    start = byte + len(t[at : h.start].encode())
+                    at, byte = h.end, start + len(t[h.start : h.end].encode())
                     place.append(i)
-                    rows.append((line, start, start + len(t[h.start : h.end].encode()), h.key, h.kind))
+                    rows.append((line, start, byte, h.key, h.kind))
             if rows:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["k", "line_no", "from_byte", "to_byte", "key_path", "kind"])

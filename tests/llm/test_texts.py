@@ -44,7 +44,7 @@ def test_credentials_frame(spark, data):
     assert [g[:2] for g in got] == [(1, 2), (1, 2), (4, 20001)] and raw[got[0][2] : got[0][3]].decode() == "Pa55wörd!"
     assert C.credentials(df.limit(0), "file_id", "body").count() == 0
     hidden = {r[0]: r[1] for r in C.masked(df, "file_id", "body").collect()}
-    assert hidden[2] is None and hidden[3] == "" and hidden[1] == 'é=1\r\n"pw": "********"\r\n'
+    assert hidden[2] is None and hidden[3] == "" and hidden[1] == 'é=1\r\n"pw": "REDACTED"\r\n'
     files = spark.read.parquet(f"{data}/config_file.parquet")
     for r, m in zip(files.orderBy("file_id").collect(), C.masked(files, "file_id", "body").orderBy("file_id").collect()):
         if r["body"] and r["path"].endswith(".json"):

@@ -1,9 +1,10 @@
 """Problem 3: personal details inside free text, found by anchor expansion and replaced by typed placeholders.
 
 An Aho-Corasick automaton over all cues (at-signs, schemes, words before numbers, street words,
-words before names) finds anchors in one pass over a text; a scan for groups of digits adds those
-that stand without a cue. From each anchor a deterministic local parser expands to the boundaries
-of an address, number or name and validates it. Nothing else of a text is looked at.
+words before and behind names, frequent first names) finds anchors in one pass over a text; groups
+of digits are anchors too. From each anchor a deterministic local parser expands to the boundaries
+of an address, number or name, as far as its parts go, and validates it. Nothing else of a text is
+looked at.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ CUES = {
         "passeport", "pasaporte", "driving licence", "driving license", "driver's licen", "driver licen", "licence no", "license no", "führerschein", "permis de conduire", "dni", "nie ", "nif", "numéro fiscal", "numéro de sécurité sociale", "insee", "身份证", "护照", "驾照", "税号", "パスポート", "マイナンバー", "運転免許", "旅券", "証件", "证件",
     ],
     "box": ["po box", "p.o. box", "p. o. box", "postfach", "apartado", "boîte postale", "bp "],
-    "street": [" street", " st.", " st ", " road", " rd", " avenue", " ave", " lane", " ln", " drive", " boulevard", " blvd", " court", " way", " square", " terrace", " place", " close", " crescent", " row", " parkway", " highway", " hwy"],
+    "street": [" street", " st.", " st ", " road", " rd", " avenue", " ave", " lane", " ln", " drive", " boulevard", " blvd", " court", " way", " square", " terrace", " place", " close", " crescent", " row", " parkway", " highway", " hwy", " gardens", " grove", " mews", " hill", " walk"],
     "rue": ["rue ", "avenue ", "boulevard ", "impasse ", "chemin ", "allée ", "quai ", "calle ", "avenida ", "plaza ", "paseo ", "carrer ", "via "],
-    "strasse": ["straße", "strasse", "str.", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm ", "ring "],
+    "strasse": ["straße", "strasse", "str.", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm ", "ring ", "straat ", "laan ", "gracht "],
+    "markt": ["am ", "an der ", "im ", "zum ", "zur ", "ul. ", "al. ", "pl. "],
     "cjk_address": ["丁目", "番地", "号室", "路", "街道"],
     "name_after": [
         "contact:", "contact person", "contact is", "cc ", "cc: ", "attn", "attention:", "regards,", "regards", "sincerely,", "cheers,", "best,", "yours,", "thanks,\n", "thank you,\n", "-- \n", "--\n", "ask for ", "spoke to ", "spoke with ", "talked to ", "talk to ", "came from ", "name is ", "name: ", "i am ", "this is ", "signed by ", "assigned to ",
@@ -43,14 +45,21 @@ CUES = {
     "title": ["mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "miss ", "dr ", "dr. ", "prof ", "prof. ", "herr ", "frau ", "m. ", "mme ", "madame ", "monsieur ", "señor ", "señora ", "sr. ", "sra. ", "don ", "doña "],
     "name_before": [" from our side", " from our team", " on every reply", " owns the account", " is my name", "さん", "様", "先生", "女士"],
 }
+#: Frequent first names of several languages: with a surname behind it, one is enough to tell a person.
+FIRST_NAMES = """James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Andrew Kenneth Kevin Brian Edward Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Emma Olivia Sophia Hannah Rachel Laura Anna Alice
+Maria Marie Julia Lena Katrin Sabine Ursula Monika Petra Claudia Stefan Andreas Markus Jonas Lukas Felix Klaus Jürgen Wolfgang Hans Peter Pierre Jean Luc Michel Philippe Nicolas Camille Chloé Juan José Carlos Luis Antonio Manuel Javier Miguel Carmen Ana Lucía Sofía Isabel Giulia Marco Luca
+Francesco Alessandro Paolo Giovanni Elena Chiara Omar Ahmed Ali Mohammed Fatima Aisha Noor Hassan Ibrahim Priya Raj Anil Ravi Sanjay Deepa Arjun Yuki Hiroshi Kenji Tomasz Piotr Katarzyna Ivan Olga Dmitri Natasha Sven Lars Ingrid Erik""".split()
 
 _AT = re.compile(r"@|＠|\s*[\[({]\s*at?\s*[\])}]\s*| at ", re.I)
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+'\-]*[A-Za-z0-9_+\-])?$")
+_LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'-")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:(?:\s*[\[({]\s*dot\s*[\])}]\s*|\.)[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+", re.I)
 _HOST_SPOKEN = re.compile(r"[A-Za-z0-9\-]+(?: dot [A-Za-z0-9\-]+)+|[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", re.I)
 
 _B, _E = r"(?<![A-Za-z0-9_./#:\-])", r"(?![A-Za-z0-9_]|[./:\-]\d)"
-_DIGITS = re.compile(r"\+\d|\(\d{3}\)|\d[\d .\-()]{6,}\d|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]")
+#: A group of digits and what may stand between them; the places around it that a number's letters may take.
+_DIGITS = re.compile(r"[+(]{0,2}\d(?:[\d .\-()/+]|[AB](?=[ \d]))*")
+_ROOM = 6
 _PHONES = [
     re.compile(p)
     for p in (
@@ -77,11 +86,12 @@ _ID_SHAPES = [
 _ID_AFTER = re.compile(r"(?:\s*(?:no\.?|nr\.?|number|num\.?|nº|n°|#|is|ist|est|es|:|：|=|は|为|是|番号|号码|号))*\s*(?P<v>(?=[A-Z0-9 .\-/]*\d)[A-Z0-9](?:[A-Z0-9]|[ .\-/](?=[A-Z0-9]*\d)){4,24}[A-Z0-9])(?![a-z0-9])", re.I)
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]*"
-_STREET_WORD = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.?|Boulevard|Blvd\.?|Court|Ct\.?|Way|Square|Terrace|Place|Close|Crescent|Row|Parkway|Highway|Hwy)"
+_STREET_WORD = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.?|Boulevard|Blvd\.?|Court|Ct\.?|Way|Square|Terrace|Place|Close|Crescent|Row|Parkway|Highway|Hwy|Gardens|Grove|Mews|Hill|Walk)"
 _STREET = re.compile(rf"(?:(?:Flat|Apt\.?|Unit|Suite)\s+\w+,?\s+)?\b\d{{1,5}}[a-zA-Z]?(?:[-–/]\d+)?,?\s+(?:{_CAP}[ \-]){{1,4}}{_STREET_WORD}(?![a-z])(?:,?\s+(?:Apt|Flat|Unit|Suite|Floor)\.?\s*\w+)?(?:[,\n]\s*(?:\d{{4,6}}\s+)?{_CAP}(?: {_CAP})?(?:\s+\d{{4,6}}|\s+[A-Z]{{1,2}}\d\w?\s*\d[A-Z]{{2}})?)?")
 _BOX = re.compile(rf"(?i:P\.?\s?O\.?\s?Box|Postfach|Apartado(?: de correos)?|Boîte postale|BP)\s+(?:\d+[\d ]*)(?:,\s*(?:\d{{4,6}}\s+)?{_CAP}(?: {_CAP})*(?:\s+\d{{4,6}})?)?")
 _RUE = re.compile(rf"(?:\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-c]))?,?\s+)(?i:rue|avenue|boulevard|impasse|chemin|allée|quai)\s+(?:d[eu]s?\s+|de la\s+|de l'|d')?{_CAP}(?:[ \-]{_CAP})*(?:,\s*\d{{4,6}}\s+{_CAP}(?: {_CAP})*)?|(?i:calle|avenida|plaza|paseo|carrer|via)\s+(?:de\s+(?:l[ao]s?\s+)?|del\s+)?{_CAP}(?: {_CAP})*,?\s+(?:n\.?º?\s*)?\d{{1,4}}(?:,\s*\d{{4,6}}\s+{_CAP}(?: {_CAP})*)?")
-_STRASSE = re.compile(rf"[A-ZÄÖÜ][\w\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring)\s+\d{{1,4}}\s?[a-z]?(?![\w%])(?:,?\s+(?:\d{{4,6}}\s+)?{_CAP}(?: {_CAP})?)?|[A-ZÄÖÜ][\w\-]+\s+(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring)\s+\d{{1,4}}\s?[a-z]?(?![\w%])(?:,?\s+\d{{4,6}}\s+{_CAP}(?: {_CAP})?)?")
+_STRASSE = re.compile(rf"[A-ZÄÖÜ][\w\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|straat|laan|gracht)\s+\d{{1,4}}\s?[a-z]?(?![\w%])(?:,?\s+(?:\d{{4,6}}\s+)?{_CAP}(?: {_CAP})?)?|[A-ZÄÖÜ][\w\-]+\s+(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring)\s+\d{{1,4}}\s?[a-z]?(?![\w%])(?:,?\s+\d{{4,6}}\s+{_CAP}(?: {_CAP})?)?")
+_MARKT = re.compile(rf"\b(?:Am|An der|Im|Zum|Zur)\s+(?:{_CAP}\s+){{1,3}}\d{{1,4}}\s?[a-z]?,\s*\d{{5}}\s+{_CAP}|\b(?i:ul|al|pl)\.\s+(?:[^\W\d_]\w*\s+){{1,3}}\d{{1,4}}\w?(?:/\d+)?(?:,\s*\d{{2}}-\d{{3}}\s+[^\W\d_]\w*)?")
 _CJK_ADDRESS = re.compile(r"[一-鿿]{2,}(?:市|区|県|省|都|府)[一-鿿ぁ-ヿ0-9０-９\-－]*?(?:\d+|[０-９]+)(?:号|番地|番|丁目)")
 
 _PART = r"[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|\.)"
@@ -103,6 +113,8 @@ class Finder:
         for parser, words in CUES.items():
             for w in words:
                 self.cues.add_word(w, (parser, len(w)))
+        for name in FIRST_NAMES:
+            self.cues.add_word(name.lower() + " ", ("first_name", len(name) + 1))
         self.cues.make_automaton()
 
     def spans(self, text: str) -> list[Span]:
@@ -115,8 +127,6 @@ class Finder:
         def take(rank: int, start: int, end: int, kind: str) -> None:
             found.append((rank, start, end, kind))
 
-        digits = _DIGITS.search(text) is not None
-        streets = False
         for last, (parser, size) in self.cues.iter(low):
             end, start = last + 1, last + 1 - size
             if parser == "email":
@@ -126,12 +136,20 @@ class Finder:
             elif parser == "id":
                 if (start == 0 or not low[start - 1].isascii() or not low[start - 1].isalnum()) and (m := _ID_AFTER.match(text, end)) and _is_id(m["v"]):
                     take(1, m.start("v"), m.start("v") + len(m["v"].rstrip(" .-/")), "id_number")
-            elif parser in ("street", "rue", "strasse", "box"):
-                streets = True
+            elif parser in _STREETS:
+                for m in _STREETS[parser].finditer(text, *_around(text, start, end)):
+                    take(2, *m.span(), "address")
             elif parser == "cjk_address":
-                a = max(0, start - 30)
-                for m in _CJK_ADDRESS.finditer(text, a, min(len(text), end + 20)):
+                a, b = start, end
+                while a > 0 and _CJK_PART(text[a - 1]):
+                    a -= 1
+                while b < len(text) and _CJK_PART(text[b]):
+                    b += 1
+                for m in _CJK_ADDRESS.finditer(text, a, b):
                     take(2, *m.span(), "address")
+            elif parser == "first_name":
+                if (start == 0 or not low[start - 1].isalnum()) and text[start].isupper() and (m := _NAME.match(text, start)) and m.end() > end and _is_name(m[0]) and not _STREET_END.match(text, m.end()):
+                    take(4, *m.span(), "person")
             elif parser == "name_after":
                 if start == 0 or not low[start].isascii() or not (low[start - 1].isalnum() and low[start - 1].isascii()):
                     s = _name_at(text, end, low[start:end])
@@ -139,27 +157,26 @@ class Finder:
                         take(4, *s, "person")
             elif parser == "title":
                 if start == 0 or not low[start - 1].isalnum():
-                    m = _NAME.match(text, start)
-                    if m and m.end() > end and text[start].isupper() and _is_name(m[0]):
+                    m = _NAME.match(text, start if text[start].isupper() else end)
+                    if m and m.end() > end and _is_name(m[0]) and (text[start].isupper() or size > 5):  # short titles have a capital
                         take(4, *m.span(), "person")
             elif parser == "name_before":
                 s = _name_before(text, start)
                 if s:
                     take(4, *s, "person")
-        if streets:
-            for pattern in (_BOX, _STREET, _STRASSE, _RUE):
-                for m in pattern.finditer(text):
-                    take(2, *m.span(), "address")
-        if digits:
+        for group in _DIGITS.finditer(text):
+            if sum(map(str.isdigit, group[0])) < 6:
+                continue
+            room = max(0, group.start() - _ROOM), min(len(text), group.end() + _ROOM)
             for pattern in _ID_SHAPES:
-                for m in pattern.finditer(text):
+                for m in pattern.finditer(text, *room):
                     if not re.search(r"(?i)(?:order|invoice|ticket|trace|batch|inv|ref|rma|bestellung|commande|pedido|request)[\s#:.\-]*$", text[max(0, m.start() - 14) : m.start()]):
                         take(1, *m.span(), "id_number")
             for k, pattern in enumerate(_PHONES):
-                for m in pattern.finditer(text):
+                for m in pattern.finditer(text, *room):
                     if _is_phone(m[0]) and not re.search(r"(?i)(?:order|invoice|ticket|trace|batch|inv|ref|id|no|rma|bestellung|commande|pedido|request)[\s#:.\-]{0,3}$", text[max(0, m.start() - 14) : m.start()]):
                         take(3, *m.span(), "phone")
-            for m in _PLAIN_PHONE.finditer(text):
+            for m in _PLAIN_PHONE.finditer(text, *room):
                 if _PHONE_CUE.search(text[max(0, m.start() - 30) : m.start()]):
                     take(3, *m.span(), "phone")
         kept: list[Span] = []
@@ -169,6 +186,29 @@ class Finder:
         return sorted(kept)
 
 
+_STREETS = {"street": _STREET, "rue": _RUE, "strasse": _STRASSE, "box": _BOX, "markt": _MARKT}
+_STREET_END = re.compile(rf"[ ]{_STREET_WORD}(?![a-z])")
+
+
+def _CJK_PART(c: str) -> bool:
+    return "一" <= c <= "鿿" or "ぁ" <= c <= "ヿ" or c.isdigit() or c in "-－"
+
+
+def _around(text: str, start: int, end: int, words: int = 14) -> tuple[int, int]:
+    """The words before and behind an anchor that an address may have."""
+    a, b = start, end
+    for _ in range(words):
+        if a <= 0:
+            break
+        a = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), 0)
+    for _ in range(words):
+        space, line = text.find(" ", b + 1), text.find("\n", b + 1)
+        b = min(x if x >= 0 else len(text) for x in (space, line))
+        if b >= len(text):
+            break
+    return a, b
+
+
 def _email(text: str, start: int, end: int) -> tuple[int, int] | None:
     spoken = text[start:end].lower() == " at "
     left = start
@@ -176,7 +216,10 @@ def _email(text: str, start: int, end: int) -> tuple[int, int] | None:
         left -= 1
     if left < start and text[start] == "@":
         return None
-    local = _LOCAL.search(text[max(0, left - 64) : left])
+    begin = left
+    while begin > 0 and text[begin - 1] in _LOCAL_SIGNS:
+        begin -= 1
+    local = _LOCAL.search(text[begin:left])
     right = end
     while right < len(text) and text[right] == " " and text[start] != "@":
         right += 1
@@ -236,9 +279,9 @@ def _name_at(text: str, at: int, cue: str) -> tuple[int, int] | None:
 def _name_before(text: str, at: int) -> tuple[int, int] | None:
     """A name that ends before a cue."""
     if text[at : at + 1] in "さ様先女":
-        m = re.search(r"(?:[一-鿿]{2,4}|[A-Z][a-z]+(?: [A-Z][a-z]+)+)$", text[max(0, at - 40) : at])
+        m = re.search(r"(?:[一-鿿]{2,4}|[A-Z][a-z]+(?: [A-Z][a-z]+)+)$", text[_around(text, at, at, 5)[0] : at])
         return (at - len(m[0]), at) if m else None
-    begin = max(0, at - 60)
+    begin = _around(text, at, at, 6)[0]
     best = None
     for m in re.finditer(r"(?<![\w.])[A-ZÀ-Þ]", text[begin:at]):
         n = _NAME.fullmatch(text, begin + m.start(), at)

@@ -137,3 +137,21 @@ def test_credentials_below_their_keys(text, want):
     hits = C.find(text)
     assert [text[h.start : h.end] for h in hits] == want
     assert C.mask(text).count("\n") == text.count("\n") and not any(w in C.mask(text) for w in want if text.count(w) == 1)
+
+
+def test_heldout_details():
+    from heldout_details import CLEAN, DETAILS
+
+    f = D.finder()
+    for kind, texts in DETAILS.items():
+        assert sum(kind in {s.kind for s in f.spans(t)} for t in texts) >= 0.9 * len(texts), kind
+    assert not [t for t in CLEAN if f.spans(t)]
+
+
+def test_details_have_any_length():
+    f = D.finder()
+    local = "a" * 500 + ".b" * 300
+    assert [s[:2] for s in f.spans(f"to {local}@x.example now")] == [(3, 3 + len(local) + len("@x.example"))]
+    assert [s.kind for s in f.spans("北" * 60 + "市" + "路" * 40 + "88号")] == ["address"]
+    text = "x " * 3000 + "call +44 20 7946 0958 " + "y " * 3000 + "SSN 123-45-6789"
+    assert [text[s.start : s.end] for s in f.spans(text)] == ["+44 20 7946 0958", "123-45-6789"]

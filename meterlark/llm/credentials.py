@@ -164,11 +164,22 @@ def _segments(text: str) -> list[tuple[int, int]]:
     return sorted(lines.items())
 
 
+#: What a match of a pattern holds in any case, one of them; patterns without an entry are tried everywhere.
+_HOLDS = {
+    _URL: ("://",), _HOOK: ("://",), _DSN: ("@tcp(", "@unix(", "@udp("), _QUERY: ("?", "&"), _SCHEME: ("Bearer", "Basic", "Token", "bearer", "basic"), _CURL: ("curl",), _NETRC: ("login",), _JWT: ("eyJ",),
+    _OPTION: ("redis-cli", "mysql", "mariadb", "sshpass", "--", "login"), _PAIR: (",",), _CALL: ("(",),
+}
+#: Patterns whose match may go on to the next line.
+_ON = {_ASSIGN, _PAIR, _NETRC, _CURL, _OPTION, _CALL}
+
+
 def _every(pattern: re.Pattern, text: str, spans: list[tuple[int, int]]) -> Iterator[re.Match]:
     """Matches that begin within the spans, as in a scan of the whole text; they may go on to the next line with something on it."""
-    done = 0
+    if pattern in _HOLDS and not any(x in text for x in _HOLDS[pattern]):
+        return
+    done, on = 0, pattern in _ON
     for a, b in spans:
-        for m in pattern.finditer(text, max(a, done), _FOLLOWS.match(text, b).end()):
+        for m in pattern.finditer(text, max(a, done), _FOLLOWS.match(text, b).end() if on else b):
             if m.start() >= b:
                 break
             done = m.end()
@@ -243,9 +254,9 @@ def _neutral(text: str) -> Iterator[tuple[re.Match, str]]:
             indented.append((depth, key[1]))
 
 
-def _from_formats(text: str) -> Iterator[Hit]:
+def _from_formats(text: str, kind: str) -> Iterator[Hit]:
     """Credentials among the values of a file in a format with key paths."""
-    for e in formats.entries(text):
+    for e in formats.entries(text, kind):
         names = [n for n in e.path if not n.isdigit()]
         owner = next((n for n in reversed(names) if n.rsplit(".", 1)[-1].lower() not in NEUTRAL), "")
         listed = bool(e.path) and e.path[-1].isdigit()
@@ -266,8 +277,9 @@ def find(text: str, spans: list[tuple[int, int]] | None = None) -> list[Hit]:
     spans = _segments(text) if spans is None else spans
     if not spans and "-----BEGIN" not in text and not _BLOB.search(text) and "value" not in text.lower():
         return []
-    hits: list[Hit] = list(_from_formats(text)) if spans else []
-    markup = formats.tags(text) if spans and formats.kind(text) == "xml" else []
+    kind = formats.kind(text) if spans else ""
+    hits: list[Hit] = list(_from_formats(text, kind))
+    markup = formats.tags(text) if kind == "xml" else []
     every = lambda pattern: _every(pattern, text, spans)
     add = lambda s, e, key, kind: hits.append(Hit(s, e, key, kind, "0" if text[s:e].isdigit() and text[s - 1 : s] not in ('"', "'", "`") and kind == "assigned" else MASK)) if e > s else None
     blocks = []

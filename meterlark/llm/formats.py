@@ -42,9 +42,9 @@ def kind(text: str) -> str:
     return "yaml" if lines and sum(1 for _ in _YAML_LINE.finditer(text)) >= 0.5 * lines else ""
 
 
-def entries(text: str) -> list[Entry]:
+def entries(text: str, form: str | None = None) -> list[Entry]:
     """The values of a file that is JSON, YAML or XML, in order."""
-    return list({"json": json_values, "yaml": yaml_values, "xml": xml_values}.get(kind(text), lambda _: ())(text))
+    return list({"json": json_values, "yaml": yaml_values, "xml": xml_values}.get(kind(text) if form is None else form, lambda _: ())(text))
 
 
 def _plain(raw: str) -> str:

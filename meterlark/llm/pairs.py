@@ -1,28 +1,32 @@
 """Problem 4: defective question-answer pairs, by tagging the answer's clauses with a conditional random field.
 
-An answer is cut into clauses, each described by features that compare it with the question and
-look at its form (share of the question's words, cues of refusing, language, how it ends). A
-linear-chain CRF tags the clauses ``answer``, ``refusal``, ``echo``, ``foreign`` or ``unfinished``;
-the tags' coverage of the answer decides on the pair's defect. The CRF is trained here, on
-sequences made from the sentences in ``corpus`` below (at most TRAINING of them, seeded); its
-features don't know single words of a domain, so it carries over to other questions and answers.
+An answer is cut into clauses. A linear-chain CRF tags them ``answer``, ``refusal``, ``echo``,
+``foreign`` or ``unfinished``; the tags' coverage of the answer decides on the pair's defect. Its
+features compare a clause with the question (share of words, repetition), look at its form (how it
+ends, brackets, code, numbers) and its language, count function words (negations, pronouns of the
+first and second person, other frequent words), and hold its words and pairs of words as far as the
+training material has them. The CRF is trained here, on at most TRAINING sequences that ``clauses``
+makes from sentences of other subjects, seeded; weights of single words are held small, so that the
+general features carry over to other wordings. An answer without any clause to tag is empty.
 """
 
 from __future__ import annotations
 
-import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from meterlark.llm import clauses as clauses_of
+
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 #: Bound of the training set, in sequences.
-TRAINING = 800
+TRAINING = 3000
 
 #: Frequent short words by language; a clause's language is the one of most hits.
 STOP_WORDS = {
@@ -51,27 +55,14 @@ LANGUAGES = {
 _ASKED = {lang: re.compile(rf"(?i)(?:\b(?:in|into|en|auf|ins|au|al)\s+|用|以|で?|翻译成|answer\s+|reply\s+)(?:{names})") for lang, names in LANGUAGES.items()}
 _ASKING = re.compile(r"(?i)answer|reply|respond|write|explain|translate|répon|répond|expliqu|tradui|antwort|erklär|übersetz|schreib|respond|contest|expli|traduz|traduc|回答|回复|答复|翻译|解释|答え|回答|返信|説明|翻訳|please|bitte|merci|por favor|请|ください|s'il vous")
 
-#: Refusing: a negation and, near it, a verb of helping or answering.
-REFUSAL = re.compile(
-    r"""(?ix)
-    \b(?:can(?:no|')?t|cannot|can\ not|won'?t|will\ not|unable|not\ (?:able|allowed|permitted|in\ a\ position|willing|something|going)|do(?:es)?\ not|do(?:es)?n'?t|may\ not|must\ not|never|decline|refuse|refuses|declines|isn'?t\ something|aren'?t\ able)\b
-      [^.!?]{0,45}?\b(?:help|assist|answer|answering|answers|provide|comment|respond|responding|discuss|share|disclose|advise|support\ with|reply|be\ of\ assistance|fulfil|fulfill|comply)
-    |\b(?:declin\w+|refus\w+)\ to\ (?:answer|comment|respond|help|assist|provide|discuss)
-    |\b(?:ne|n')\s?(?:\w+\ ){0,3}?(?:pas|pouvons|peux|peut|sommes|suis|saurions)[^.!?]{0,45}?(?:aider|répondre|fournir|commenter|assister|renseigner)
-    |\b(?:répondre|aider|donner\ suite)\b[^.!?]{0,25}\b(?:impossible|pas\ possible)|\bimpossible\ de\ (?:répondre|vous\ aider)|\brefus\w+\ de\ répondre
-    |\b(?:kann|können|darf|dürfen|möchten|werden|könnten|ist|sind|wird)\b[^.!?]{0,55}\b(?:nicht|keine?n?)\b[^.!?]{0,35}(?:helfen|beantwort\w*|weiterhelfen|antworten|auskunft|unterstützen|antwort|hilfe)
-    |\b(?:nicht|keine?)\b[^.!?]{0,25}(?:beantworten|weiterhelfen|auskunft\ geben)
-    |\bno\s+(?:\w+\s+){0,3}?(?:puedo|podemos|posible|puede|estamos|estoy|vamos|es)\b[^.!?]{0,45}?(?:ayudar\w*|responder\w*|contestar\w*|facilitar\w*|comentar|atender)
-    |\bno\s+(?:respondemos|contestamos|atendemos)
-    |(?:不能|无法|不便|不予|拒绝|不可以|无权|没办法|恕不)[^。！？]{0,14}(?:回答|帮助|帮到|提供|协助|答复|解答|解决|评论)|(?:回答|帮助|答复)不了
-    |(?:お答え|回答|お手伝い|ご案内|お力|対応|お応え|ご質問|支援|手助け)[^。！？]{0,16}(?:できません|できかね|いたしかね|致しかね|しかね|控え|お断り|なれません|できない|られません)
-    """
-)
-SORRY = re.compile(r"(?i)\b(?:sorry|apolog\w+|unfortunately|regret|désolé\w*|malheureusement|regrett\w+|leider|bedauer\w*|entschuldig\w*|tut\ uns\ leid|lo siento|lamento|lamentamos|lamentablemente|desgraciadamente)\b|抱歉|对不起|遗憾|申し訳|残念")
-ELSEWHERE = re.compile(r"(?i)\b(?:please understand|(?:open|create|file|submit|raise)\s+(?:a|another|the)\s+ticket|contact\s+(?:us|our|the|your)|ask\s+(?:someone|another|our|your)|(?:ouvr\w+|cré\w+)\s+un\s+ticket|contactez|veuillez (?:contacter|comprendre|ouvrir)|ticket\s+(?:eröffnen|erstellen|öffnen)|(?:eröffnen|öffnen|erstellen)\s+(?:sie\s+)?(?:bitte\s+)?(?:stattdessen\s+)?ein\w*\s+ticket|wenden sie sich|verständnis|abra\s+un\s+ticket|cree\s+un\s+ticket|póngase en contacto|comprensión|gracias por su|thank you for your (?:patience|understanding)|thanks for (?:your )?(?:patience|understanding)|merci de votre|nous vous remercions)|提交工单|联系|谅解|理解|チケットを|お問い合わせ|ご了承|ご理解")
+#: Function words that tell who speaks and whether something is denied, as stems of words or, in Chinese and Japanese, parts of the text.
+_NEGATION = re.compile(r"(?i)\b(?:not|no|none|nothing|never|nobody|cannot|\w+n['’]t|unable|ne|n['’]|pas|rien|aucun\w*|jamais|sans|nicht|nichts|kein\w*|nie|niemand|nunca|nada|ningún|ninguna?|sin)\b|不|没|無|无|未|拒|ない|ません|ず(?:に|、)|いたしかね|控え")
+_FIRST = re.compile(r"(?i)\b(?:i|me|my|we|us|our|je|j['’]|me|m['’]|mon|ma|mes|nous|notre|nos|ich|mir|mich|mein\w*|wir|uns|unser\w*|yo|mi|mis|nosotros|nuestr[oa]s?)\b|我|私|当社|当方|弊社|こちら")
+_SECOND = re.compile(r"(?i)\b(?:you|your|vous|votre|vos|sie|ihnen|ihr\w*|usted|su|sus)\b|您|你|ください|お客様")
+_POINTING = re.compile(r"(?i)\b(?:that|this|such|these|it|cela|ça|ce|cette|ces|das|dies\w*|dazu|darüber|darauf|dabei|hierzu|solche\w*|eso|esto|esa|ese|este|ello|tal)\b|这|此|该|その|この|それ|これ")
 #: Words with which no sentence ends.
 DANGLING = frozenset(
-    "the a an to of and or in on at for with that this your our their its is are was were be been by as if from than but because should would could will can may must not no which who whose when while until into each every any some more most very also without le la les un une des du de et ou à au aux en dans pour par sur avec que qui ne ce cette ces vous votre leur der die das den dem des ein eine einen einem einer und oder zu im am auf aus bei mit nach von vor für über um als auch wie wenn dass weil el los las del y o al por para con su sus como si lo una uno".split()
+    "se the a an to of and or in on at for with that this your our their its is are was were be been by as if from than but because should would could will can may must not no which who whose when while until into each every any some more most very also without le la les un une des du de et ou à au aux en dans pour par sur avec que qui ne ce cette ces vous votre leur der die das den dem des ein eine einen einem einer und oder zu im am auf aus bei mit nach von vor für über um als auch wie wenn dass weil el los las del y o al por para con su sus como si lo una uno".split()
 )
 #: Stand-ins for an answer that is missing.
 MISSING = frozenset("n/a na none null nil nan tbd tba todo pending unknown empty undefined - -- no answer not answered not available no reply placeholder to be done to be determined answer missing sans réponse aucune réponse keine antwort sin respuesta 无 暂无 无回答 没有回答 なし 未回答 回答なし".replace("no answer", "no_answer").replace("not answered", "not_answered").replace("not available", "not_available").replace("no reply", "no_reply").replace("to be done", "to_be_done").replace("to be determined", "to_be_determined").replace("answer missing", "answer_missing").replace("sans réponse", "sans_réponse").replace("aucune réponse", "aucune_réponse").replace("keine antwort", "keine_antwort").replace("sin respuesta", "sin_respuesta").split())
@@ -85,25 +76,17 @@ _END = re.compile(r"[.!?…。！？」』]['\"”’)\]»`*_]*$")
 _URL_END = re.compile(r"(?:https?://|www\.)\S+$|\S+@\S+\.\w+$")
 
 
-#: Without one of these no clause refuses.
-_NEGATIONS = ("n't", "not", "cannot", "unable", "never", "declin", "refus", "ne ", "n'", "impossible", "nicht", "kein", "no ", "不", "无", "拒", "没", "恕", "でき", "かね", "お断", "なれ", "られ", "控")
-
-
-def refuses(clause: str) -> bool:
-    norm = clause.replace("’", "'")
-    low = norm.lower()
-    return any(n in low for n in _NEGATIONS) and REFUSAL.search(norm) is not None
-
-
+@lru_cache(maxsize=1 << 14)
 def language(text: str) -> str | None:
     """The language of a text by script, frequent words and special letters; None if there is no telling."""
-    if _KANA.search(text):
-        return "ja"
-    if len(_HAN.findall(text)) >= 2:
-        return "zh"
-    for lang, script in (("ko", _HANGUL), ("ru", _CYRILLIC), ("ar", _ARABIC)):
-        if len(script.findall(text)) >= 3:
-            return lang
+    if not text.isascii():
+        if _KANA.search(text):
+            return "ja"
+        if len(_HAN.findall(text)) >= 2:
+            return "zh"
+        for lang, script in (("ko", _HANGUL), ("ru", _CYRILLIC), ("ar", _ARABIC)):
+            if len(script.findall(text)) >= 3:
+                return lang
     low = text.lower()
     score = dict.fromkeys(STOP_WORDS, 0.0)
     for w in _LATIN.findall(low):
@@ -125,6 +108,8 @@ def is_empty(answer: str | None) -> bool:
     """No answer: null, blank, only marks, or a stand-in for one."""
     if answer is None:
         return True
+    if "<" not in answer and "&" not in answer and sum(map(str.isalnum, answer[:64])) > 24:
+        return False  # more than any stand-in has
     bare = _BLANK.sub(" ", _TAG_OR_ENTITY.sub(" ", answer)).strip()
     if not any(c.isalnum() for c in bare):
         return True
@@ -143,110 +128,126 @@ def clauses(answer: str) -> list[str]:
     return [c for c in out if any(x.isalnum() for x in c)]
 
 
-FEATURES = ("bias", "echo_all", "echo_share", "refusal", "sorry", "elsewhere", "foreign", "native", "last", "last_open", "last_open_short", "last_dangling", "last_url", "fence_open", "fence_closed", "bracket_open", "first", "covered_before")
+FEATURES = (
+    "bias", "echo", "echo_share", "share", "negated", "first", "second", "pointing", "negated_first", "negated_pointing", "plain_words", "numbers", "length", "foreign", "native", "last", "open_end", "open_end_short", "dangling", "url_end",
+    "fence_open", "fence_closed", "bracket_open", "first_clause", "after_echo", "open_end_foreign",
+)
+#: Training sequences that a word must occur in to be a feature, and the strength that holds weights small: of general features and of words.
+COMMON, HOLD, HOLD_WORDS = 3, 1e-3, 1e-5
+_REFUSAL, _ECHO = TAGS.index("refusal"), 1  # the tag that words speak for or against, and the feature that makes them silent
+_TOKEN = re.compile(r"\d+|[^\W\d_]+(?:['’][^\W\d_]+)?")
+_WIDE = re.compile(r"[一-鿿ぁ-ゟァ-ヺー]+")
+_LABEL = re.compile(r"(?i)^(?:q|question|frage|pregunta|问|問|質問)\s*[:：]\s*")
+_IN_CODE = re.compile(r"[()\[\]{}`]")
+
+
+class Asked(NamedTuple):
+    """What a question says of its answers."""
+
+    plain: str
+    lang: str | None
+    words: frozenset
 
 
-def features(question: str, parts: list[str], tail_blank: bool) -> np.ndarray:
-    """A row for each clause."""
-    q_plain, q_lang = plain(question), language(question)
-    allowed = {q_lang} | ({lang for lang, p in _ASKED.items() if p.search(question)} if _ASKING.search(question) else set())
-    q_words = {w for w in re.findall(r"\w+", question.casefold())}
-    rows, covered = [], 0
+@lru_cache(maxsize=1 << 14)
+def asked(question: str) -> Asked:
+    return Asked(plain(question), language(question), frozenset(re.findall(r"\w+", question.casefold())))
+
+
+@lru_cache(maxsize=1 << 12)
+def wanted(question: str) -> frozenset:
+    """The languages that a question asks to be answered in."""
+    return frozenset(x for x, p in _ASKED.items() if p.search(question)) if _ASKING.search(question) else frozenset()
+
+
+def words(clause: str) -> tuple[str, ...]:
+    """Words and pairs of words of a clause, numbers as one; of Chinese and Japanese, pairs of characters."""
+    w = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(clause.lower().replace("’", "'")) if not _WIDE.match(t)]
+    out = set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+    for run in _WIDE.findall(clause) if not clause.isascii() else ():
+        out |= {run[i : i + 2] for i in range(len(run) - 1)}
+    return tuple(sorted(out))
+
+
+@lru_cache(maxsize=1 << 14)
+def _own(c: str) -> tuple:
+    """What a clause says by itself: its plain form, words, length, language, function words and end."""
+    fence, bare = c.startswith("```"), c.strip()
+    w = re.findall(r"\w+", c.casefold())
+    told = [bool(p.search(c)) for p in (_NEGATION, _FIRST, _SECOND, _POINTING)] if not fence else [False] * 4
+    lang = None if fence else language(c)
+    stop = sum(x in _WORD_LANGS for x in w) / len(w) if w and lang not in ("zh", "ja") else 0.0
+    ended = bool(_END.search(bare)) or fence and bare.endswith("```") and len(bare) > 6
+    dangling = bool(w) and (w[-1] in DANGLING or bare.endswith((",", ":", ";", "(", "-", "，", "、", "：")))
+    brackets = bool(_IN_CODE.search(c)) and any(c.count(a) > c.count(b) for a, b in ("()", "[]", "{}")) or "（" in c and c.count("（") > c.count("）") or c.count("「") > c.count("」") or not fence and c.count("`") % 2 == 1
+    quoted = len(bare) > 2 and bare[0] == bare[-1] and bare[0] in "`\"'"
+    return plain(_LABEL.sub("", c.strip(" >\"'“”*_\t"))), w, sum(len(run) - 1 for run in _WIDE.findall(c)) // 2, fence, lang, told, stop, ended, dangling, brackets, quoted, bool(_URL_END.search(bare))
+
+
+def features(question: str, parts: list[str], tail_blank: bool) -> list[list[float]]:
+    """The general features of each clause."""
+    q = asked(question)
+    rows, covered, whole = [], 0.0, len(parts) == 1
     for i, c in enumerate(parts):
-        p, last, fence = plain(c), i == len(parts) - 1, c.startswith("```")
-        bare = re.sub(r"^(?:q|question|frage|pregunta|问|問|質問)\s*[:：]\s*", "", c.strip(" >\"'“”*_\t"), flags=re.I)
-        p2 = plain(bare)
-        echo = len(p2) >= 4 and len(q_plain) >= 4 and (p2 in q_plain or q_plain in p2) and not fence
-        w = re.findall(r"\w+", c.casefold())
-        share = sum(x in q_words for x in w) / len(w) if w and not fence else 0.0
-        lang = None if fence else language(c)
-        ended = bool(_END.search(c.strip())) or fence and c.rstrip().endswith("```") and len(c.strip()) > 6
-        url = bool(_URL_END.search(c.strip()))
-        whole = len(parts) == 1
-        short = whole and not tail_blank and len(w) <= 3 and len(p) <= 24 or whole and bool(re.fullmatch(r"\s*[`\"'].*[`\"']\s*", c))
-        still_open = last and not ended and not url
-        dangling = still_open and bool(w) and (w[-1] in DANGLING or c.rstrip().endswith((",", ":", ";", "(", "-", "，", "、", "：")))
-        brackets = last and any(c.count(a) > c.count(b) for a, b in ("()", "[]", "{}", "（）", "「」"))
-        rows.append((1, echo, share, refuses(c), bool(SORRY.search(c)), bool(ELSEWHERE.search(c)), lang is not None and q_lang is not None and lang not in allowed, lang in allowed and lang is not None, last, still_open and not short, still_open and short, dangling, last and url, fence and not ended, fence and ended, brackets, i == 0, covered))
+        p, w, wide, fence, lang, (negated, first, second, pointing), stop, ended, dangling, brackets, quoted, url = _own(c)
+        last, n = i == len(parts) - 1, len(q.plain)
+        native = lang is not None and (lang == q.lang or lang in wanted(question))
+        again = n >= 4 and len(p) >= n and p == (q.plain * (len(p) // n + 1))[: len(p)] and len(p) % n == 0
+        echo = not fence and n >= 4 and (again or len(p) >= 4 and p in q.plain)
+        part = len(p) / n if echo and not again else 1.0 if echo else n / len(p) if n >= 4 and not fence and q.plain in p else 0.0
+        share = sum(x in q.words for x in w) / len(w) if w and not fence else 0.0
+        short = whole and (not tail_blank and len(w) + wide <= 3 and len(p) <= 24 and not dangling or quoted)
+        open_end = last and not ended and not url
+        rows.append([
+            1.0, echo, part, share, negated, first, second, pointing, negated and first, negated and pointing, stop, any(x.isdigit() for x in w), min(len(p), 120) / 120, lang is not None and q.lang is not None and not native, native, last, open_end and not short, open_end and short,
+            open_end and dangling, last and url, fence and not ended, fence and ended, last and brackets, i == 0, covered, open_end and i > 0 and lang is not None and not native,
+        ])
         covered = float(echo or covered == 1)
-    return np.array(rows, float).reshape(-1, len(FEATURES))
-
-
-def corpus() -> list[tuple[str, list[tuple[str, str]], bool]]:
-    """Training sequences: (question, [(clause, tag)], whether blank follows). Sentences of everyday subjects."""
-    ask = {
-        "en": ["How do I reset the oven timer?", "Why does the printer stop after two pages?", "Where can I park near the station?", "When does the library open on Sundays?", "What does the red light on my router mean?", "Can I return a coat without its receipt?"],
-        "fr": ["Comment régler la minuterie du four ?", "Pourquoi l'imprimante s'arrête-t-elle après deux pages ?", "Où puis-je me garer près de la gare ?", "Quand la bibliothèque ouvre-t-elle le dimanche ?"],
-        "de": ["Wie stelle ich die Uhr am Ofen?", "Warum hält der Drucker nach zwei Seiten an?", "Wo kann ich am Bahnhof parken?", "Wann öffnet die Bibliothek am Sonntag?"],
-        "es": ["¿Cómo ajusto el reloj del horno?", "¿Por qué se detiene la impresora después de dos páginas?", "¿Dónde puedo aparcar cerca de la estación?", "¿Cuándo abre la biblioteca los domingos?"],
-        "zh": ["怎样设置烤箱的定时器？", "为什么打印机打两页就停？", "车站附近哪里可以停车？", "图书馆星期天几点开门？"],
-        "ja": ["オーブンのタイマーはどう設定しますか？", "プリンターが二枚で止まるのはなぜですか？", "駅の近くで駐車できる場所はどこですか？", "図書館は日曜日の何時に開きますか？"],
-    }
-    tell = {
-        "en": ["Hold the left button for three seconds and turn the dial.", "The tray is full, so empty it and try again.", "There is a garage behind the post office.", "It opens at ten and closes at four.", "Yes, within thirty days of the purchase.", "You cannot use the old cable for this.", "The light turns green once it is done.", "Sorry for the wait."],
-        "fr": ["Appuyez sur le bouton de gauche pendant trois secondes.", "Le bac est plein, il faut le vider.", "Il y a un garage derrière la poste.", "Elle ouvre à dix heures et ferme à quatre heures."],
-        "de": ["Halten Sie die linke Taste drei Sekunden lang gedrückt.", "Das Fach ist voll und muss geleert werden.", "Hinter der Post gibt es eine Garage.", "Sie öffnet um zehn und schließt um vier Uhr."],
-        "es": ["Mantenga pulsado el botón izquierdo durante tres segundos.", "La bandeja está llena y hay que vaciarla.", "Hay un garaje detrás de la oficina de correos.", "Abre a las diez y cierra a las cuatro."],
-        "zh": ["按住左边的按钮三秒钟，然后转动旋钮。", "纸盒满了，清空之后再试。", "邮局后面有一个车库。", "上午十点开门，下午四点关门。"],
-        "ja": ["左のボタンを三秒間押してからダイヤルを回します。", "トレイがいっぱいなので空にしてください。", "郵便局の裏に駐車場があります。", "十時に開いて四時に閉まります。"],
-    }
-    refuse = {
-        "en": ["I'm afraid I cannot answer that.", "We are not able to help with this request.", "I won't comment on that.", "Unfortunately we can't provide this.", "Please contact our office.", "Thank you for your understanding."],
-        "fr": ["Nous ne pouvons pas répondre à cela.", "Je ne peux pas vous aider.", "Veuillez contacter notre bureau."],
-        "de": ["Das können wir leider nicht beantworten.", "Ich darf Ihnen dabei nicht helfen.", "Wenden Sie sich an unser Büro."],
-        "es": ["No podemos responder a eso.", "No puedo ayudarle con esta cuestión.", "Póngase en contacto con la oficina."],
-        "zh": ["我们无法回答这个问题。", "很遗憾，不能提供帮助。", "请联系办公室。"],
-        "ja": ["そのご質問にはお答えできません。", "残念ながらお手伝いできません。", "お問い合わせはこちらへ。"],
-    }
-    rng, out = random.Random(7), []
-    langs = list(ask)
-    while len(out) < TRAINING:
-        lang, kind = rng.choice(langs), rng.choice(("answer", "quoted", "refusal", "echo", "foreign", "unfinished", "short", "code", "asked"))
-        q = rng.choice(ask[lang])
-        said = rng.sample(tell[lang], rng.randint(1, min(4, len(tell[lang]))))
-        if kind == "answer":
-            out.append((q, [(s, "answer") for s in said], False))
-            if rng.random() < 0.2:
-                out[-1][1].append(("https://help.example/page/" + str(rng.randint(1, 99)), "answer"))
-        elif kind == "quoted":
-            out.append((q, [(q, "echo"), *((s, "answer") for s in said)], False))
-        elif kind == "refusal":
-            parts = rng.sample(refuse[lang], 1 + (rng.random() < 0.5))
-            parts.sort(key=lambda s: not REFUSAL.search(s.replace("’", "'")))
-            if REFUSAL.search(parts[0]):
-                out.append((q, [(p, "refusal") for p in parts], False))
-        elif kind == "echo":
-            form = rng.choice((str, str.upper, str.lower, lambda s: s.rstrip("?？ "), lambda s: "> " + s, lambda s: f'"{s}"'))
-            out.append((q, [(form(q), "echo")] * rng.choice((1, 1, 2)), False))
-        elif kind == "foreign":
-            other = rng.choice([x for x in langs if x != lang])
-            out.append((q, [(s, "foreign") for s in rng.sample(tell[other][:4], rng.randint(1, 3))], False))
-        elif kind == "unfinished":
-            cut = said[-1][: rng.randint(max(3, len(said[-1]) // 4), len(said[-1]) - 2)]
-            if rng.random() < 0.25:
-                cut = rng.choice(("```sh\nls -l ", '```json\n{"a": ', "```yaml\nroom:\n  size:"))
-            out.append((q, [*((s, "answer") for s in said[:-1]), (cut, "unfinished")], rng.random() < 0.2))
-        elif kind == "short":
-            out.append((q, [(rng.choice(("Yes", "No", "Yes.", "at ten", "42", "`--force`", "Room 7", "是", "はい", "Oui", "Ja", "Sí")), "answer")], False))
-        elif kind == "code":
-            out.append((q, [*((s, "answer") for s in said), ("```sh\nls -l\n```", "answer")], False))
-        else:
-            other = rng.choice([x for x in langs if x != lang and x != "en"])
-            if lang == "en":
-                name = {"fr": "French", "de": "German", "es": "Spanish", "zh": "Chinese", "ja": "Japanese"}[other]
-                out.append((f"{q} Please answer in {name}.", [(s, "answer") for s in rng.sample(tell[other], 2)], False))
-    return out
-
-
-def _train(rows: list[np.ndarray], tags: list[np.ndarray], rounds: int = 200, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x tags) and transitions (tags + 1 x tags, the last row for the start) by Adam on the exact likelihood."""
-    n, most, k = len(rows), max(map(len, rows)), len(TAGS)
-    x, y, on = np.zeros((n, most, len(FEATURES))), np.zeros((n, most), int), np.zeros((n, most), bool)
-    for i, (r, t) in enumerate(zip(rows, tags)):
-        x[i, : len(r)], y[i, : len(r)], on[i, : len(r)] = r, t, True
-    last = on.sum(1) - 1
-    w, a = np.zeros((len(FEATURES), k)), np.zeros((k + 1, k))
-    moment = [np.zeros_like(w), np.zeros_like(a), np.zeros_like(w), np.zeros_like(a)]
+    return rows
+
+
+class Model(NamedTuple):
+    general: np.ndarray  # features x tags
+    lexical: np.ndarray  # by word, for a refusal
+    follow: np.ndarray  # tags + 1 x tags, the last row for the start
+    index: dict[str, int]  # words by row of ``lexical``
+
+    def by_words(self, clause: str) -> float:
+        """What a clause's words say for a refusal."""
+        known = [self.index[w] for w in words(clause) if w in self.index]
+        return float(self.lexical[known].sum()) / max(len(known), 1) ** 0.5
+
+    def scores(self, rows: list[list[float]], parts: list[str], by_words: Callable[[str], float]) -> np.ndarray:
+        """Of each clause for each tag."""
+        out = np.array(rows, float) @ self.general
+        out[:, _REFUSAL] += [0.0 if r[_ECHO] else by_words(c) for r, c in zip(rows, parts)]
+        return out
+
+
+def _train(data: list, rounds: int = 150, rate: float = 0.1) -> Model:
+    """By Adam on the exact likelihood."""
+    counts: dict[str, int] = {}
+    for _, parts, _ in data:
+        for w in {w for c, _ in parts for w in words(c)}:
+            counts[w] = counts.get(w, 0) + 1
+    index = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= COMMON))}
+    n, most, k, g = len(data), max(len(parts) for _, parts, _ in data), len(TAGS), len(FEATURES)
+    x, y, on = np.zeros((n, most, g)), np.zeros((n, most), int), np.zeros((n, most), bool)
+    places: list[int] = []  # of clauses, of their words and the words' weight
+    named: list[int] = []
+    weight: list[float] = []
+    for i, (q, parts, blank) in enumerate(data):
+        x[i, : len(parts)] = features(q, [c for c, _ in parts], blank)
+        for j, (c, t) in enumerate(parts):
+            known = [index[w] for w in words(c) if w in index] if not x[i, j, _ECHO] else []
+            places += [i * most + j] * len(known)
+            named += known
+            weight += [1 / np.sqrt(max(len(known), 1))] * len(known)
+            y[i, j], on[i, j] = TAGS.index(t), True
+    flat, last = x.reshape(n * most, g), on.sum(1) - 1
+    at, which, amount = np.array(places), np.array(named), np.array(weight)
+    w, v, a = np.zeros((g, k)), np.zeros(len(index)), np.zeros((k + 1, k))
+    moment = [np.zeros_like(z) for z in (w, v, a, w, v, a)]
     lse = lambda z, axis: (m := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - m).sum(axis))
     gold = np.eye(k)[y] * on[..., None]
     pairs = np.zeros((k + 1, k))
@@ -254,9 +255,10 @@ def _train(rows: list[np.ndarray], tags: list[np.ndarray], rounds: int = 200, ra
     for t in range(1, most):
         np.add.at(pairs, (y[on[:, t], t - 1], y[on[:, t], t]), 1)
     for step in range(1, rounds + 1):
-        s = x @ w
-        f = np.zeros((n, most, k))
-        b = np.zeros((n, most, k))
+        s = flat @ w
+        s[:, _REFUSAL] += np.bincount(at, v[which] * amount, n * most)
+        s = s.reshape(n, most, k)
+        f, b = np.zeros((n, most, k)), np.zeros((n, most, k))
         f[:, 0] = s[:, 0] + a[k]
         for t in range(1, most):
             f[:, t] = np.where(on[:, t, None], lse(f[:, t - 1, :, None] + a[None, :k], 1) + s[:, t], f[:, t - 1])
@@ -269,58 +271,52 @@ def _train(rows: list[np.ndarray], tags: list[np.ndarray], rounds: int = 200, ra
         for t in range(1, most):
             joint = f[:, t - 1, :, None] + a[None, :k] + (s[:, t] + b[:, t])[:, None, :] - z[:, None, None]
             expected[:k] += (np.exp(joint) * on[:, t, None, None]).sum(0)
-        grads = [np.einsum("ntf,ntk->fk", x, gold - p) / n - l2 * w, (pairs - expected) / n - l2 * a]
-        for j, g in enumerate(grads):
-            moment[j] = 0.9 * moment[j] + 0.1 * g
-            moment[j + 2] = 0.999 * moment[j + 2] + 0.001 * g * g
-            (w, a)[j][...] += rate * (moment[j] / (1 - 0.9**step)) / (np.sqrt(moment[j + 2] / (1 - 0.999**step)) + 1e-8)
-    return w, a
+        miss = (gold - p).reshape(n * most, k)
+        by_word = np.bincount(which, miss[at, _REFUSAL] * amount, len(index))
+        for j, grad in enumerate([flat.T @ miss / n - HOLD * w, by_word / n - HOLD_WORDS * v, (pairs - expected) / n - HOLD * a]):
+            moment[j] = 0.9 * moment[j] + 0.1 * grad
+            moment[j + 3] = 0.999 * moment[j + 3] + 0.001 * grad * grad
+            (w, v, a)[j][...] += rate * (moment[j] / (1 - 0.9**step)) / (np.sqrt(moment[j + 3] / (1 - 0.999**step)) + 1e-8)
+    return Model(w, v, a, index)
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray]:
+def model() -> Model:
     """The trained CRF; the same in every process."""
-    data = corpus()
-    return _train([features(q, [c for c, _ in parts], blank) for q, parts, blank in data], [np.array([TAGS.index(t) for _, t in parts]) for _, parts, _ in data])
+    return _train(clauses_of.sequences(TRAINING))
 
 
-def tag(weights: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> list[str]:
+def tag(model: Model, scores: np.ndarray) -> list[str]:
     """The likeliest tags (Viterbi)."""
-    w, a = weights
-    s, k = rows @ w, len(TAGS)
-    score, back = s[0] + a[k], []
-    for t in range(1, len(s)):
-        step = score[:, None] + a[:k]
+    k = len(TAGS)
+    score, back = scores[0] + model.follow[k], []
+    for t in range(1, len(scores)):
+        step = score[:, None] + model.follow[:k]
         back.append(step.argmax(0))
-        score = step.max(0) + s[t]
+        score = step.max(0) + scores[t]
     path = [int(score.argmax())]
     for pointers in reversed(back):
         path.append(int(pointers[path[-1]]))
     return [TAGS[i] for i in reversed(path)]
 
 
-def defect(weights: tuple[np.ndarray, np.ndarray], question: str | None, answer: str | None) -> str | None:
+def defect(model: Model, question: str | None, answer: str | None, by_words: Callable[[str], float] | None = None) -> str | None:
     """The defect of a pair, None if it is sound. A null question compares as an empty one."""
     if is_empty(answer):
         return "empty"
-    question = question or ""
-    whole, asked = plain(re.sub(r"^\s*(?:q|question|frage|pregunta|问|問|質問)\s*[:：]\s*", "", answer, flags=re.I)), plain(question)
-    if asked and len(whole) >= len(asked) and whole == asked * (len(whole) // len(asked)):
-        return "copied_question"
-    parts = clauses(answer)
-    tags = tag(weights, features(question, parts, answer != answer.rstrip(" ")))
-    share = {t: sum(len(plain(c)) for c, x in zip(parts, tags) if x == t) for t in TAGS}
-    total = sum(share.values()) or 1
-    body = total - share["echo"]
+    question, parts = question or "", clauses(answer)
+    tags = tag(model, model.scores(features(question, parts, answer != answer.rstrip(" ")), parts, by_words or model.by_words))
+    share = dict.fromkeys(TAGS, 0)
+    for c, t in zip(parts, tags):
+        share[t] += len(_own(c)[0]) or 1
+    body = sum(share.values()) - share["echo"]
     if not body:
         return "copied_question"
     if share["refusal"] and share["refusal"] >= 0.9 * body:
         return "refusal"
     if share["foreign"] > 0.5 * body:
         return "other_language"
-    if tags[-1] == "unfinished":
-        return "truncated"
-    return None
+    return "truncated" if tags[-1] == "unfinished" else None
 
 
 def defects(df: DataFrame, key: str, question: str, answer: str) -> DataFrame:
@@ -330,13 +326,14 @@ def defects(df: DataFrame, key: str, question: str, answer: str) -> DataFrame:
     rows repeat, very long texts are read whole, an empty table gives an empty table and other
     columns of ``df`` don't matter. Where several defects meet: empty, copied_question, refusal,
     other_language, truncated, in this order. Narrow; the CRF is trained once on the driver and
-    goes along with the tasks (some hundred numbers).
+    goes along with the tasks (the words of the training material by five tags, some 100 KB).
     """
-    weights = model()
+    trained = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_words = lru_cache(maxsize=1 << 15)(trained.by_words)
         for batch in batches:
-            found = [defect(weights, q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = [defect(trained, q, a, by_words) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             place = [i for i, d in enumerate(found) if d]
             if place:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array([found[i] for i in place])], ["k", "defect"])

@@ -138,6 +138,7 @@ _REFUSAL, _ECHO = TAGS.index("refusal"), 1  # the tag that words speak for or ag
 _TOKEN = re.compile(r"\d+|[^\W\d_]+(?:['’][^\W\d_]+)?")
 _WIDE = re.compile(r"[一-鿿ぁ-ゟァ-ヺー]+")
 _LABEL = re.compile(r"(?i)^(?:q|question|frage|pregunta|问|問|質問)\s*[:：]\s*")
+_NUMBERS = re.compile(r"\d+")
 _IN_CODE = re.compile(r"[()\[\]{}`]")
 
 
@@ -149,9 +150,14 @@ class Asked(NamedTuple):
     words: frozenset
 
 
+def alike(text: str) -> str:
+    """The text with all numbers the same, which is what texts are compared by but for echoes."""
+    return _NUMBERS.sub("0", text)
+
+
 @lru_cache(maxsize=1 << 14)
 def asked(question: str) -> Asked:
-    return Asked(plain(question), language(question), frozenset(re.findall(r"\w+", question.casefold())))
+    return Asked(plain(question), language(question), frozenset(re.findall(r"\w+", alike(question).casefold())))
 
 
 @lru_cache(maxsize=1 << 12)
@@ -171,7 +177,7 @@ def words(clause: str) -> tuple[str, ...]:
 
 @lru_cache(maxsize=1 << 14)
 def _own(c: str) -> tuple:
-    """What a clause says by itself: its plain form, words, length, language, function words and end."""
+    """What a clause, its numbers made alike, says by itself: its words, length, language, function words and end."""
     fence, bare = c.startswith("```"), c.strip()
     w = re.findall(r"\w+", c.casefold())
     told = [bool(p.search(c)) for p in (_NEGATION, _FIRST, _SECOND, _POINTING)] if not fence else [False] * 4
@@ -181,7 +187,7 @@ def _own(c: str) -> tuple:
     dangling = bool(w) and (w[-1] in DANGLING or bare.endswith((",", ":", ";", "(", "-", "，", "、", "：")))
     brackets = bool(_IN_CODE.search(c)) and any(c.count(a) > c.count(b) for a, b in ("()", "[]", "{}")) or "（" in c and c.count("（") > c.count("）") or c.count("「") > c.count("」") or not fence and c.count("`") % 2 == 1
     quoted = len(bare) > 2 and bare[0] == bare[-1] and bare[0] in "`\"'"
-    return plain(_LABEL.sub("", c.strip(" >\"'“”*_\t"))), w, sum(len(run) - 1 for run in _WIDE.findall(c)) // 2, fence, lang, told, stop, ended, dangling, brackets, quoted, bool(_URL_END.search(bare))
+    return w, sum(len(run) - 1 for run in _WIDE.findall(c)) // 2, fence, lang, told, stop, ended, dangling, brackets, quoted, bool(_URL_END.search(bare)), any(x.isdigit() for x in w)
 
 
 def features(question: str, parts: list[str], tail_blank: bool) -> list[list[float]]:
@@ -189,7 +195,8 @@ def features(question: str, parts: list[str], tail_blank: bool) -> list[list[flo
     q = asked(question)
     rows, covered, whole = [], 0.0, len(parts) == 1
     for i, c in enumerate(parts):
-        p, w, wide, fence, lang, (negated, first, second, pointing), stop, ended, dangling, brackets, quoted, url = _own(c)
+        w, wide, fence, lang, (negated, first, second, pointing), stop, ended, dangling, brackets, quoted, url, numbers = _own(alike(c))
+        p = plain(_LABEL.sub("", c.strip(" >\"'“”*_\t")))
         last, n = i == len(parts) - 1, len(q.plain)
         native = lang is not None and (lang == q.lang or lang in wanted(question))
         again = n >= 4 and len(p) >= n and p == (q.plain * (len(p) // n + 1))[: len(p)] and len(p) % n == 0
@@ -199,7 +206,7 @@ def features(question: str, parts: list[str], tail_blank: bool) -> list[list[flo
         short = whole and (not tail_blank and len(w) + wide <= 3 and len(p) <= 24 and not dangling or quoted)
         open_end = last and not ended and not url
         rows.append([
-            1.0, echo, part, share, negated, first, second, pointing, negated and first, negated and pointing, stop, any(x.isdigit() for x in w), min(len(p), 120) / 120, lang is not None and q.lang is not None and not native, native, last, open_end and not short, open_end and short,
+            1.0, echo, part, share, negated, first, second, pointing, negated and first, negated and pointing, stop, numbers, min(len(p), 120) / 120, lang is not None and q.lang is not None and not native, native, last, open_end and not short, open_end and short,
             open_end and dangling, last and url, fence and not ended, fence and ended, last and brackets, i == 0, covered, open_end and i > 0 and lang is not None and not native,
         ])
         covered = float(echo or covered == 1)
@@ -220,7 +227,7 @@ class Model(NamedTuple):
     def scores(self, rows: list[list[float]], parts: list[str], by_words: Callable[[str], float]) -> np.ndarray:
         """Of each clause for each tag."""
         out = np.array(rows, float) @ self.general
-        out[:, _REFUSAL] += [0.0 if r[_ECHO] else by_words(c) for r, c in zip(rows, parts)]
+        out[:, _REFUSAL] += [0.0 if r[_ECHO] else by_words(alike(c)) for r, c in zip(rows, parts)]
         return out
 
 
@@ -228,7 +235,7 @@ def _train(data: list, rounds: int = 150, rate: float = 0.1) -> Model:
     """By Adam on the exact likelihood."""
     counts: dict[str, int] = {}
     for _, parts, _ in data:
-        for w in {w for c, _ in parts for w in words(c)}:
+        for w in {w for c, _ in parts for w in words(alike(c))}:
             counts[w] = counts.get(w, 0) + 1
     index = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= COMMON))}
     n, most, k, g = len(data), max(len(parts) for _, parts, _ in data), len(TAGS), len(FEATURES)
@@ -239,7 +246,7 @@ def _train(data: list, rounds: int = 150, rate: float = 0.1) -> Model:
     for i, (q, parts, blank) in enumerate(data):
         x[i, : len(parts)] = features(q, [c for c, _ in parts], blank)
         for j, (c, t) in enumerate(parts):
-            known = [index[w] for w in words(c) if w in index] if not x[i, j, _ECHO] else []
+            known = [index[w] for w in words(alike(c)) if w in index] if not x[i, j, _ECHO] else []
             places += [i * most + j] * len(known)
             named += known
             weight += [1 / np.sqrt(max(len(known), 1))] * len(known)
@@ -290,6 +297,8 @@ def tag(model: Model, scores: np.ndarray) -> list[str]:
     """The likeliest tags (Viterbi)."""
     k = len(TAGS)
     score, back = scores[0] + model.follow[k], []
+    if len(scores) == 1:
+        return [TAGS[int(score.argmax())]]
     for t in range(1, len(scores)):
         step = score[:, None] + model.follow[:k]
         back.append(step.argmax(0))
@@ -308,7 +317,7 @@ def defect(model: Model, question: str | None, answer: str | None, by_words: Cal
     tags = tag(model, model.scores(features(question, parts, answer != answer.rstrip(" ")), parts, by_words or model.by_words))
     share = dict.fromkeys(TAGS, 0)
     for c, t in zip(parts, tags):
-        share[t] += len(_own(c)[0]) or 1
+        share[t] += len(c)
     body = sum(share.values()) - share["echo"]
     if not body:
         return "copied_question"

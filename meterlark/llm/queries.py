@@ -67,7 +67,7 @@ def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_turns(spark, sf_dir).drop("role")
+    return p6_turns(spark, sf_dir).select("ticket_id", "turn_no", "message_id")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,32 @@ _NOTES = """WITH RECURSIVE w AS (SELECT DISTINCT note_id, unnest(regexp_extract_
     ends AS (SELECT class_a AS x, class_b AS y FROM links UNION ALL SELECT class_b, class_a FROM links),
     reach(x, y) AS (SELECT class_id, class_id FROM n UNION SELECT reach.x, ends.y FROM reach JOIN ends ON ends.x = reach.y)
 """
+_WORDS = "regexp_extract_all(replace(replace(lower(text), 'i̇', 'i'), 'ς', 'σ'), '[\\pL\\pN]+')"
+
+
+def _grams(table: str, key: str) -> str:
+    """Every run of twelve words of every text."""
+    return f"SELECT DISTINCT {key}, unnest([hash(w[k : k + 11]) FOR k IN range(1, len(w) - 10)]) AS g FROM (SELECT {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12"
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_ROLE = "CASE " + " ".join(f"WHEN word IN ({_in(p6.readings(name))}) THEN '{name}'" for name in p6.ROLES) + " END"
+_TURNS = f"""WITH RECURSIVE r AS (SELECT *, min(message_id) OVER (PARTITION BY ticket_id, author_role, body, sent_at, reply_to) AS first, regexp_replace(regexp_replace(lower(author_role), '^[\\s\\pZ]+', ''), '[\\s\\pZ.]+$', '') AS word FROM support_message WHERE ticket_id IS NOT NULL AND message_id IS NOT NULL),
+    ids AS (SELECT DISTINCT ticket_id, message_id AS reply_to, first AS parent, sent_at AS parent_at FROM r),
+    m AS (SELECT DISTINCT r.ticket_id, r.message_id, r.sent_at, r.reply_to, {_ROLE} AS role, r.body IS NULL OR regexp_full_match(r.body, '[\\s\\pZ]*') AS blank, ids.parent, ids.parent_at FROM r LEFT JOIN ids ON r.ticket_id = ids.ticket_id AND r.reply_to = ids.reply_to WHERE r.message_id = r.first),
+    l AS (SELECT message_id, 0 AS layer FROM m WHERE parent IS NULL OR parent_at IS DISTINCT FROM sent_at UNION ALL SELECT m.message_id, l.layer + 1 FROM l JOIN m ON m.parent = l.message_id AND m.parent_at = m.sent_at),
+    whole AS (SELECT message_id FROM m WHERE parent IS NULL UNION ALL SELECT m.message_id FROM whole JOIN m ON m.parent = whole.message_id),
+    placed AS (SELECT m.*, l.layer, m.sent_at IS NULL OR role IS NULL OR (m.reply_to IS NOT NULL AND parent IS NULL) OR m.message_id NOT IN (SELECT message_id FROM whole) AS broken FROM m LEFT JOIN l ON m.message_id = l.message_id),
+    kept AS (SELECT ticket_id FROM placed GROUP BY ticket_id HAVING NOT bool_or(broken) AND arg_min(role, (sent_at, layer, message_id)) FILTER (NOT blank AND role <> 'system') = 'customer' AND arg_max(role, (sent_at, layer, message_id)) FILTER (NOT blank AND role <> 'system') = 'agent'),
+    turns AS (SELECT ticket_id, (row_number() OVER w)::INTEGER AS turn_no, message_id, role, last_value(CASE WHEN role <> 'system' THEN role END IGNORE NULLS) OVER (PARTITION BY ticket_id ORDER BY sent_at, layer, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spoke FROM placed WHERE NOT blank AND ticket_id IN (SELECT ticket_id FROM kept) WINDOW w AS (PARTITION BY ticket_id ORDER BY sent_at, layer, message_id))
+"""
 SQL: dict[str, str] = {
+    "p6_found": _TURNS + "SELECT ticket_id, turn_no, message_id FROM turns",
+    "p6_turns": _TURNS + "SELECT ticket_id, turn_no, message_id, role, coalesce(role <> 'system' AND role = spoke, false) AS repeats FROM turns",
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) d JOIN ({_grams('eval_item', 'item_id')}) i ON d.g = i.g",
     "p5_found": _NOTES + "SELECT a AS note_id_a, b AS note_id_b FROM pairs",
     "p5_classes": _NOTES + "SELECT note_id, class_id, (SELECT count(*) FROM ends WHERE ends.x = n.class_id) AS links FROM n",
     "p5_links": _NOTES + "SELECT class_a, class_b FROM links",

@@ -27,13 +27,17 @@ SHORT = {"customer": ("usr", "cst", "cstmr", "clnt"), "agent": ("agt", "spt", "s
 PIECE = 10_000
 
 
+def readings(name: str) -> list[str]:
+    """The words that read as a role."""
+    return sorted({w[:n] for w in ROLES[name] for n in range(3, len(w) + 1)} | set(SHORT[name]))
+
+
 def role(raw: Column) -> Column:
     """customer, agent, system or null: ignoring case, outer space and abbreviation."""
     word = F.regexp_replace(F.lower(raw), r"^[\s\p{Z}]+|[\s\p{Z}.]+$", "")
     out = F
-    for name, words in ROLES.items():
-        known = sorted({w[:n] for w in words for n in range(3, len(w) + 1)} | set(SHORT[name]))
-        out = out.when(word.isin(known), name)
+    for name in ROLES:
+        out = out.when(word.isin(readings(name)), name)
     return out
 
 

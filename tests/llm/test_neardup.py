@@ -95,7 +95,7 @@ def connected(links):
     return {n: min(x) for n, x in root.items()}
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=16))
 def test_components(spark, links):
     links = [(a, b) for a, b in links if a != b]
@@ -112,7 +112,7 @@ def test_groups(spark):
     assert neardup.groups(spark.createDataFrame([], "note_id long, body string"), "note_id", "body").count() == 0
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 25), min_size=6, max_size=22), max_size=25))
 def test_any(spark, sets):
     rows = [(i, " ".join(f"t{w}" for w in s)) for i, s in enumerate(sets)]

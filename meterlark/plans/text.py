@@ -265,6 +265,31 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.shred(table(spark, sf_dir, "task_record"), "record_id", "payload")
 
 
+# Payloads in SQL: members by compared name, strings that hold JSON opened up to three times.
+def _opened(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x} ->> '$', '^\\s*[{{\\[\"n]') AND json_valid({x} ->> '$') AND json_type(({x} ->> '$')::JSON) IN ('OBJECT', 'ARRAY', 'VARCHAR', 'NULL') THEN ({x} ->> '$')::JSON ELSE {x} END"
+
+
+def _thrice(name: str, source: str, keys: str) -> str:
+    return ", ".join(f"{name}{n} AS (SELECT {keys}, {_opened('j')} AS j FROM {source if n == 1 else f'{name}{n - 1}'})" for n in (1, 2, 3))
+
+
+def _member(source: str, keys: str, name: str) -> str:
+    return f"SELECT {keys}, arg_min(e.value, e.rowid) AS j FROM {source} s, json_each(s.j) e WHERE json_type(s.j) = 'OBJECT' AND lower(replace(e.key, '_', '')) = '{name}' AND json_type(e.value) <> 'NULL' GROUP BY {keys}"
+
+
+def _level(name: str, source: str, keys: str, held: str) -> str:
+    items = f"SELECT {keys}, (e.key::INTEGER + 1)::INTEGER AS {name}_no, e.value AS j FROM {name}l3 s, json_each(CASE json_type(s.j) WHEN 'ARRAY' THEN s.j WHEN 'OBJECT' THEN json_array(s.j) ELSE '[]'::JSON END) e"
+    return ", ".join([f"{name}m AS ({_member(source, keys, held)})", _thrice(f"{name}l", f"{name}m", keys), f"{name}i AS ({items})", _thrice(f"{name}o", f"{name}i", f"{keys}, {name}_no"), f"{name}s AS (SELECT * FROM {name}o3 WHERE json_type(j) = 'OBJECT')"])
+
+
+_TASKS = f"""WITH p AS (SELECT record_id, payload::JSON AS j FROM task_record WHERE json_valid(payload)), {_thrice("t", "p", "record_id")}, top AS (SELECT * FROM t3 WHERE json_type(j) = 'OBJECT'),
+    own AS ({_member("top", "record_id", "clips")}), d AS ({_member("top", "record_id", "data")}), {_thrice("d", "d", "record_id")},
+    task AS (SELECT top.record_id, CASE WHEN own.j IS NULL AND json_type(d3.j) = 'OBJECT' THEN d3.j ELSE top.j END AS j FROM top LEFT JOIN own USING (record_id) LEFT JOIN d3 USING (record_id)),
+    {_level("clip", "task", "record_id", "clips")}, {_level("rendition", "clips", "record_id, clip_no", "renditions")}, {_level("file", "renditions", "record_id, clip_no, rendition_no", "files")}"""
+
+
+@query(f"{_TASKS} SELECT record_id, clip_no, rendition_no, file_no FROM files")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.files_only(table(spark, sf_dir, "task_record"), "record_id", "payload")
 
@@ -285,6 +310,7 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.tables(_tasks(spark, sf_dir), "record_id")["files"]
 
 
+@query(f"{_TASKS} SELECT record_id FROM task_record WHERE record_id NOT IN (SELECT record_id FROM top)")
 def p2_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.tables(_tasks(spark, sf_dir), "record_id")["unreadable"]
 
@@ -307,4 +333,4 @@ def p2_subtype_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each, none).groupBy("variant", "own_columns").agg(F.count("*").alias("objects"))
 
 
-QUERIES |= {f.__name__: f for f in (p2_found, p2_records, p2_clips, p2_renditions, p2_files, p2_unreadable, p2_variants, p2_values, p2_subtype_rows)}
+QUERIES |= {f.__name__: f for f in (p2_records, p2_clips, p2_renditions, p2_files, p2_variants, p2_values, p2_subtype_rows)}

@@ -5,8 +5,7 @@ from __future__ import annotations
 import copy
 import json
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -25,6 +24,11 @@ def _at(doc: Column, path: str) -> tuple[Column, str]:
     return doc, steps
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once a row, however often it is used: branches don't share what they compute."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def condition(doc: Column, path: str, mode: str, value: object, invert: bool = False, pass_missing_key: bool = False) -> Column:
     """One condition on a parsed document (a variant).
 
@@ -34,12 +38,17 @@ def condition(doc: Column, path: str, mode: str, value: object, invert: bool = F
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
+    if mode in MODES[4:] and (isinstance(value, bool) or not isinstance(value, (int, float))):
+        raise ValueError("a comparison needs a number")
     doc, at = _at(doc, path)
-    text = F.try_variant_get(doc, at, "string")
-    kind = F.schema_of_variant(F.try_variant_get(doc, at, "variant"))
-    present = F.try_variant_get(doc, at, "variant").isNotNull()
+    return _let(F.try_variant_get(doc, at, "variant"), lambda v: F.when(v.isNotNull(), _test(v, mode, value, invert)).otherwise(F.lit(pass_missing_key)))
+
+
+def _test(doc: Column, mode: str, value: object, invert: bool) -> Column:
+    """A condition on a value that is there."""
+    text, kind = F.try_variant_get(doc, "$", "string"), F.schema_of_variant(doc)
     numeric = kind.rlike("^(BIGINT|INT|DECIMAL|DOUBLE|FLOAT)")
-    number = F.when(numeric, F.try_variant_get(doc, at, "double"))
+    number = F.when(numeric, F.try_variant_get(doc, "$", "double"))
     if mode == "full":
         if value is None:
             test = kind == "VOID"
@@ -49,22 +58,17 @@ def condition(doc: Column, path: str, mode: str, value: object, invert: bool = F
     elif mode in ("prefix", "suffix", "contains"):
         test = {"prefix": text.startswith, "suffix": text.endswith, "contains": text.contains}[mode](str(value))
     else:
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            raise ValueError("a comparison needs a number")
         test = {"gt": number > value, "gte": number >= value, "lt": number < value, "lte": number <= value}[mode]
-    return F.when(present, ~test if invert else test).otherwise(F.lit(pass_missing_key))
+    return ~test if invert else test
 
 
 def rules(json_text: Column, conditions: list[dict], logic: str = "OR") -> Column:
     """Conditions joined by OR unless ``logic`` is AND; none at all is true. Broken JSON has no paths. Where any condition is an error, the rules don't hold."""
-    doc = F.try_parse_json(json_text)
-    tests = [condition(doc, **c) for c in conditions]
-    if not tests:
+    if not conditions:
         return F.lit(True)
-    every = logic.upper() == "AND"
-    out = reduce(lambda a, b: a & b if every else a | b, tests)
-    sound = reduce(lambda a, b: a & b, (t.isNotNull() for t in tests))
-    return sound & out
+    tests = _let(F.try_parse_json(json_text), lambda doc: F.array(*(condition(doc, **c) for c in conditions)))
+    holds = (lambda a: F.forall(a, lambda t: t)) if logic.upper() == "AND" else (lambda a: F.exists(a, lambda t: t))
+    return _let(tests, lambda a: F.when(F.exists(a, lambda t: t.isNull()), F.lit(False)).otherwise(holds(a)))
 
 
 def without_keys(json_text: Column, keys: list[str]) -> Column:

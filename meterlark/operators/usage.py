@@ -123,3 +123,19 @@ def with_channel(log: DataFrame, channels: DataFrame) -> DataFrame:
     """Log rows with channel_name, blank for channels that don't exist."""
     names = channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel_name"))
     return log.join(names, "channel_id", "left").withColumn("channel_name", F.coalesce("channel_name", F.lit("")))
+
+
+def check_ins(rows: DataFrame, key: str, at: str, amount: str, today: Column) -> DataFrame:
+    """(key, total, amount, month_total, today): how often a key checked in and what it got, all time; how often in the month of ``today``, a day; and whether on it.
+
+    Days are texts year-month-day, and the month is the texts from -01 to -31.
+    """
+    day = F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd")
+    month = F.date_format(today, "yyyy-MM")
+    within = day.between(F.concat(month, F.lit("-01")), F.concat(month, F.lit("-31")))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("total"),
+        F.coalesce(F.sum(amount), F.lit(0)).alias("amount"),
+        F.count_if(within).alias("month_total"),
+        F.coalesce(F.bool_or(day == F.date_format(today, "yyyy-MM-dd")), F.lit(False)).alias("today"),
+    )

@@ -136,7 +136,29 @@ def spent_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.filter(S.spent(F.col("type"), expires, now, (1, 3), 2)).select("id")
 
 
-@query()
+@query(f"SELECT id, CASE WHEN (d ->> '$.model_ratio') IS NOT NULL AND contains(d ->> '$.model_ratio', '5') THEN 'five' WHEN username = 'nobody' THEN 'nobody' ELSE 'other' END AS tier FROM (SELECT id, coalesce(username, '') AS username, {_DOC} AS d FROM usage_log)")
+def formula_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression that looks into a JSON body and at a header."""
+    scope = formula.Scope({}, body=F.col("other"), headers=F.create_map(F.lit("x-user"), F.coalesce("username", F.lit(""))))
+    _, tier = formula.compile_columns('has(param("model_ratio"), "5") ? tier("five", 1) : header(" X-User ") == "nobody" ? tier("nobody", 2) : tier("other", 3)', scope)
+    return _log(spark, sf_dir).select("id", tier.alias("tier"))
+
+
+def _estimate(text: str) -> str:
+    """The estimate in SQL: signs of each class are counted and taken out in turn, letters and digits by their runs."""
+    classes = [  # with their weight in hundredths
+        ("[\\n\\t]", 50), ("[\\x{0B}-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]", 42), ("[\\p{Han}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7A3}]", 85), ("[\\x{2600}-\\x{27BF}\\x{1F300}-\\x{1F9FF}\\x{1FA00}-\\x{1FAFF}]", 212),
+    ]
+    others = [("[\\x{2200}-\\x{22FF}\\x{2A00}-\\x{2AFF}\\x{1D400}-\\x{1D7FF}±×÷¬°′″‴⁺⁻⁼⁽⁾₊₋₌₍₎]", 268), ("@", 200), ("[/:?&=;#%]", 100)]
+    every = "|".join(c for c, _ in classes)
+    rest = f"regexp_replace({text}, '{every}', chr(1), 'g')"  # a sign that parts runs, is of no class and is taken out below
+    plain = f"regexp_replace({rest}, '\\pL|\\pN|\\x01', '', 'g')"
+    count = lambda where, c: f"(length({where}) - length(regexp_replace({where}, '{c}', '', 'g')))"
+    parts = [f"{count(text, c)} * {w}" for c, w in classes] + [f"len(regexp_extract_all({rest}, '{c}+')) * {w}" for c, w in (("\\pL", 102), ("\\pN", 155))] + [f"{count(plain, c)} * {w - 40}" for c, w in others] + [f"length({plain}) * 40"]
+    return f"coalesce(ceil(({' + '.join(parts)}) / 100.0), 0)::BIGINT"
+
+
+@query(f"SELECT doc_id, {_estimate('text')} AS tokens FROM documents")
 def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.estimate_tokens(F.col("text")).alias("tokens"))
 

@@ -238,3 +238,37 @@ def failure_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed requests for each one served, to three places; 0 where none was."""
     n = log(spark, sf_dir).groupBy("channel_id").agg(F.count_if(F.col("type") == 5).alias("failed"), F.count_if(F.col("type") == 2).alias("served"))
     return n.select("channel_id", scalars.divided(F.col("failed"), F.col("served")).alias("failures"))
+
+
+@query("SELECT id, request_id, model_name FROM usage_log WHERE id = 17")
+def log_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.lookup(log(spark, sf_dir), "id", 17).select("id", "request_id", "model_name")
+
+
+@query("SELECT id, channel_id FROM usage_log WHERE id > 250 ORDER BY id LIMIT 200")
+def log_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of a scan in batches by key."""
+    return sources.key_range(log(spark, sf_dir), "id", 250, 200).select("id", "channel_id")
+
+
+@query("SELECT id, created_at FROM usage_log ORDER BY id DESC LIMIT 100 OFFSET 200")
+def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page, for which a thousand rows were asked and a hundred are given."""
+    return sources.page(log(spark, sf_dir), [F.desc("id")], 3, 1000).select("id", "created_at")
+
+
+@query(f"SELECT user_id, count(*) AS n FROM usage_log WHERE created_at >= {NOW} - 2592000 AND created_at <= {NOW} GROUP BY user_id")
+def log_longest_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest range that a dashboard may ask for."""
+    df = log(spark, sf_dir)
+    last = df.agg(F.max("created_at")).first()[0] or 0
+    start, end = U.span(last - U.LONGEST_SPAN, last)
+    return df.filter((F.col("created_at") >= start) & (F.col("created_at") <= end)).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH d AS (SELECT user_id, quota, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') AS day FROM usage_log WHERE type = 1), t AS (SELECT strftime(make_timestamp({NOW} * 1000000), '%Y-%m-%d') AS day)
+    SELECT user_id, count(*) AS total, coalesce(sum(quota), 0)::BIGINT AS amount, count(*) FILTER (d.day >= t.day[:7] || '-01' AND d.day <= t.day[:7] || '-31') AS month_total, coalesce(bool_or(d.day = t.day), false) AS today FROM d, t GROUP BY user_id""")
+def check_in_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one kind stand for check-ins."""
+    df = log(spark, sf_dir)
+    return U.check_ins(df.filter(F.col("type") == U.TOPUP), "user_id", "created_at", "quota", F.timestamp_seconds(U.latest(df)))

@@ -15,7 +15,8 @@ fall on it.
   is negative for most classes, which need no more postings. Else, with k coordinates, at most a
   budget's number of them can differ, so at least k - budget collide, and one of the budget + 1 rarest
   of each class is shared: only these are posted (the commonest, whose lists are the longest, are
-  skipped), k growing with the budget in powers of two (levels). A collision counts if the parities
+  skipped), k growing with the budget in powers of two (levels). Of a pair, one class has a slack of at
+  least 0 and leads; the others post only where a leading one has posted. A collision counts if the parities
   of the common words on 256 bits, which go along, differ in no more bits than the budget.
 
 Retained pairs are verified on the classes' word sets. No link is lost: these are bounds, not chances.
@@ -27,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlark.session import durable
 
 #: Longest posting list of a single word.
 RARE = 32
-#: Common words that tasks may hold as a table (16 bytes each); where there are more, they are joined by a shuffle.
+#: Common words that tasks may hold as a table (16 bytes each), and postings of those that lead; where there are more, they are joined by a shuffle.
 HELD = 1_000_000
 #: Cells of coordinates that are computed together.
 CELLS = 1 << 20
@@ -88,11 +90,17 @@ def _band(size: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity) + 1e-9).astype(np.int64)
 
 
-def _levels(classes: DataFrame, similarity: float, tops: dict[int, float]) -> DataFrame:
+def _keys(level: np.ndarray | int, value: np.ndarray) -> np.ndarray:
+    """One number for a posting's level and value."""
+    return _mix(value.view(_U) + np.asarray(level).astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
+def _levels(classes: DataFrame, similarity: float, tops: dict[int, float], wanted: Broadcast | None = None) -> DataFrame:
     """(level, value, cid, size, slack, b0 to b3): postings of the common words of classes that may have a partner without shared rare words.
 
     ``tops``: the largest slack of the classes of a band. ``slack``: differing words a class allows, less its rare
     words; the budget of a pair is the sum of both, and its level is the budget's. b0 to b3: parities.
+    ``wanted``: sorted keys of the postings that others have, without which one isn't posted.
     """
     part = (1 - similarity) / (1 + similarity)
     near = lambda b: max(tops.get(x, -np.inf) for x in range(b - 2, b + 3))
@@ -129,9 +137,16 @@ def _levels(classes: DataFrame, similarity: float, tops: dict[int, float]) -> Da
                     # one order for all classes: by the value's estimated frequency, then by the value and coordinate themselves
                     value = _mix(value.reshape(-1, k) + np.arange(k).astype(_U) * _U(0x9E3779B97F4A7C15))
                     order = np.lexsort((value, np.round(score.reshape(-1, k), 6)), axis=1)[:, : k // 2]
-                    r = np.repeat(rows, k // 2)
+                    r, value = np.repeat(rows, k // 2), np.take_along_axis(value, order, 1).ravel()
+                    if wanted is not None:
+                        keys = _keys(level, value)
+                        at = np.minimum(np.searchsorted(wanted.value, keys), len(wanted.value) - 1)
+                        shared = wanted.value[at] == keys
+                        r, value = r[shared], value[shared]
+                    if not len(r):
+                        continue
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(r), level, np.int8)), pa.array(np.take_along_axis(value, order, 1).ravel().view(np.int64)), pa.array(cid[r]), pa.array(size[r]), pa.array(slack[r]), *(pa.array(bits[r, b].view(np.int64)) for b in range(4))],
+                        [pa.array(np.full(len(r), level, np.int8)), pa.array(value.view(np.int64)), pa.array(cid[r]), pa.array(size[r]), pa.array(slack[r]), *(pa.array(bits[r, b].view(np.int64)) for b in range(4))],
                         ["level", "value", "cid", "size", "slack", "b0", "b1", "b2", "b3"],
                     )
                 level, k = level + 1, k * 2
@@ -186,10 +201,15 @@ def _links(heads: DataFrame, similarity: float) -> DataFrame:
     tops = {r["band"]: r["top"] for r in classes.groupBy(of_band.alias("band")).agg(F.max("slack").alias("top")).collect()}
     top = max(tops.values(), default=-1.0)
     if top >= -1e-9:
-        posted = durable(_levels(classes.filter(F.col("slack") + top >= -1e-9), similarity, tops))
+        leading = durable(_levels(classes.filter("slack >= -1e-9"), similarity, tops))
+        wanted = None
+        if leading.count() <= HELD:
+            held = leading.select("level", "value").distinct().toPandas()
+            wanted = classes.sparkSession.sparkContext.broadcast(np.sort(_keys(held["level"].to_numpy(), held["value"].to_numpy())))
+        following = _levels(classes.filter(F.col("slack") + top >= -1e-9), similarity, tops, wanted)
         side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("cid", "size", "slack", "b0", "b1", "b2", "b3")]
         # of a pair, one class has a slack of at least 0: it leads; equals are led by the lower id
-        a, b = posted.filter("slack >= -1e-9").select("level", "value", *side("a")), posted.select("level", "value", *side("b"))
+        a, b = leading.select("level", "value", *side("a")), following.select("level", "value", *side("b"))
         budget = F.col("slack_a") + F.col("slack_b") + 1e-9
         k = F.pow(F.lit(2.0), F.col("level") + 1)
         leads = (F.col("slack_a") > F.col("slack_b")) | ((F.col("slack_a") == F.col("slack_b")) & (F.col("cid_a") < F.col("cid_b")))

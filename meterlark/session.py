@@ -32,7 +32,7 @@ def _shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset and the session runs in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='meterlark-')}"
         spark.sparkContext.setCheckpointDir(at)

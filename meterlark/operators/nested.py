@@ -1,7 +1,7 @@
 """Problem 2: deeply nested records as related flat tables, by structural variants.
 
 A tree automaton classifies every object. Its states are built from the bottom up: a value's state is
-null, bool, int, number, text, a list of its items' states, or an object, whose state is the set of
+null, bool, int, bigger (a whole number beyond 64 bits), number, text, a list of its items' states, or an object, whose state is the set of
 its members with their states. Going down from the task, its transitions (level, member) -> level
 tell which objects are clips, renditions and files; the list a transition reads has the state of a
 list of that level, whatever its items look like, so that a parent's state doesn't depend on the
@@ -43,6 +43,8 @@ LEVELS = (Level("clip", "clips", ("clipid", "title")), Level("rendition", "rendi
 RECORD = ("taskid",)
 #: Types of the columns of subtype tables by state; everything else stays JSON.
 TYPES = {"bool": "boolean", "int": "bigint", "number": "double", "text": "string", "null": "string"}
+#: Whole numbers that a bigint holds; others have a state of their own and stay JSON.
+_INT = range(-(1 << 63), 1 << 63)
 _SCALARS = {bool: "bool", int: "int", float: "number", type(None): "null"}
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?")
 _BLANK = re.compile(r"[ \t\n\r]*")
@@ -217,7 +219,7 @@ def state(value: object) -> str:
     """The automaton's state of a value, from the states of what it holds. An object's is named by a digest of its members and their states."""
     scalar = _SCALARS.get(type(value))
     if scalar:
-        return scalar
+        return scalar if scalar != "int" or value in _INT else "bigger"
     value = opened(value)
     if isinstance(value, str):
         return "text"
@@ -392,5 +394,5 @@ def values(objects: DataFrame, key: str) -> DataFrame:
 
 
 def written(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """``shred`` as a table in the shared folder: one parse for all tables read from it."""
-    return durable(shred(df, key, payload))
+    """``shred`` as a table in the shared folder, parted by level: one parse for all tables read from it, which read their own level only."""
+    return durable(shred(df, key, payload), by="level")

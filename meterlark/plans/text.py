@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterlark.functions import formula, json_rules as J, scalars as S
 from meterlark.operators import limits, nested, usage as U
@@ -348,11 +348,18 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_subtype_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows and own columns the typed table of each variant of a record has, counted from these tables."""
+    """How many rows, own columns and values in these the typed table of each variant has, on every level, counted from these tables.
+
+    The values are those that aren't null, so that every column is read as its type.
+    """
     objects = nested.written(table(spark, sf_dir, "task_record"), "record_id", "payload")
-    each = [t.select(F.lit(v).alias("variant"), F.lit(len(t.columns) - 1).alias("own_columns")) for v, t in nested.subtypes(objects, "record_id", "record").items()]
-    none = spark.createDataFrame([], "variant string, own_columns int")
-    return reduce(DataFrame.unionByName, each, none).groupBy("variant", "own_columns").agg(F.count("*").alias("objects"))
+    each = []
+    for at, level in enumerate(["record", *(x.name for x in nested.LEVELS)]):
+        for variant, t in nested.subtypes(objects, "record_id", level).items():
+            own = [F.col(f"`{c.replace('`', '``')}`").isNotNull().cast("long") for c in t.columns[1 + at :]]
+            each.append(t.select(F.lit(level).alias("level"), F.lit(variant).alias("variant"), F.lit(len(own)).alias("own_columns"), reduce(Column.__add__, own, F.lit(0)).alias("n")))
+    none = spark.createDataFrame([], "level string, variant string, own_columns int, n long")
+    return reduce(DataFrame.unionByName, each, none).groupBy("level", "variant", "own_columns").agg(F.count("*").alias("objects"), F.sum("n").alias("own_values"))
 
 
 QUERIES |= {f.__name__: f for f in (p2_records, p2_clips, p2_renditions, p2_files, p2_variants, p2_values, p2_subtype_rows)}

@@ -47,14 +47,14 @@ def _drop(spark: SparkSession, at: str) -> None:
         pass
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table in the shared checkpoint folder and reads it back.
+def durable(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as a table in the shared checkpoint folder, in a folder for each value of the column ``by``, and reads it back.
 
     That cuts the lineage so that a lost executor costs its running tasks only, and later readers
     get pushdown and column pruning. The table goes when the driver's Python ends.
     """
     spark = df.sparkSession
     at = f"{_shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", "zstd").parquet(at, partitionBy=by)
     atexit.register(_drop, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at).select(df.columns)

@@ -57,3 +57,24 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark, data):
     plan = QUERIES["log_search_user_total"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,1007)" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
+def test_subtype_rows_of_all_levels(spark, tmp_path):
+    """Every level's typed tables count, with the values that they hold."""
+    payloads = [
+        '{"task_id": "t", "n": 5, "x.y": null, "clips": [{"title": "x", "w": 1.5, "renditions": [{"kind": "k", "fps": 30, "files": [{"uri": "u", "a": true, "b": null}, {"uri": "v", "a": false, "b": null}]}]}]}',
+        '{"task_id": "u", "n": 99999999999999999999, "x.y": null, "clips": {"title": "y", "w": 2.5}}',
+        "broken",
+    ]
+    spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string").write.parquet(str(tmp_path / "task_record.parquet"))
+    got = sorted(map(tuple, QUERIES["p2_subtype_rows"](spark, str(tmp_path)).select("level", "variant", "own_columns", "objects", "own_values").collect()))
+    assert got == [
+        ("clip", "renditions:list<rendition>,title:text,w:number", 1, 1, 1),
+        ("clip", "title:text,w:number", 1, 1, 1),
+        ("file", "a:bool,b:null,uri:text", 2, 2, 2),
+        ("record", 'clips:list<clip>,n:bigger,taskid:text,"x.y":null', 2, 1, 1),
+        ("record", 'clips:list<clip>,n:int,taskid:text,"x.y":null', 2, 1, 1),
+        ("rendition", "files:list<file>,fps:int,kind:text", 1, 1, 1),
+    ]
+    spark.createDataFrame([], "record_id long, payload string").write.parquet(str(tmp_path / "none" / "task_record.parquet"))
+    assert QUERIES["p2_subtype_rows"](spark, str(tmp_path / "none")).count() == 0

@@ -11,13 +11,14 @@ fall on it.
   their number is that of the rare words it shares. A pair is retained if the common words that the
   smaller of the two sets has could make up what is missing to the threshold.
 * Pairs without any rare word in common. All rare words of both are among their differences, so that
-  what is left of the difference that the threshold allows is the budget of their common words; it
-  is negative for most classes, which need no more postings. Else, with k coordinates, at most a
-  budget's number of them can differ, so at least k - budget collide, and one of the budget + 1 rarest
-  of each class is shared: only these are posted (the commonest, whose lists are the longest, are
-  skipped), k growing with the budget in powers of two (levels). Of a pair, one class has a slack of at
-  least 0 and leads; the others post only where a leading one has posted. A collision counts if the parities
-  of the common words on 256 bits, which go along, differ in no more bits than the budget.
+  what is left of the difference that the threshold allows is the budget of their common words, the sum
+  of a slack that each class has; it is negative for most classes, which need no more postings. Else slacks are
+  rounded down to steps that grow with the size of sets, and the sum of both steps is the pair's level. On a level
+  whose budgets are below m, words are hashed onto 5/4 m coordinates; fewer than m can differ, so that one of
+  the m rarest of each class is shared: only these are posted, under the level and the leading class's step, so that
+  classes meet only where their budget is of that level. Of a pair, one class has a slack of at
+  least 0 and leads; the others post only where a leading one has posted, as far as a bitmap can tell. A collision
+  counts if the parities of the common words on 256 bits, which go along, differ in no more bits than the budget.
 
 Retained pairs are verified on the classes' word sets. No link is lost: these are bounds, not chances.
 """
@@ -35,10 +36,12 @@ from meterlark.session import durable
 
 #: Longest posting list of a single word.
 RARE = 32
-#: Common words that tasks may hold as a table (16 bytes each), and postings of those that lead; where there are more, they are joined by a shuffle.
+#: Common words that tasks may hold as a table (16 bytes each); where there are more, they are joined by a shuffle.
 HELD = 1_000_000
 #: Cells of coordinates that are computed together.
 CELLS = 1 << 20
+#: Largest bitmap of the leading classes' postings, in bits.
+BITS = 1 << 29
 _U = np.uint64
 
 
@@ -90,68 +93,96 @@ def _band(size: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity) + 1e-9).astype(np.int64)
 
 
-def _keys(level: np.ndarray | int, value: np.ndarray) -> np.ndarray:
-    """One number for a posting's level and value."""
-    return _mix(value.view(_U) + np.asarray(level).astype(_U) * _U(0x9E3779B97F4A7C15))
+def _scale(size: np.ndarray) -> np.ndarray:
+    """Logarithm of a size to the base of 4, rounded down."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(4) + 1e-9).astype(np.int64)
 
 
-def _levels(classes: DataFrame, similarity: float, tops: dict[int, float], wanted: Broadcast | None = None) -> DataFrame:
-    """(level, value, cid, size, slack, b0 to b3): postings of the common words of classes that may have a partner without shared rare words.
+def _bitmap(postings: DataFrame) -> Broadcast:
+    """A bitmap with two bits for every posting's value."""
+    bits = min(max(1 << 15, 1 << (16 * postings.count()).bit_length()), BITS)
+    at = F.explode(F.array(F.col("value").bitwiseAND(bits - 1), F.shiftrightunsigned("value", 32).bitwiseAND(bits - 1)))
+    parts = postings.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return postings.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+def _in_bitmap(bitmap: np.ndarray, value: np.ndarray) -> np.ndarray:
+    found = np.ones(len(value), bool)
+    for at in (value, value >> _U(32)):
+        at = at & _U(len(bitmap) * 8 - 1)
+        found &= (bitmap[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def _postings(classes: DataFrame, similarity: float, tops: dict[int, float], total: int, wanted: Broadcast | None = None) -> DataFrame:
+    """(value, cid, size, slack, b0 to b3): postings of the common words of classes that may have a partner without shared rare words.
 
     ``tops``: the largest slack of the classes of a band. ``slack``: differing words a class allows, less its rare
-    words; the budget of a pair is the sum of both, and its level is the budget's. b0 to b3: parities.
-    ``wanted``: sorted keys of the postings that others have, without which one isn't posted.
+    words; the budget of a pair is the sum of both. ``total``: number of all classes. b0 to b3: parities.
+    ``wanted``: bitmap of the postings of the classes that lead, for those that follow; None for those that lead.
+    The values of a pair's postings hold its scale (of the larger set), its level and the leading class's step.
     """
     part = (1 - similarity) / (1 + similarity)
     near = lambda b: max(tops.get(x, -np.inf) for x in range(b - 2, b + 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cid, size, slack = (batch.column(i).to_numpy() for i in range(3))
             lists = batch.column(3)
             flat, dfs = lists.flatten().to_numpy().view(_U), batch.column(4).flatten().to_numpy()
             bounds = lists.offsets.to_numpy() - lists.offsets.to_numpy()[:1]
             count = np.diff(bounds)
             owner = np.repeat(np.arange(len(cid)), count)
-            # the largest budget with any partner: by all slacks, and by the partner's size
-            bands, which = np.unique(_band(size, similarity), return_inverse=True)
-            top = np.array([near(b) for b in bands.tolist()])[which]
-            most = slack + np.minimum(top, part * size / similarity)
-            hashed, rarity = _mix(flat + _U(1)), -np.log(dfs.astype(float))
+            hashed, rarity = _mix(flat + _U(1)), np.log(dfs / total) - 1e-9  # the rarer, the lower
             bits = np.zeros((len(cid), 4), _U)
             np.bitwise_xor.at(bits, (owner, (hashed & _U(3)).astype(np.int64)), _U(1) << (hashed >> _U(2) & _U(63)))
-            level, k = 0, 2
-            while True:
-                # level l has budgets in [k/4, k/2), the lowest level 0 also those of less than 1
-                on = np.flatnonzero(most >= (0.0 if level == 0 else k / 4))
-                if not len(on):
-                    break
-                for rows in np.array_split(on, min(len(on), -(-len(on) * k // CELLS))):
-                    keep = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
-                    row = np.repeat(np.arange(len(rows)), count[rows])
-                    h = hashed[keep]
-                    slot = row * k + (h >> _U(8)).astype(np.int64) % k
-                    value, score = np.zeros(len(rows) * k, _U), np.zeros(len(rows) * k)
-                    np.add.at(value, slot, _mix(h + _U(level + 1)))
-                    np.add.at(score, slot, rarity[keep] - 1e-9)  # the rarer, the lower; an empty coordinate is the commonest
-                    # one order for all classes: by the value's estimated frequency, then by the value and coordinate themselves
-                    value = _mix(value.reshape(-1, k) + np.arange(k).astype(_U) * _U(0x9E3779B97F4A7C15))
-                    order = np.lexsort((value, np.round(score.reshape(-1, k), 6)), axis=1)[:, : k // 2]
-                    r, value = np.repeat(rows, k // 2), np.take_along_axis(value, order, 1).ravel()
-                    if wanted is not None:
-                        keys = _keys(level, value)
-                        at = np.minimum(np.searchsorted(wanted.value, keys), len(wanted.value) - 1)
-                        shared = wanted.value[at] == keys
-                        r, value = r[shared], value[shared]
-                    if not len(r):
-                        continue
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(r), level, np.int8)), pa.array(value.view(np.int64)), pa.array(cid[r]), pa.array(size[r]), pa.array(slack[r]), *(pa.array(bits[r, b].view(np.int64)) for b in range(4))],
-                        ["level", "value", "cid", "size", "slack", "b0", "b1", "b2", "b3"],
-                    )
-                level, k = level + 1, k * 2
-
-    return classes.select("cid", "size", "slack", "common", "common_df").mapInArrow(run, "level byte, value long, cid long, size int, slack double, b0 long, b1 long, b2 long, b3 long")
+            # the largest slack of any partner: of all classes near in size, and by the partner's size
+            bands, which = np.unique(_band(size, similarity), return_inverse=True)
+            most = np.minimum(np.array([near(b) for b in bands.tolist()])[which], part * size / similarity)
+            lowest, highest = _scale(size), _scale(size / similarity)
+            for scale in range(lowest.min(), highest.max() + 1):
+                unit = max(4, 4**scale // 16)
+                step = np.floor((slack + 1e-6) / unit).astype(np.int64)
+                # levels by the steps of partners: those of a leading class's are no larger, and it has at least step 0
+                if wanted is None:
+                    first, last = np.full(len(cid), -1), 2 * step
+                else:
+                    first, last = np.maximum(-1, np.maximum(step, 2 * step)), step + np.floor((most + 1e-6) / unit).astype(np.int64)
+                last[(lowest > scale) | (highest < scale)] = -2
+                for level in range(-1, last.max() + 1):
+                    on = np.flatnonzero((first <= level) & (level <= last))
+                    m = unit * (level + 2)
+                    k = m + -(-m // 4)
+                    for rows in np.array_split(on, max(1, min(len(on), -(-len(on) * k // CELLS)))):
+                        if not len(rows):
+                            continue
+                        n = count[rows]
+                        keep = np.arange(n.sum()) + np.repeat(bounds[rows] - (np.cumsum(n) - n), n)
+                        h = hashed[keep]
+                        slot = np.repeat(np.arange(len(rows)) * k, n) + ((h >> _U(8)) % _U(k)).astype(np.int64)
+                        value = np.zeros(len(rows) * k, _U)
+                        np.add.at(value, slot, _mix(h + _U(1)))
+                        score = np.bincount(slot, rarity[keep], len(rows) * k)  # an empty coordinate is the commonest
+                        # one order for all classes: by the value's estimated frequency, then by the value and coordinate themselves
+                        value = _mix(value.reshape(-1, k) + np.arange(k).astype(_U) * _U(0x9E3779B97F4A7C15))
+                        order = np.lexsort((value, np.round(score.reshape(-1, k), 6)), axis=1)[:, :m]
+                        r, value = np.repeat(rows, m), np.take_along_axis(value, order, 1).ravel()
+                        leads = step[r] if wanted is None else level - step[r]
+                        value = _mix(value + _mix(((scale << 48) + ((level + 2) << 24) + leads).astype(_U)))
+                        if wanted is not None:
+                            shared = _in_bitmap(wanted.value, value)
+                            r, value = r[shared], value[shared]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(value.view(np.int64)), pa.array(cid[r]), pa.array(size[r]), pa.array(slack[r]), *(pa.array(bits[r, b].view(np.int64)) for b in range(4))],
+                            ["value", "cid", "size", "slack", "b0", "b1", "b2", "b3"],
+                        )
+
+    return classes.select("cid", "size", "slack", "common", "common_df").mapInArrow(run, "value long, cid long, size int, slack double, b0 long, b1 long, b2 long, b3 long")
 
 
 def similar(df: DataFrame, key: str, text: str, similarity: float = 0.7, least_words: int = 8) -> DataFrame:
@@ -201,21 +232,16 @@ def _links(heads: DataFrame, similarity: float) -> DataFrame:
     tops = {r["band"]: r["top"] for r in classes.groupBy(of_band.alias("band")).agg(F.max("slack").alias("top")).collect()}
     top = max(tops.values(), default=-1.0)
     if top >= -1e-9:
-        leading = durable(_levels(classes.filter("slack >= -1e-9"), similarity, tops))
-        wanted = None
-        if leading.count() <= HELD:
-            held = leading.select("level", "value").distinct().toPandas()
-            wanted = classes.sparkSession.sparkContext.broadcast(np.sort(_keys(held["level"].to_numpy(), held["value"].to_numpy())))
-        following = _levels(classes.filter(F.col("slack") + top >= -1e-9), similarity, tops, wanted)
+        total = classes.count()
+        leading = durable(_postings(classes.filter("slack >= -1e-9"), similarity, tops, total))
+        following = _postings(classes.filter(F.col("slack") + top >= -1e-9), similarity, tops, total, _bitmap(leading))
         side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("cid", "size", "slack", "b0", "b1", "b2", "b3")]
         # of a pair, one class has a slack of at least 0: it leads; equals are led by the lower id
-        a, b = leading.select("level", "value", *side("a")), following.select("level", "value", *side("b"))
+        a, b = leading.select("value", *side("a")), following.select("value", *side("b"))
         budget = F.col("slack_a") + F.col("slack_b") + 1e-9
-        k = F.pow(F.lit(2.0), F.col("level") + 1)
         leads = (F.col("slack_a") > F.col("slack_b")) | ((F.col("slack_a") == F.col("slack_b")) & (F.col("cid_a") < F.col("cid_b")))
-        of_level = (budget < k / 2) & (budget >= F.when(F.col("level") == 0, F.lit(0.0)).otherwise(k / 4))
         differing: Column = sum((F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
-        by_level = a.join(b, ["level", "value"]).filter(leads & of_level & fits & (differing <= budget)).select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"))
+        by_level = a.join(b, "value").filter(leads & fits & (differing <= budget)).select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"))
         candidates = candidates.unionByName(by_level).distinct()
 
     x, y = (classes.select(F.col("cid").alias(f"cid_{x}"), F.col("size").alias(f"size_{x}"), F.col("rare").alias(f"rare_{x}"), F.col("common").alias(f"common_{x}")) for x in "ab")

@@ -117,3 +117,30 @@ def test_groups(spark):
 def test_any(spark, sets):
     rows = [(i, " ".join(f"t{w}" for w in s)) for i, s in enumerate(sets)]
     assert pairs(spark, rows) == brute(rows)
+
+
+def test_postings_meet_in_proportion(spark, monkeypatch):
+    """Unrelated sets with few rare words meet less than once for four pairs, and related ones aren't lost."""
+    monkeypatch.setattr(neardup, "RARE", 4)
+    rng = random.Random(11)
+    words, weights = [f"w{i}" for i in range(600)], [1 / (i + 20) for i in range(600)]
+    sets = []
+    while len(sets) < 600:
+        common = set(rng.choices(words, weights, k=150))
+        if len(sets) % 10 == 9:
+            common = {w for w in sets[-1] if w[0] == "w"}
+            common -= set(rng.sample(sorted(common), 3))
+        sets.append(common | {f"r{len(sets)}x{i}" for i in range(10)})
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "note_id long, body string")
+    met, plain = [], type(df).join
+
+    def join(self, other, on=None, how=None):
+        out = plain(self, other, on, how)
+        if isinstance(on, (str, list)) and on in ("value", ["level", "value"]):
+            met.append(out.filter("cid_a <> cid_b").count())
+        return out
+
+    monkeypatch.setattr(type(df), "join", join)
+    got = {tuple(r) for r in neardup.similar(df, "note_id", "body").collect()}
+    assert got == brute([(i, " ".join(s)) for i, s in enumerate(sets)]) and len(got) >= 50
+    assert met and 0 < met[0] < len(sets) ** 2 / 2 / 4
